@@ -243,7 +243,7 @@ class PieceEncoder:
         for words in split:
             seen.update(words)
         new = []
-        for w in seen - self.known.keys():
+        for w in [w for w in seen if w not in self.known]:
             if (ids := self.old.get(w)) is None:
                 new.append(w)
             else:

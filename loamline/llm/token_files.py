@@ -30,8 +30,9 @@ MAGIC = b"LTOK0001"
 BLOCK_IDS = 1 << 16
 PLANES = 4
 LEVEL = 3
-#: Words whose ids a worker remembers, twice: when the young memory is full it becomes the old one.  About 150 MB.
-REMEMBERED = 350_000
+#: Words whose ids a worker remembers, twice: when the young memory is full it becomes the old one.  At most
+#: about 300 MB.
+REMEMBERED = 700_000
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
 #: Cuts plain text where the pre-tokenizer cuts too: between letters and other signs, before a space that a
 #: word follows, and around a single line break.  An apostrophe stays with what may be a contraction.
@@ -57,6 +58,19 @@ class WordEncoder:
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        # between words, a line break is one id by itself: many pieces can then be encoded as one text
+        alone = [self._whole([x])[0] for x in ("ab", "\n", " cd", "\n", ".", "\n")]
+        self.line = int(np.frombuffer(alone[1], self.width)[0]) if self._whole(["ab\n cd\n.\n"])[0] == b"".join(alone) and len(alone[1]) == int(self.width[-1]) else None
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces; a piece holds no line break, or is one."""
+        if self.line is None:
+            return self._whole(pieces)
+        ids = np.frombuffer(self._whole(["\n".join(p for p in pieces if p != "\n") + "\n"])[0], self.width)
+        flat, wide = ids.tobytes(), ids.itemsize
+        ends = (np.flatnonzero(ids == self.line) * wide).tolist()
+        spans = iter(zip([0, *[e + wide for e in ends]], ends))
+        return [flat[-wide:] if p == "\n" else flat[slice(*next(spans))] for p in pieces]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -66,19 +80,22 @@ class WordEncoder:
         if len(self.known) > self.remembered:
             self.old, self.known = self.known, {}
         split = [None if _OTHER.search(t) else _PIECES.findall(t) for t in texts]
-        seen: set[str] = set()
-        for pieces in split:
-            seen.update(pieces or ())
+        found = [None if pieces is None else list(map(self.known.get, pieces)) for pieces in split]
+        holes = [[] if ids is None else [k for k, x in enumerate(ids) if x is None] for ids in found]
         new = []
-        for p in seen - self.known.keys():
+        for p in {pieces[k] for pieces, at in zip(split, holes) for k in at}:
             if (ids := self.old.get(p)) is None:
                 new.append(p)
             else:
                 self.known[p] = ids
         for at in range(0, len(new), 4096):
-            self.known.update(zip(new[at : at + 4096], self._whole(new[at : at + 4096])))
-        get = self.known.__getitem__
-        return [np.frombuffer(self._whole([t])[0] if pieces is None else b"".join(map(get, pieces)), self.width) for t, pieces in zip(texts, split)]
+            self.known.update(zip(new[at : at + 4096], self._pieces(new[at : at + 4096])))
+        out = []
+        for t, pieces, ids, at in zip(texts, split, found, holes):
+            for k in at:
+                ids[k] = self.known[pieces[k]]
+            out.append(np.frombuffer(self._whole([t])[0] if ids is None else b"".join(ids), self.width))
+        return out
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
@@ -205,10 +222,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
         uri = f"{folder}/{task.partitionId():06d}.ltok"
         for batch in batches:
             texts, ids = batch.column(1), batch.column(0).to_pylist()
-            for at in range(0, len(ids), 200):
+            for at in range(0, len(ids), 1000):
                 if writer is None:
                     writer = ShardWriter(uri, f"{task.taskAttemptId()}")
-                for i, packed in zip(ids[at : at + 200], _encoder(tokenizer_path).encode(texts.slice(at, 200).to_pylist())):
+                for i, packed in zip(ids[at : at + 1000], _encoder(tokenizer_path).encode(texts.slice(at, 1000).to_pylist())):
                     writer.add(i, packed.astype("<u4").tobytes() + end)
                     tokens += len(packed) + 1
                     docs_in += 1
