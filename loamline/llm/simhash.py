@@ -16,7 +16,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_key, semi_by_key, staged
@@ -73,18 +73,17 @@ def fingerprints(docs: DataFrame, text: str = "text", keys: list | None = None)
 
 
 _BLOCKS = [0xFFFF << s for s in (0, 16, 32, 48)]
-#: For each mask, what is kept, what marks it, and the flips within what is kept.
-_MASKS = [(~b & (1 << 64) - 1, (t + 1) << 16 * t, [0] + [1 << i for i in range(64) if not b >> i & 1]) for t, b in enumerate(_BLOCKS)]
+#: (kept bits, bits to flip) of each of the 196 variants: a mark of the mask in the masked block, and up to one flip outside.
+_VARIANTS = [(~b & (1 << 64) - 1, (t + 1) << 16 * t ^ flip) for t, b in enumerate(_BLOCKS) for flip in [0] + [1 << i for i in range(64) if not b >> i & 1]]
 
 
-def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        fps = np.asarray(b.column(0)).view(np.uint64)
-        for at in range(0, len(fps), 4096):
-            part = fps[at : at + 4096]
-            for keep, mark, flips in _MASKS:
-                v = ((part & np.uint64(keep)) | np.uint64(mark))[:, None] ^ np.array(flips, np.uint64)[None, :]
-                yield pa.RecordBatch.from_arrays([pa.array(v.ravel().view(np.int64)), pa.array(np.repeat(part, len(flips)).view(np.int64))], names=["v", "fp"])
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _variant(fp: Column, code: Column) -> Column:
+    keep, flip = (F.array(*[F.lit(_signed(v[k])).cast("bigint") for v in _VARIANTS]) for k in (0, 1))
+    return fp.bitwiseAND(F.get(keep, code)).bitwiseXOR(F.get(flip, code))
 
 
 def _near(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -148,8 +147,11 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     its masked block and one more bit, whatever the number of documents.
     """
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    v = fps.mapInArrow(_variants, "v bigint, fp bigint")
-    return v.repartition(n, "v").sortWithinPartitions("v").mapInArrow(_meet, "a bigint, b bigint").distinct()
+    codes = F.array(*[F.lit(k).cast("short") for k in range(len(_VARIANTS))])
+    v = fps.repartition(n, "fp").select("fp", F.explode(codes).alias("code"))
+    # only (fp, code) is shuffled; the variant is computed before and after
+    v = v.repartition(n, _variant(F.col("fp"), F.col("code"))).select(_variant(F.col("fp"), F.col("code")).alias("v"), "fp")
+    return v.sortWithinPartitions("v").mapInArrow(_meet, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
