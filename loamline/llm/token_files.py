@@ -30,72 +30,163 @@ MAGIC = b"LTOK0001"
 BLOCK_IDS = 1 << 16
 PLANES = 4
 LEVEL = 3
-#: Words whose ids a worker remembers, twice: when the young memory is full it becomes the old one.  At most
-#: about 300 MB.
-REMEMBERED = 700_000
+#: Slots for the ids of pieces that a worker remembers, half of them used; a full table is emptied.  About 100 MB.
+SLOTS = 1 << 22
+#: Long pieces are remembered by themselves.
+LONG, MOST_LONG = 16, 50_000
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
-#: Cuts plain text where the pre-tokenizer cuts too: between letters and other signs, before a space that a
-#: word follows, and around a single line break.  An apostrophe stays with what may be a contraction.
-_PIECES = re.compile(rf" ?[{_LETTERS}]+(?:'[{_LETTERS}]+)*| ?[^ \n{_LETTERS}]+(?:(?<=')[{_LETTERS}]+)?|\n")
-#: Anything else: signs outside Latin, spaces before white space or the end, empty lines.  Such a text goes in whole.
+#: A text with signs outside Latin, a space before white space or the end, or an empty line goes in whole.
 _OTHER = re.compile(rf" (?:\s|\Z)|\n\n|[^ -~\n{_LETTERS}¡-¿]")
+_SIGN, _LETTER, _SPACE, _LINE = 0, 1, 2, 3
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123), 0xC3, 0xC4, 0xC5]] = _LETTER
+_KIND[32], _KIND[10] = _SPACE, _LINE
+
+
+def _starts(data: np.ndarray) -> np.ndarray:
+    """Where pieces begin in the bytes of plain texts that are joined by line breaks.
+
+    The cuts are ones that the pre-tokenizer makes too: between letters and other signs, before a space,
+    around a line break.  An apostrophe stays with what may be a contraction.
+    """
+    kind = _KIND[data]
+    second = np.flatnonzero((data >= 0x80) & (data < 0xC0))
+    kind[second] = kind[second - 1]
+    for sign in (0x97, 0xB7):  # the two signs among the letters of U+00C0 to U+00FF
+        at = second[(data[second] == sign) & (data[second - 1] == 0xC3)]
+        kind[at] = kind[at - 1] = _SIGN
+    quote = np.flatnonzero(data == 0x27)
+    inner = quote[(quote > 0) & (quote < len(data) - 1)]
+    kind[inner[(kind[inner - 1] == _LETTER) & (kind[inner + 1] == _LETTER)]] = _LETTER
+    cut = np.ones(len(data), bool)
+    before, now = kind[:-1], kind[1:]
+    cut[1:] = (before != now) & (before != _SPACE) | (now == _LINE) | (before == _LINE)
+    glued = quote[quote < len(data) - 1]
+    cut[glued[(kind[glued] == _SIGN) & (kind[glued + 1] == _LETTER)] + 1] = False
+    return np.flatnonzero(cut)
 
 
 class WordEncoder:
     """Encodes whole texts with a byte-level BPE file of the tokenizers library, remembering the ids of pieces.
 
-    Every piece is encoded by the library; the cuts between pieces are ones that its pre-tokenizer makes
-    as well, so the ids are those of the whole text.  Other texts are encoded as a whole.
+    Every piece is encoded by the library, and the cuts between pieces are ones that its pre-tokenizer makes
+    as well, so the ids are those of the whole text.  Pieces are compared by all their bytes.  Other texts
+    are encoded as a whole.
     """
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
+    def __init__(self, path: str, slots: int = SLOTS):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.remembered = remembered
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.slots = slots
+        self.low, self.high = np.zeros(slots, "<u8"), np.zeros(slots, "<u8")
+        self.place, self.count = np.zeros(slots, np.int32), np.zeros(slots, np.uint8)
+        self.flat, self.filled, self.used = np.zeros(1 << 16, self.width), 0, 0
+        self.long: dict[bytes, np.ndarray] = {}
         # between words, a line break is one id by itself: many pieces can then be encoded as one text
         alone = [self._whole([x])[0] for x in ("ab", "\n", " cd", "\n", ".", "\n")]
-        self.line = int(np.frombuffer(alone[1], self.width)[0]) if self._whole(["ab\n cd\n.\n"])[0] == b"".join(alone) and len(alone[1]) == int(self.width[-1]) else None
+        self.line = int(alone[1][0]) if np.array_equal(self._whole(["ab\n cd\n.\n"])[0], np.concatenate(alone)) and len(alone[1]) == 1 else None
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of pieces; a piece holds no line break, or is one."""
-        if self.line is None:
-            return self._whole(pieces)
-        ids = np.frombuffer(self._whole(["\n".join(p for p in pieces if p != "\n") + "\n"])[0], self.width)
-        flat, wide = ids.tobytes(), ids.itemsize
-        ends = (np.flatnonzero(ids == self.line) * wide).tolist()
-        spans = iter(zip([0, *[e + wide for e in ends]], ends))
-        return [flat[-wide:] if p == "\n" else flat[slice(*next(spans))] for p in pieces]
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.width) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after the other, and how many each has; a piece holds no line break, or is one."""
+        if self.line is None:
+            ids = self._whole([p.decode() for p in pieces])
+            return np.concatenate(ids), np.array([len(i) for i in ids])
+        ids = self._whole([b"\n".join(b"" if p == b"\n" else p for p in pieces).decode() + "\n"])[0]
+        ends = np.flatnonzero(ids == self.line)
+        count = np.diff(ends, prepend=-1) - 1
+        lone = count == 0  # the line break itself
+        keep = ids != self.line
+        keep[ends[lone]] = True
+        return ids[keep], np.where(lone, 1, count)
+
+    def _find(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(slot, known) for each key: the slot that holds it, or the free one where it would go."""
+        mixed = (low ^ (high * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        slot = (mixed >> np.uint64(40)).astype(np.int64) & (self.slots - 1)
+        known = np.zeros(len(low), bool)
+        live = np.arange(len(low))
+        while len(live):
+            s = slot[live]
+            taken = self.count[s] > 0
+            same = taken & (self.low[s] == low[live]) & (self.high[s] == high[live])
+            known[live[same]] = True
+            live = live[taken & ~same]
+            slot[live] = (slot[live] + 1) & (self.slots - 1)
+        return slot, known
+
+    def _learn(self, low: np.ndarray, high: np.ndarray, pieces: list[bytes]) -> None:
+        """Put distinct new keys into the table."""
+        for at in range(0, len(pieces), 4096):
+            ids, count = self._pieces(pieces[at : at + 4096])
+            if self.filled + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), self.width)])
+            self.flat[self.filled : self.filled + len(ids)] = ids
+            place = self.filled + np.cumsum(count) - count
+            self.filled += len(ids)
+            lo, hi = low[at : at + 4096], high[at : at + 4096]
+            rest = np.arange(len(lo))
+            while len(rest):
+                slot, _ = self._find(lo[rest], hi[rest])
+                free, first = np.unique(slot, return_index=True)
+                own = rest[first]
+                self.low[free], self.high[free], self.place[free], self.count[free] = lo[own], hi[own], place[own], count[own]
+                rest = np.delete(rest, first)
+        self.used += len(pieces)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.known) > self.remembered:
-            self.old, self.known = self.known, {}
-        split = [None if _OTHER.search(t) else _PIECES.findall(t) for t in texts]
-        found = [None if pieces is None else list(map(self.known.get, pieces)) for pieces in split]
-        holes = [[] if ids is None else [k for k, x in enumerate(ids) if x is None] for ids in found]
-        new = []
-        for p in {pieces[k] for pieces, at in zip(split, holes) for k in at}:
-            if (ids := self.old.get(p)) is None:
-                new.append(p)
-            else:
-                self.known[p] = ids
-        for at in range(0, len(new), 4096):
-            self.known.update(zip(new[at : at + 4096], self._pieces(new[at : at + 4096])))
-        out = []
-        for t, pieces, ids, at in zip(texts, split, found, holes):
-            for k in at:
-                ids[k] = self.known[pieces[k]]
-            out.append(np.frombuffer(self._whole([t])[0] if ids is None else b"".join(ids), self.width))
-        return out
+        plain = [not _OTHER.search(t) for t in texts]
+        joined = "\n".join(t if p else "" for t, p in zip(texts, plain)).encode() + b"\n"
+        data = np.frombuffer(joined + bytes(LONG), np.uint8)
+        n = len(joined)
+        start = _starts(data[:n])
+        length = np.diff(start, append=n)
+        # the first 16 bytes of each piece as two integers; plain texts hold no zero bytes
+        eight = np.lib.stride_tricks.as_strided(data.view("<u8")[:1] if len(data) % 8 == 0 else np.frombuffer(joined + bytes(LONG), "<u8", 1), (n + 8,), (1,))
+        mask = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+        low = eight[start] & mask[np.minimum(length, 8)]
+        high = eight[start + 8 * (length > 8)] & mask[np.clip(length - 8, 0, 8)]
+        if self.used > self.slots // 2:
+            self.count[:] = 0
+            self.filled = self.used = 0
+        short = length <= LONG
+        slot, known = self._find(low, high)
+        new = np.flatnonzero(short & ~known)
+        if len(new):
+            order = np.lexsort((high[new], low[new]))
+            new = new[order]
+            first = np.concatenate([[True], (low[new][1:] != low[new][:-1]) | (high[new][1:] != high[new][:-1])])
+            distinct = new[first]
+            self._learn(low[distinct], high[distinct], [joined[a : a + k] for a, k in zip(start[distinct].tolist(), length[distinct].tolist())])
+            slot[new], _ = self._find(low[new], high[new])
+        place, count = self.place[slot].astype(np.int64), self.count[slot].astype(np.int64)
+        flat = self.flat
+        far = np.flatnonzero(~short)
+        if len(far):
+            keys = [joined[a : a + k] for a, k in zip(start[far].tolist(), length[far].tolist())]
+            fresh = list({k for k in keys if k not in self.long})
+            if len(self.long) + len(fresh) > MOST_LONG:
+                self.long, fresh = {}, list(set(keys))
+            self.long.update(zip(fresh, self._whole([k.decode() for k in fresh])))
+            ids = [self.long[k] for k in keys]
+            count[far] = [len(i) for i in ids]
+            place[far] = self.filled + np.cumsum(count[far]) - count[far]
+            flat = np.concatenate([flat[: self.filled], *ids])
+        done = np.cumsum(count)
+        all_ids = flat[np.arange(done[-1]) + np.repeat(place - done + count, count)]
+        # the piece that ends each text is the line break put behind it
+        sizes = np.fromiter((len(t.encode()) if p and not t.isascii() else len(t) if p else 0 for t, p in zip(texts, plain)), np.int64, len(texts))
+        break_at = np.searchsorted(start, np.cumsum(sizes + 1) - 1)
+        ends = done[break_at] - count[break_at]
+        begins = np.concatenate([[0], done[break_at][:-1]])
+        return [all_ids[b:e] if p else self._whole([t])[0] for t, p, b, e in zip(texts, plain, begins.tolist(), ends.tolist())]
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
