@@ -55,5 +55,5 @@ def human_bytes(n: Column) -> Column:
     """Bytes with one decimal and a unit up to T."""
     out = F.when(n < 1024, F.concat(n.cast("string"), F.lit("B")))
     for power, unit in enumerate("KMG", 1):
-        out = out.when(n < 1024 ** (power + 1), F.format_string(f"%.1f{unit}", n / F.lit(float(1024**power))))
-    return out.otherwise(F.format_string("%.1fT", n / F.lit(float(1024**4))))
+        out = out.when(n < 1024 ** (power + 1), F.format_string(f"%.1f{unit}", F.bround(n / F.lit(float(1024**power)), 1)))
+    return out.otherwise(F.format_string("%.1fT", F.bround(n / F.lit(float(1024**4)), 1)))

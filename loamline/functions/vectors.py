@@ -62,3 +62,15 @@ def hash_embedding(text: Column, dim: int) -> Column:
     counted = lambda b: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.size(F.filter(b, lambda x: x == d)).cast("double"))
     vector = F.get(F.transform(F.array(buckets), counted), F.lit(0))
     return F.get(F.transform(F.array(vector), l2_normalize), F.lit(0))
+
+
+def hash_vectors(docs: DataFrame, id_col: str, text: Column, dim: int) -> DataFrame:
+    """(id, vector) as ``hash_embedding``, for many texts: each distinct word is hashed once; texts without words have zeros."""
+    words = docs.select(F.col(id_col).alias("id"), F.explode(plain_words(text)).alias("word")).groupBy("id", "word").agg(F.count("*").alias("n"))
+    buckets = words.select("word").distinct().select("word", (fnv1a32(F.col("word")) % dim).cast("int").alias("bucket"))
+    counts = words.join(buckets, "word").groupBy("id", "bucket").agg(F.sum("n").alias("n"))
+    # at most ``dim`` entries per text
+    maps = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.col("n").cast("double")))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0)))
+    full = docs.select(F.col(id_col).alias("id")).join(maps.select("id", dense.alias("v")), "id", "left")
+    return full.select("id", l2_normalize(F.coalesce("v", F.array_repeat(F.lit(0.0), dim))).alias("vector"))

@@ -1,10 +1,693 @@
-"""All queries over the reference tables by name, and their DuckDB counterparts."""
+"""All queries over the driver's tables by name, and the DuckDB SQL that should give the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..functions import vectors as vx
+from ..operators import chunking, evaluation, fusion, graph, intervals, languages, lexical, nearest
+from ..operators.hybrid import HybridIndex
+from ..sources import catalog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+DIM = 64
+
+
+def query(name: str, sql: str | None = None):  # noqa: ANN201
+    def add(f):  # noqa: ANN001, ANN202
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- SQL that several queries share
+
+
+def words_sql(x: str) -> str:
+    cut = rf"regexp_replace(regexp_replace({x}, '([\p{{Ll}}\p{{Nd}}])(\p{{Lu}})', '\1 \2', 'g'), '(\p{{Lu}})(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g')"
+    return rf"list_filter(list_transform(regexp_split_to_array({cut}, '[^\p{{L}}\p{{Nd}}]+'), lambda w: lower(w)), lambda w: w <> '')"
+
+
+def plain_sql(x: str) -> str:
+    return rf"list_filter(regexp_split_to_array(lower({x}), '[^\p{{L}}\p{{Nd}}]+'), lambda w: w <> '')"
+
+
+def bm25_sql(p: str, docs: str, queries: str, top: int) -> str:
+    """CTEs ending in {p}ranked (query_id, id, score, rank) from docs (id, words) and queries (query_id, words)."""
+    return f"""
+{p}post AS (SELECT id, w AS term, count(*) AS tf FROM (SELECT id, unnest(words) AS w FROM {docs}) GROUP BY ALL),
+{p}len AS (SELECT id, len(words) AS length FROM {docs}),
+{p}stats AS (SELECT count(*) AS n, avg(length) AS avg_length FROM {p}len),
+{p}df AS (SELECT term, count(*) AS df FROM {p}post GROUP BY term),
+{p}qt AS (SELECT query_id, unnest(words) AS term, unnest(range(len(words))) AS pos FROM {queries}),
+{p}scores AS (
+  SELECT query_id, id, list_sum(list(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avg_length))) ORDER BY pos)) AS score
+  FROM {p}qt JOIN {p}post USING (term) JOIN {p}df USING (term) JOIN {p}len USING (id), {p}stats GROUP BY query_id, id
+),
+{p}ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM {p}scores) WHERE rank <= {top})"""
+
+
+def vectors_sql(name: str, source: str, key: str, x: str) -> str:
+    fnv = "list_reduce([2166136261::BIGINT] || [('0x' || hex(encode(w))[2 * i - 1:2 * i])::BIGINT FOR i IN range(1, octet_length(encode(w)) + 1)], lambda h, b: (xor(h, b) * 16777619) & 4294967295)"
+    return f"""
+{name}w AS (SELECT {key} AS id, unnest({plain_sql(x)}) AS w FROM {source}),
+{name}h AS (SELECT w, {fnv} % {DIM} AS bucket FROM (SELECT DISTINCT w FROM {name}w)),
+{name}c AS (SELECT id, bucket, count(*)::DOUBLE AS n FROM {name}w JOIN {name}h USING (w) GROUP BY ALL),
+{name}m AS (SELECT id, map_from_entries(list((bucket, n))) AS m FROM {name}c GROUP BY id),
+{name}d AS (SELECT {key} AS id, [coalesce(m[b], 0.0) FOR b IN range({DIM})] AS v FROM {source} LEFT JOIN {name}m ON {name}m.id = {key}),
+{name} AS (SELECT id, CASE WHEN list_dot_product(v, v) > 0 THEN [x / sqrt(list_dot_product(v, v)) FOR x IN v] ELSE v END AS vector FROM {name}d)"""
+
+
+CHUNKS_SQL = """chunks AS (
+  SELECT conv_id || '#' || turn AS id, conv_id::VARCHAR AS path, turn AS ord, (turn * 10 + 1)::INTEGER AS start_line,
+    (turn * 10 + 1 + length(text) - length(replace(text, chr(10), '')))::INTEGER AS end_line, role AS symbol, text AS content FROM conversations
+)"""
+FILES_SQL = """files AS (
+  SELECT path, string_agg(content, chr(10) ORDER BY ord) AS content, string_agg(symbol, ' ' ORDER BY ord) AS symbol, arg_min(start_line, ord) AS start_line, max(end_line) AS end_line
+  FROM chunks GROUP BY path
+)"""
+
+
+def conv_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as files whose chunks are turns."""
+    c = t(spark, sf_dir, "conversations")
+    start = (F.col("turn") * 10 + 1).cast("int")
+    return c.select(
+        F.concat_ws("#", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
+        F.col("conv_id").cast("string").alias("path"),
+        F.col("turn").alias("ord"),
+        start.alias("start_line"),
+        (start + F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).cast("int").alias("end_line"),
+        F.col("role").alias("symbol"),
+        F.col("text").alias("content"),
+    )
+
+
+def bench_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def doc_index(spark: SparkSession, sf_dir: str) -> lexical.LexicalIndex:
+    return lexical.LexicalIndex.build(t(spark, sf_dir, "documents"), "doc_id", [F.col("text")])
+
+
+def r6(c: str):  # noqa: ANN201
+    return F.round(c, 6).alias(c)
+
+
+# ---- words and term statistics
+
+
+@query("tokenize_words", f"SELECT doc_id, {words_sql('text')} AS words FROM documents")
+def _(spark, d):
+    return t(spark, d, "documents").select("doc_id", tx.identifier_words(F.col("text")).alias("words"))
+
+
+@query("tokenize_identifiers", f"SELECT event_id, {words_sql("event_type || 'By' || 'HTTPUser' || user_id")} AS words FROM events")
+def _(spark, d):
+    name = F.concat("event_type", F.lit("By"), F.lit("HTTPUser"), F.col("user_id").cast("string"))
+    return t(spark, d, "events").select("event_id", tx.identifier_words(name).alias("words"))
+
+
+_DOC = f"docs AS (SELECT doc_id AS id, {words_sql('text')} AS words FROM documents)"
+_QUERIES = f"queries AS (SELECT item_id AS query_id, {words_sql('text')} AS words FROM benchmark)"
+
+
+@query("term_frequency", f"WITH {_DOC} SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(words) AS term FROM docs) GROUP BY ALL")
+def _(spark, d):
+    return doc_index(spark, d).postings
+
+
+@query("doc_length", f"WITH {_DOC} SELECT id, len(words)::BIGINT AS length FROM docs")
+def _(spark, d):
+    return doc_index(spark, d).lengths
+
+
+@query("corpus_stats", f"WITH {_DOC} SELECT count(*) AS n, round(avg(len(words)), 6) AS avg_length FROM docs")
+def _(spark, d):
+    return doc_index(spark, d).stats.select("n", r6("avg_length"))
+
+
+@query("doc_frequency", f"WITH {_DOC} SELECT term, count(DISTINCT id) AS df FROM (SELECT id, unnest(words) AS term FROM docs) GROUP BY term")
+def _(spark, d):
+    return doc_index(spark, d).document_frequency()
+
+
+# ---- BM25
+
+
+def _one(spark, text):  # noqa: ANN001, ANN202
+    return spark.createDataFrame([(0, text)], "query_id bigint, query string")
+
+
+def _single_sql(text: str) -> str:
+    return f"WITH {_DOC}, queries AS (SELECT 0::BIGINT AS query_id, {words_sql(f"'{text}'")} AS words), {bm25_sql('', 'docs', 'queries', 10)} SELECT query_id, id, round(score, 6) AS score, rank::INTEGER AS rank FROM ranked"
+
+
+for _name, _text in (("bm25_single", "the of worthless"), ("bm25_repeated_term", "token token the"), ("bm25_no_match", "zzzz qqqqq")):
+
+    @query(_name, _single_sql(_text))
+    def _(spark, d, text=_text):
+        return lexical.search(doc_index(spark, d), _one(spark, text)).select("query_id", "id", r6("score"), "rank")
+
+
+@query("bm25_batch", f"WITH {_DOC}, {_QUERIES}, {bm25_sql('', 'docs', 'queries', 10)} SELECT query_id, id, round(score, 6) AS score, rank::INTEGER AS rank FROM ranked")
+def bm25_batch(spark, d):
+    return lexical.search(doc_index(spark, d), bench_queries(spark, d)).select("query_id", "id", r6("score"), "rank")
+
+
+@query(
+    "bm25_path_tokens",
+    f"WITH docs AS (SELECT page_id AS id, {words_sql('url')} || {words_sql('html')} AS words FROM pages), {_QUERIES}, {bm25_sql('', 'docs', 'queries', 5)} SELECT query_id, id, round(score, 6) AS score, rank::INTEGER AS rank FROM ranked",
+)
+def _(spark, d):
+    index = lexical.LexicalIndex.build(t(spark, d, "pages"), "page_id", [F.col("url"), F.col("html")])
+    return lexical.search(index, bench_queries(spark, d), 5).select("query_id", "id", r6("score"), "rank")
+
+
+@query("file_docs", f"WITH {CHUNKS_SQL}, {FILES_SQL} SELECT * FROM files")
+def _(spark, d):
+    return lexical.file_documents(conv_chunks(spark, d))
+
+
+@query(
+    "bm25_files",
+    f"WITH {CHUNKS_SQL}, {FILES_SQL}, docs AS (SELECT path AS id, {words_sql('path')} || {words_sql('symbol')} || {words_sql('content')} AS words FROM files), {_QUERIES}, {bm25_sql('', 'docs', 'queries', 10)} SELECT query_id, id, round(score, 6) AS score, rank::INTEGER AS rank FROM ranked",
+)
+def _(spark, d):
+    index = lexical.LexicalIndex.build(lexical.file_documents(conv_chunks(spark, d)), "path", [F.col("path"), F.col("symbol"), F.col("content")])
+    return lexical.search(index, bench_queries(spark, d)).select("query_id", "id", r6("score"), "rank")
+
+
+# ---- vectors
+
+
+def _embeddings(spark, d):  # noqa: ANN001, ANN202
+    return t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), "label")
+
+
+def _centres(spark, d):  # noqa: ANN001, ANN202
+    return vx.mean_pool(_embeddings(spark, d), ["label"], "vector").select(F.col("label").cast("bigint").alias("query_id"), F.col("pooled").alias("vector"))
+
+
+_EMB = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings)"
+_CENTRES = "p AS (SELECT label, i, avg(v[i]) AS m FROM e, range(1, 65) r(i) GROUP BY ALL), q AS (SELECT label::BIGINT AS query_id, list(m ORDER BY i) AS c FROM p GROUP BY label)"
+_COS = "list_dot_product(v, c) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(c, c)))"
+_BYTES = "[greatest(-127, least(127, round(x * 127)))::TINYINT FOR x IN {}]"
+
+
+def _near_sql(top: int) -> str:
+    return f"SELECT query_id, id, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM (SELECT query_id, id, {_COS} AS score FROM pool)) WHERE rank <= {top}"
+
+
+@query("cosine_nearest", f"WITH {_EMB}, {_CENTRES}, pool AS (SELECT * FROM e, q) {_near_sql(10)}")
+def _(spark, d):
+    return nearest.nearest_exact(_embeddings(spark, d), _centres(spark, d), 10).select("query_id", "id", r6("score"), "rank")
+
+
+@query(
+    "quantized_rerank",
+    f"""WITH {_EMB}, {_CENTRES}, scan AS (
+      SELECT *, list_dot_product({_BYTES.format('v')}::DOUBLE[], {_BYTES.format('c')}::DOUBLE[]) AS near FROM e, q
+    ), pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY near DESC, id) AS place FROM scan) WHERE place <= 60) {_near_sql(10)}""",
+)
+def _(spark, d):
+    return nearest.nearest_rescored(_embeddings(spark, d), _centres(spark, d), 10).select("query_id", "id", r6("score"), "rank")
+
+
+@query("quantize_vectors", f"WITH {_EMB} SELECT id, [x::INTEGER FOR x IN {_BYTES.format('v')}] AS code FROM e")
+def _(spark, d):
+    return _embeddings(spark, d).select("id", vx.quantize(F.col("vector")).cast("array<int>").alias("code"))
+
+
+@query("int8_dot", f"WITH {_EMB} SELECT id, list_sum([x::INTEGER * x::INTEGER FOR x IN {_BYTES.format('v')}])::INTEGER AS dot FROM e")
+def _(spark, d):
+    code = vx.quantize(F.col("vector"))
+    return _embeddings(spark, d).select("id", code.alias("c")).select("id", vx.dot_bytes(F.col("c"), F.col("c")).alias("dot"))
+
+
+@query("l2_normalize", f"WITH {_EMB} SELECT id, [round(x * 3 / sqrt(list_dot_product([y * 3 FOR y IN v], [y * 3 FOR y IN v])), 6) FOR x IN v] AS v FROM e")
+def _(spark, d):
+    scaled = F.transform("vector", lambda x: x * 3)
+    return _embeddings(spark, d).select("id", F.transform(vx.l2_normalize(scaled), lambda x: F.round(x, 6)).alias("v"))
+
+
+@query("mean_pool", f"WITH {_EMB}, {_CENTRES} SELECT query_id AS label, [round(x, 6) FOR x IN c] AS pooled FROM q")
+def _(spark, d):
+    return _centres(spark, d).select(F.col("query_id").alias("label"), F.transform("vector", lambda x: F.round(x, 6)).alias("pooled"))
+
+
+@query("class_pool", f"WITH {_EMB} SELECT id, v[1:16] AS pooled FROM e")
+def _(spark, d):
+    return _embeddings(spark, d).select("id", vx.class_pool(F.col("vector"), 16).alias("pooled"))
+
+
+@query(
+    "fnv_bucket",
+    f"WITH {vectors_sql('x', 'documents', 'doc_id', 'text')} SELECT w AS word, bucket::BIGINT AS bucket FROM xh",
+)
+def _(spark, d):
+    words = t(spark, d, "documents").select(F.explode(tx.plain_words(F.col("text"))).alias("word")).distinct()
+    return words.select("word", (tx.fnv1a32(F.col("word")) % DIM).alias("bucket"))
+
+
+@query("hash_embed", f"WITH {vectors_sql('x', 'documents', 'doc_id', 'text')} SELECT id, [round(y, 6) FOR y IN vector] AS vector FROM x")
+def _(spark, d):
+    got = vx.hash_vectors(t(spark, d, "documents"), "doc_id", F.col("text"), DIM)
+    return got.select("id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+
+
+# ---- fusion: documents ranked by length and by number of lines, within each language
+
+
+def _rankings(spark, d):  # noqa: ANN001, ANN202
+    docs = t(spark, d, "documents").select("doc_id", "lang", F.length("text").alias("a"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("b"))
+    one = lambda i, c: docs.select(F.col("lang").alias("query_id"), F.lit(i).alias("list_idx"), F.row_number().over(Window.partitionBy("lang").orderBy(F.col(c).desc(), "doc_id")).alias("rank"), F.col("doc_id").alias("id"))
+    return one(0, "a").unionByName(one(1, "b"))
+
+
+def _fuse_sql(k: int, weights: list[float] | None, alpha: float) -> str:
+    w = f"CASE list_idx WHEN 0 THEN {weights[0]}::DOUBLE ELSE {weights[1]}::DOUBLE END" if weights else "1.0::DOUBLE"
+    return f"""WITH m AS (SELECT doc_id, lang, length(text) AS a, length(text) - length(replace(text, chr(10), '')) AS b FROM documents),
+    lists AS (SELECT lang AS query_id, 0 AS list_idx, row_number() OVER (PARTITION BY lang ORDER BY a DESC, doc_id) AS rank, doc_id AS id FROM m
+      UNION ALL SELECT lang, 1, row_number() OVER (PARTITION BY lang ORDER BY b DESC, doc_id), doc_id FROM m),
+    parts AS (SELECT *, {w} / ({k} + rank) AS part FROM lists)
+    SELECT query_id, id, round(greatest(0, max(part)) + {alpha} * (sum(part) - greatest(0, max(part))), 6) AS score FROM parts GROUP BY query_id, id"""
+
+
+for _name, _weights, _alpha, _used in (("rrf_plain", None, 1.0, None), ("rrf_weighted", [1.1, 0.5], 1.0, [1.1, 0.5]), ("rrf_alpha", [1.1, 0.5], 0.4, [1.1, 0.5]), ("rrf_bad_weights", [2.0], 1.0, None)):
+
+    @query(_name, _fuse_sql(60, _used, _alpha))
+    def _(spark, d, weights=_weights, alpha=_alpha):
+        return fusion.fuse(_rankings(spark, d), 60, weights, alpha, 2).select("query_id", "id", r6("score"))
+
+
+@query("first_per_group", "SELECT conv_id::VARCHAR AS id, row_number() OVER (ORDER BY max(length(text)) DESC, conv_id)::INTEGER AS rank FROM conversations GROUP BY conv_id")
+def _(spark, d):
+    c = t(spark, d, "conversations").select(F.lit(0).alias("query_id"), F.col("conv_id").cast("string").alias("path"), "conv_id", F.length("text").alias("n"))
+    whole = c.groupBy("query_id", "path", "conv_id").agg(F.max("n").alias("n"))
+    placed = whole.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("n").desc(), "conv_id")))
+    return fusion.collapse(placed).select("id", "rank")
+
+
+@query("top_n_per_group", "SELECT conv_id, turn, n::INTEGER AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS n FROM conversations) WHERE n <= 2")
+def _(spark, d):
+    order = Window.partitionBy("conv_id").orderBy(F.length("text").desc(), "turn")
+    return t(spark, d, "conversations").withColumn("n", F.row_number().over(order)).filter("n <= 2").select("conv_id", "turn", "n")
+
+
+# ---- hybrid search
+
+
+def conv_hybrid(spark: SparkSession, d: str) -> tuple[HybridIndex, DataFrame]:
+    chunks = conv_chunks(spark, d)
+    vectors = vx.hash_vectors(chunks, "id", F.col("content"), DIM)
+    q = bench_queries(spark, d)
+    q = q.join(vx.hash_vectors(q, "query_id", F.col("query"), DIM).withColumnRenamed("id", "query_id"), "query_id")
+    return HybridIndex.build(chunks.join(vectors, "id")), q
+
+
+_HYBRID = f"""{CHUNKS_SQL}, {FILES_SQL}, qs AS (SELECT item_id AS query_id, text AS query FROM benchmark),
+{vectors_sql('cv', 'chunks', 'chunks.id', 'content')}, {vectors_sql('qv', 'qs', 'query_id', 'query')},
+docs AS (SELECT id, {words_sql('path')} || {words_sql('symbol')} || {words_sql('content')} AS words FROM chunks),
+fdocs AS (SELECT path AS id, {words_sql('path')} || {words_sql('symbol')} || {words_sql('content')} AS words FROM files),
+queries AS (SELECT query_id, {words_sql('query')} AS words FROM qs),
+{bm25_sql('', 'docs', 'queries', 80)}, {bm25_sql('f', 'fdocs', 'queries', 80)},
+cb AS (SELECT id, vector AS v, {_BYTES.format('vector')} AS vb FROM cv), qb AS (SELECT id AS query_id, vector AS c, {_BYTES.format('vector')} AS cc FROM qv),
+scan AS (SELECT query_id, id, v, c, list_dot_product(vb::DOUBLE[], cc::DOUBLE[]) AS near FROM cb, qb),
+pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY near DESC, id) AS place FROM scan) WHERE place <= 480),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM (
+  SELECT query_id, id, CASE WHEN list_dot_product(v, v) > 0 AND list_dot_product(c, c) > 0 THEN {_COS} ELSE 0.0 END AS score FROM pool)) WHERE rank <= 80),
+both_lists AS (SELECT query_id, 0 AS list_idx, rank, id FROM near UNION ALL SELECT query_id, 1, rank, id FROM ranked),
+parts AS (SELECT *, CASE list_idx WHEN 0 THEN 1.1::DOUBLE ELSE 0.5::DOUBLE END / (25 + rank) AS part FROM both_lists)"""
+_FUSED = "greatest(0, max(part)) + {a}::DOUBLE * (sum(part) - greatest(0, max(part)))"
+
+
+@query(
+    "hybrid_chunks",
+    f"""WITH {_HYBRID}, fused AS (SELECT query_id, id, {_FUSED.format(a=1.0)} AS score, min((list_idx, rank)) AS f FROM parts GROUP BY ALL)
+    SELECT query_id, rank::INTEGER AS rank, round(score, 6) AS score, id, path FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, f) AS rank FROM fused) JOIN chunks USING (id) WHERE rank <= 10""",
+)
+def _(spark, d):
+    index, q = conv_hybrid(spark, d)
+    return index.search_chunks(q, 10).select("query_id", "rank", r6("score"), "id", "path")
+
+
+def _files_sql(spans: int, extra: str = "") -> str:
+    return f"""WITH {_HYBRID},
+    flat AS (SELECT query_id, 0 AS list_idx, path AS id, rank FROM near JOIN chunks USING (id) UNION ALL SELECT query_id, 1, path, rank FROM ranked JOIN chunks USING (id) UNION ALL SELECT query_id, 2, id, rank FROM franked),
+    firsts AS (SELECT query_id, list_idx, id, row_number() OVER (PARTITION BY query_id, list_idx ORDER BY min(rank)) AS rank FROM flat GROUP BY query_id, list_idx, id),
+    fparts AS (SELECT *, CASE list_idx WHEN 0 THEN 1.1::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END / (25 + rank) AS part FROM firsts),
+    ff AS (SELECT query_id, id AS path, {_FUSED.format(a=0.4)} AS score, min((list_idx, rank)) AS f FROM fparts GROUP BY query_id, id),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, f) AS rank FROM ff) WHERE rank <= 10),
+    cf AS (SELECT query_id, id, {_FUSED.format(a=0.4)} AS score, min((list_idx, rank)) AS f FROM parts GROUP BY query_id, id),
+    sp AS (SELECT query_id, path, id, row_number() OVER (PARTITION BY query_id, path ORDER BY round(score, 9) DESC, f) AS span_rank FROM cf JOIN chunks USING (id)),
+    hits AS (SELECT b.query_id, b.rank, b.score, b.path, coalesce(s.span_rank, 1) AS span_rank, s.id FROM best b LEFT JOIN (SELECT * FROM sp WHERE span_rank <= {spans}) s ON s.query_id = b.query_id AND s.path = b.path)
+    SELECT h.query_id, h.rank::INTEGER AS rank, round(h.score, 6) AS score, h.path, h.span_rank::INTEGER AS span_rank, h.id, coalesce(c.start_line, f.start_line) AS start_line, coalesce(c.end_line, f.end_line) AS end_line
+    FROM hits h LEFT JOIN chunks c ON c.id = h.id LEFT JOIN files f ON f.path = h.path {extra}"""
+
+
+_HIT = ["query_id", "rank", "score", "path", "span_rank", "id", "start_line", "end_line"]
+
+
+@query("hybrid_files", _files_sql(1, "WHERE h.id IS NOT NULL"))
+def _(spark, d):
+    index, q = conv_hybrid(spark, d)
+    return index.search_first_spans(q, 10).withColumn("score", F.round("score", 6)).select(*_HIT)
+
+
+@query("hybrid_files_n2", _files_sql(2))
+def _(spark, d):
+    index, q = conv_hybrid(spark, d)
+    return index.search_files(q, 10, 2).withColumn("score", F.round("score", 6)).select(*_HIT)
+
+
+# ---- evaluation: passages as queries, the documents that hold them as gold
+
+
+def _gold(spark, d):  # noqa: ANN001, ANN202
+    """Documents that contain a passage: candidates by its eight first words as one shared window, then verified."""
+    docs, items = t(spark, d, "documents"), t(spark, d, "benchmark")
+    words = lambda c: F.split(c, " ")
+    window = lambda w, i: F.xxhash64(F.array_join(F.slice(w, i + 1, 3), " "))
+    # inner words of a passage are whole words of the text; the first and the last one may be parts
+    q = items.select("item_id", F.col("text").alias("passage"), window(words("text"), F.lit(1)).alias("h"))
+    spots = docs.select("doc_id", words("text").alias("w")).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: window(F.col("w"), i)))).alias("h"))
+    near = spots.join(F.broadcast(q.select("item_id", "h")), "h").select("doc_id", "item_id").distinct()
+    found = near.join(docs, "doc_id").join(items.select("item_id", F.col("text").alias("passage")), "item_id").filter(F.col("text").contains(F.col("passage")))
+    sets = found.groupBy(F.col("item_id").alias("query_id")).agg(F.collect_set("doc_id").alias("relevant"))
+    return items.select(F.col("item_id").alias("query_id")).join(sets, "query_id", "left").withColumn("relevant", F.coalesce("relevant", F.array().cast("array<bigint>")))
+
+
+_KS = [5, 7, 10]
+_GOLD = "gold AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+_EVAL = f"""WITH {_DOC}, {_QUERIES}, {bm25_sql('', 'docs', 'queries', 10)}, {_GOLD},
+sizes AS (SELECT b.item_id AS query_id, count(g.id) AS n FROM benchmark b LEFT JOIN gold g ON g.query_id = b.item_id GROUP BY 1),
+hits AS (SELECT query_id, id, rank FROM ranked JOIN gold USING (query_id, id)),
+each_k AS (SELECT s.query_id, k.k, CASE WHEN n > 0 THEN count(h.id) FILTER (h.rank <= k.k) / n ELSE 0.0 END AS recall, coalesce(min(h.rank), 0) AS first_rank
+  FROM sizes s, (VALUES (5), (7), (10)) k(k) LEFT JOIN hits h ON h.query_id = s.query_id GROUP BY s.query_id, k.k, n)"""
+
+
+@query("recall_at_ks", f"{_EVAL} SELECT k, count(*) AS queries, round(avg(recall), 6) AS recall, round(avg(CASE WHEN first_rank > 0 THEN 1.0 / first_rank ELSE 0.0 END), 6) AS mrr FROM each_k GROUP BY k")
+def _(spark, d):
+    hits = lexical.search(doc_index(spark, d), bench_queries(spark, d))
+    return evaluation.evaluate(hits, _gold(spark, d), _KS).select("k", "queries", r6("recall"), r6("mrr"))
+
+
+@query("per_query_rank", f"{_EVAL} SELECT query_id, k, round(recall, 6) AS recall, first_rank::INTEGER AS first_rank FROM each_k")
+def _(spark, d):
+    hits = lexical.search(doc_index(spark, d), bench_queries(spark, d))
+    return evaluation.per_query(hits, _gold(spark, d), _KS).select("query_id", "k", r6("recall"), "first_rank")
+
+
+@query("gold_passages", f"WITH {_GOLD} SELECT query_id, id FROM gold")
+def _(spark, d):
+    return _gold(spark, d).select("query_id", F.explode("relevant").alias("id"))
+
+
+# ---- chunks
+
+
+def _double_lines(spark, d):  # noqa: ANN001, ANN202
+    return t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("content"))
+
+
+_PARA = """files AS (SELECT doc_id::VARCHAR AS path, replace(text, chr(10), chr(10) || chr(10)) AS content FROM documents),
+lines AS (SELECT path, unnest(string_split(content, chr(10))) AS line, unnest(range(len(string_split(content, chr(10))))) AS pos FROM files),
+marked AS (SELECT *, regexp_matches(line, '^\\s*$') AS blank, sum(regexp_matches(line, '^\\s*$')::INTEGER) OVER (PARTITION BY path ORDER BY pos) AS island FROM lines),
+para AS (SELECT path, (row_number() OVER (PARTITION BY path ORDER BY min(pos)) - 1) AS ord, (min(pos) + 1)::INTEGER AS start_line, (max(pos) + 1)::INTEGER AS end_line, string_agg(line, chr(10) ORDER BY pos) AS content
+  FROM marked WHERE NOT blank GROUP BY path, island)"""
+_IDS = "ids AS (SELECT *, path || '#' || sha256(content)[1:12] AS base, row_number() OVER (PARTITION BY path, sha256(content)[1:12] ORDER BY ord) - 1 AS n FROM para)"
+
+
+@query("paragraph_chunks", f"WITH {_PARA} SELECT * FROM para")
+def _(spark, d):
+    return chunking.paragraphs(_double_lines(spark, d))
+
+
+@query("chunk_ids", f"WITH {_PARA}, {_IDS} SELECT path, ord, CASE WHEN n = 0 THEN base ELSE base || '~' || n END AS id FROM ids")
+def _(spark, d):
+    return chunking.with_ids(chunking.paragraphs(_double_lines(spark, d))).select("path", "ord", "id")
+
+
+@query("duplicate_ids", f"WITH {_PARA}, {_IDS} SELECT path, count(*) AS again FROM ids WHERE n > 0 GROUP BY path")
+def _(spark, d):
+    got = chunking.with_ids(chunking.paragraphs(_double_lines(spark, d)))
+    return got.filter(F.col("id").contains("~")).groupBy("path").agg(F.count("*").alias("again"))
+
+
+@query("estimate_tokens", "SELECT doc_id, coalesce(list_sum([ceil(length(w) / 4) FOR w IN regexp_extract_all(text, '[A-Za-z0-9_]+')]), 0)::BIGINT + length(regexp_replace(text, '[A-Za-z0-9_ \\t\\n\\r]', '', 'g')) AS tokens FROM documents")
+def _(spark, d):
+    return t(spark, d, "documents").select("doc_id", tx.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query("worth_indexing", "SELECT doc_id, regexp_matches(text, '[_\\p{L}\\p{Nd}]') AND length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) - length(replace(trim(text, ' ' || chr(9) || chr(10) || chr(13)), chr(10), '')) + 1 >= 3 AS keep FROM documents")
+def _(spark, d):
+    return t(spark, d, "documents").select("doc_id", chunking.worth_indexing(F.col("text"), 3).alias("keep"))
+
+
+# ---- paths and heads: pages with extensions in turn, folders from the url
+
+
+_EXT = [".go", ".py", ".ts", ".tsx", ".js", ".rs", ".java", ".c", ".h", ".cc", ".md", ".json"]
+_DIRS = ["src", "tests", "testdata", "__tests__", "lib/core"]
+_STEM = ["main", "test_main", "main_test", "app.spec", "ServerTest"]
+
+
+def _pick(values: list[str], n) -> F.Column:  # noqa: ANN001
+    return F.get(F.array(*map(F.lit, values)), (n % len(values)).cast("int"))
+
+
+def _paths(spark, d):  # noqa: ANN001, ANN202
+    p, n = t(spark, d, "pages"), F.col("page_id")
+    path = F.concat(_pick(_DIRS, n), F.lit("/"), _pick(_STEM, F.floor(n / 5)), _pick(_EXT, n))
+    mark = F.when(n % 3 == 0, "// Code generated by x. DO NOT EDIT.\n").when(n % 3 == 1, "# notes\n\n// more\n").otherwise("class A::B\n")
+    return p.select("page_id", path.alias("path"), F.concat(mark, F.col("html"), F.when(n % 2 == 0, "\nclass x::y").otherwise("")).alias("content"))
+
+
+def _list(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+_PATHS = f"""files AS (SELECT page_id, ({_list(_DIRS)})[page_id % 5 + 1] || '/' || ({_list(_STEM)})[(page_id // 5) % 5 + 1] || ({_list(_EXT)})[page_id % 12 + 1] AS path,
+  CASE page_id % 3 WHEN 0 THEN '// Code generated by x. DO NOT EDIT.' || chr(10) WHEN 1 THEN '# notes' || chr(10) || chr(10) || '// more' || chr(10) ELSE 'class A::B' || chr(10) END || html || CASE WHEN page_id % 2 = 0 THEN chr(10) || 'class x::y' ELSE '' END AS content FROM pages)"""
+_LANG = {".go": "go", ".py": "python", ".ts": "typescript", ".tsx": "tsx", ".js": "javascript", ".rs": "rust", ".java": "java", ".c": "c", ".h": "c", ".cc": "cpp", ".md": "markdown", ".json": "data"}
+
+
+@query("classify_path", f"WITH {_PATHS} SELECT page_id, path, CASE WHEN path LIKE '%.h' AND (contains(content, chr(10) || 'class ') OR contains(content, '::')) THEN 'cpp' {' '.join(f"WHEN regexp_matches(path, '{e.replace('.', chr(92) + '.')}$') THEN '{n}'" for e, n in _LANG.items())} END AS language FROM files")
+def _(spark, d):
+    return _paths(spark, d).select("page_id", "path", languages.language(F.col("path"), F.col("content")).alias("language"))
+
+
+@query(
+    "is_test_path",
+    f"""WITH {_PATHS}, x AS (SELECT page_id, path, ({_list(_DIRS)})[page_id % 5 + 1] AS dir, ({_list(_STEM)})[(page_id // 5) % 5 + 1] AS stem, ({_list(_EXT)})[page_id % 12 + 1] AS ext FROM files)
+    SELECT page_id, path, CASE ext WHEN '.go' THEN stem = 'main_test' OR dir = 'testdata' WHEN '.py' THEN stem IN ('test_main', 'main_test') OR dir = 'tests' WHEN '.rs' THEN stem = 'main_test' OR dir = 'tests' WHEN '.java' THEN stem = 'ServerTest'
+      WHEN '.c' THEN stem IN ('test_main', 'main_test') OR dir = 'tests' WHEN '.h' THEN dir = 'tests' WHEN '.cc' THEN stem IN ('test_main', 'main_test') WHEN '.md' THEN false WHEN '.json' THEN false ELSE stem = 'app.spec' OR dir = '__tests__' END AS is_test FROM x""",
+)
+def _(spark, d):
+    return _paths(spark, d).select("page_id", "path", languages.is_test(F.col("path")).alias("is_test"))
+
+
+@query("header_lines", f"WITH {_PATHS} SELECT page_id, CASE page_id % 3 WHEN 0 THEN '// Code generated by x. DO NOT EDIT.' WHEN 1 THEN '# notes' || chr(10) || chr(10) || '// more' ELSE '' END AS head FROM files")
+def _(spark, d):
+    return _paths(spark, d).select("page_id", languages.head(F.col("content")).alias("head"))
+
+
+@query("is_generated", f"WITH {_PATHS} SELECT page_id, page_id % 3 = 0 AND NOT path LIKE '%.md' AS generated FROM files")
+def _(spark, d):
+    return _paths(spark, d).select("page_id", languages.is_generated(F.col("path"), languages.head(F.col("content"))).alias("generated"))
+
+
+# ---- spans: lines of an order as spans of a path
+
+
+def _spans(spark, d):  # noqa: ANN001, ANN202
+    line = t(spark, d, "lineitem")
+    start = (F.col("l_partkey") % 100).cast("bigint")
+    return line.select(F.col("l_orderkey").alias("path"), start.alias("start"), (start + F.col("l_quantity").cast("bigint")).alias("stop"), F.concat(F.lit("n"), F.col("l_linenumber").cast("string")).alias("name"), F.col("l_linestatus").alias("status"))
+
+
+_SPANS = "s AS (SELECT l_orderkey AS path, (l_partkey % 100)::BIGINT AS start, (l_partkey % 100)::BIGINT + l_quantity::BIGINT AS stop, 'n' || l_linenumber AS name, l_linestatus AS status FROM lineitem)"
+_SPLIT = f"{_SPANS}, u AS (SELECT path, start, stop, name FROM s WHERE status = 'O'), r AS (SELECT path, start, stop, name FROM s WHERE status <> 'O')"
+
+
+def _units(spark, d):  # noqa: ANN001, ANN202
+    s = _spans(spark, d)
+    return s.filter("status = 'O'").drop("status"), s.filter("status <> 'O'").drop("status")
+
+
+@query("interval_anti", f"WITH {_SPLIT} SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.path = u.path AND u.start >= r.start AND u.stop <= r.stop)")
+def _(spark, d):
+    return intervals.remove_inside(*_units(spark, d))
+
+
+@query("interval_unique", f"WITH {_SPANS} SELECT path, start, stop, min(name) AS name FROM s GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY path, start, stop"))
+def _(spark, d):
+    return intervals.unique_spans(_spans(spark, d).drop("status"))
+
+
+@query("interval_outermost", f"WITH {_SPANS} SELECT path, start, stop, name FROM (SELECT *, max(stop) OVER (PARTITION BY path ORDER BY start, stop DESC, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s) WHERE reach IS NULL OR stop > reach")
+def _(spark, d):
+    return intervals.outermost(_spans(spark, d).drop("status"))
+
+
+@query(
+    "interval_gaps",
+    f"""WITH {_SPANS}, p AS (SELECT DISTINCT path FROM s), c AS (SELECT path, x FROM p, range(160) t(x)), free AS (SELECT path, x FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.path = c.path AND s.start <= x AND x < s.stop))
+    SELECT path, min(x) AS start, max(x) + 1 AS stop FROM (SELECT *, x - row_number() OVER (PARTITION BY path ORDER BY x) AS g FROM free) GROUP BY path, g""",
+)
+def _(spark, d):
+    s = _spans(spark, d)
+    return intervals.gaps(s, s.select("path", F.lit(160).cast("bigint").alias("size")).distinct())
+
+
+@query(
+    "scope_qualify",
+    f"""WITH {_SPLIT}, un AS (SELECT DISTINCT * FROM u)
+    SELECT u.*, array_to_string(list_append(coalesce(list(r.name ORDER BY r.start, r.stop DESC, r.name) FILTER (r.name IS NOT NULL), []), u.name), '.') AS qualified
+    FROM un u LEFT JOIN r ON r.path = u.path AND u.start >= r.start AND u.stop <= r.stop GROUP BY u.path, u.start, u.stop, u.name""",
+)
+def _(spark, d):
+    u, r = _units(spark, d)
+    return intervals.qualify(u.distinct(), r)
+
+
+@query(
+    "innermost_scope",
+    f"""WITH {_SPLIT}, un AS (SELECT DISTINCT * FROM u)
+    SELECT u.*, coalesce(arg_min(r.name, (r.stop - r.start, r.start, r.name)), '') AS scope FROM un u LEFT JOIN r ON r.path = u.path AND u.start >= r.start AND u.stop <= r.stop GROUP BY u.path, u.start, u.stop, u.name""",
+)
+def _(spark, d):
+    u, r = _units(spark, d)
+    return intervals.innermost_scope(u.distinct(), r)
+
+
+# ---- store: cache hits and misses, upsert, digests
+
+
+def _keyed(spark, d):  # noqa: ANN001, ANN202
+    docs = t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("_hash"))
+    cache = t(spark, d, "labels").join(docs, "doc_id").select(F.col("_hash").alias("hash"))
+    return catalog.split_cache(docs, cache)
+
+
+_CACHE = "k AS (SELECT doc_id, sha256(text) AS h FROM documents), c AS (SELECT DISTINCT h FROM k JOIN labels USING (doc_id))"
+
+
+@query("cache_hits", f"WITH {_CACHE} SELECT doc_id FROM k SEMI JOIN c USING (h)")
+def _(spark, d):
+    return _keyed(spark, d)[0].select("doc_id")
+
+
+@query("cache_misses", f"WITH {_CACHE} SELECT doc_id FROM k ANTI JOIN c USING (h)")
+def _(spark, d):
+    return _keyed(spark, d)[1].select("doc_id")
+
+
+@query("upsert", "SELECT doc_id AS id, coalesce('q' || quality, lang) AS value FROM documents LEFT JOIN labels USING (doc_id)")
+def _(spark, d):
+    old = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("value"))
+    new = t(spark, d, "labels").select(F.col("doc_id").alias("id"), F.concat(F.lit("q"), F.col("quality").cast("string")).alias("value"))
+    return catalog.upserted(old, new, "id")
+
+
+@query("index_counts", f"WITH {CHUNKS_SQL} SELECT count(DISTINCT path) AS files, count(*) AS chunks FROM chunks")
+def _(spark, d):
+    return conv_chunks(spark, d).agg(F.countDistinct("path").alias("files"), F.count("*").alias("chunks"))
+
+
+@query("fingerprint_diff", "SELECT unnest(['dim', 'chunker', 'embedder']) AS field")
+def _(spark, d):
+    gone = catalog.stale_fields("schema=1 embedder=hash-256 dim=256 chunker=line", "schema=1 dim=64 chunker=syntax")
+    return spark.createDataFrame([(x,) for x in gone], "field string")
+
+
+@query("human_bytes", "SELECT doc_id, CASE WHEN n < 1024 THEN n || 'B' ELSE printf('%.1fK', n / 1024) END AS size FROM (SELECT doc_id, strlen(text) AS n FROM documents)")
+def _(spark, d):
+    return t(spark, d, "documents").select("doc_id", tx.human_bytes(F.octet_length("text")).alias("size"))
+
+
+# ---- graphs: hosts and the links of their pages; customers and suppliers by nation as a deeper one
+
+
+def _edges(spark, d):  # noqa: ANN001, ANN202
+    p = t(spark, d, "pages").select(F.regexp_extract("url", "//([^/?]+)", 1).alias("src"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("dst"))
+    return graph.edge_set(p)
+
+
+def _tree(spark):  # noqa: ANN001, ANN202
+    """n -> n / 2 for 2..1000, and one edge back from the root."""
+    return spark.range(2, 1001).select(F.col("id").cast("string").alias("src"), F.floor(F.col("id") / 2).cast("string").alias("dst")).union(spark.createDataFrame([("1", "777")], "src string, dst string"))
+
+
+_EDGES = "e AS (SELECT DISTINCT regexp_extract(url, '//([^/?]+)', 1) AS src, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS dst FROM pages)"
+_TREE = "e AS (SELECT n::VARCHAR AS src, (n // 2)::VARCHAR AS dst FROM range(2, 1001) t(n) UNION ALL SELECT '1', '777')"
+
+
+@query("edges", f"WITH {_EDGES} SELECT * FROM e")
+def _(spark, d):
+    return _edges(spark, d)
+
+
+@query("nodes", f"WITH {_EDGES} SELECT src AS node FROM e UNION SELECT dst FROM e")
+def _(spark, d):
+    return graph.nodes(_edges(spark, d))
+
+
+@query("neighbors_out", f"WITH {_EDGES} SELECT DISTINCT dst AS node FROM e WHERE src = 'blog.tionsh.example.net'")
+def _(spark, d):
+    return graph.depends_on(_edges(spark, d), "blog.tionsh.example.net")
+
+
+@query("neighbors_in", f"WITH {_EDGES} SELECT DISTINCT src AS node FROM e WHERE dst = '/The'")
+def _(spark, d):
+    return graph.dependents(_edges(spark, d), "/The")
+
+
+@query("impact", f"WITH RECURSIVE {_TREE}, r AS (SELECT '12' AS node UNION SELECT e.src FROM r JOIN e ON e.dst = r.node) SELECT node FROM r WHERE node <> '12'")
+def _(spark, d):
+    return graph.impact(_tree(spark), spark.createDataFrame([("12",)], "node string")).select("node")
+
+
+@query(
+    "trace",
+    f"""WITH RECURSIVE {_TREE}, r AS (SELECT '1000' AS node, ['1000'] AS path UNION ALL SELECT e.dst, list_append(r.path, e.dst) FROM r JOIN e ON e.src = r.node WHERE NOT list_contains(r.path, e.dst) AND len(r.path) < 25)
+    SELECT unnest(path) AS node, unnest(range(len(path)))::BIGINT AS place FROM (SELECT path FROM r WHERE node = '97' ORDER BY len(path), path LIMIT 1)""",
+)
+def _(spark, d):
+    path = graph.trace(_tree(spark), "1000", "97") or []
+    return spark.createDataFrame(list(zip(path, range(len(path)))), "node string, place bigint")
+
+
+@query("resolve_symbol", f"WITH {_EDGES}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e) SELECT node FROM n WHERE contains(lower(node), 'blog')")
+def _(spark, d):
+    return graph.resolve(graph.nodes(_edges(spark, d)), "Blog")
+
+
+@query("mermaid_edges", f"WITH {_EDGES}, n AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS i FROM (SELECT src AS node FROM e UNION SELECT dst FROM e)) SELECT '  n' || a.i || ' --> n' || b.i AS line FROM e JOIN n a ON a.node = e.src JOIN n b ON b.node = e.dst")
+def _(spark, d):
+    return graph.mermaid_lines(_edges(spark, d)).filter("part = 2").select("line")
+
+
+# ---- an extension beside the reference: event windows, as in the streaming module
+
+
+@query("event_windows", "SELECT time_bucket(INTERVAL 5 MINUTE, ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def _(spark, d):
+    from ..streaming.incremental import windowed_counts
+
+    got = windowed_counts(t(spark, d, "events"))
+    return got.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
