@@ -104,11 +104,47 @@ def _near(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 front, open_ = np.concatenate([front, found]), open_[~hit]
 
 
+#: Groups of one variant up to this size compare fingerprints with each other, larger ones look up their neighbours.
+DENSE = 4096
+_OFFSETS = [np.array([x for x in range(1 << 16) if x.bit_count() <= k], np.int64) for k in range(RADIUS + 1)]
+
+
+def _near_dense(group: np.ndarray, mask: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As ``_near`` for the fingerprints of one variant and mask, in time that grows with their number only.
+
+    Outside the masked block they take few values (the variant and its one-bit flips), so members are
+    found by that value and the block's 16 bits; labels fall to the least member in reach.
+    """
+    f = np.unique(group)
+    shift = np.uint64(16 * mask)
+    inner = ((f >> shift) & np.uint64(0xFFFF)).astype(np.int64)
+    outer, row = np.unique(f & ~(np.uint64(0xFFFF) << shift), return_inverse=True)
+    table = np.full((len(outer), 1 << 16), -1, np.int64)
+    table[row, inner] = np.arange(len(f))
+    label = np.arange(len(f))
+    while True:
+        new = label.copy()
+        for a in range(len(outer)):
+            mine = np.flatnonzero(row == a)
+            for b in range(len(outer)):
+                left = RADIUS - int(np.bitwise_count(outer[a] ^ outer[b]))
+                for x in _OFFSETS[left] if left >= 0 else ():
+                    near = table[b, inner[mine] ^ x]
+                    hit = near >= 0
+                    new[mine[hit]] = np.minimum(new[mine[hit]], label[near[hit]])
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    if len(f):
+        yield f[label], f
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links among the fingerprints of each variant; the rows come sorted by variant."""
-    held_v, held_f = np.empty(0, np.int64), np.empty(0, np.uint64)
+    held_v, held_f, held_m = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int8)
 
-    def links(v: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def links(v: np.ndarray, f: np.ndarray, mask: np.ndarray) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(v[1:] != v[:-1]) + 1
         starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(v)]])
         many = np.flatnonzero(ends - starts > 1)
@@ -117,7 +153,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         close = np.bitwise_count(a[0] ^ b[0]) <= RADIUS
         a, b = [a[0][close]], [b[0][close]]
         for k in many[ends[many] - starts[many] > 2].tolist():
-            for x, y in _near(f[starts[k] : ends[k]]):
+            at = slice(starts[k], ends[k])
+            found = _near(f[at]) if ends[k] - starts[k] <= DENSE else (p for t in range(len(_BLOCKS)) for p in _near_dense(f[at][mask[at] == t], t))
+            for x, y in found:
                 a.append(x)
                 b.append(y)
         x, y = np.concatenate(a), np.concatenate(b)
@@ -129,15 +167,15 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         v = np.concatenate([held_v, np.asarray(batch.column(0))])
         f = np.concatenate([held_f, np.asarray(batch.column(1)).view(np.uint64)])
+        m = np.concatenate([held_m, np.asarray(batch.column(2))])
         if not len(v):
             continue
         last = int(np.searchsorted(v, v[-1]))  # the last variant may go on in the next batch
         if last:
-            yield from links(v[:last], f[:last])
-        # equal fingerprints in a held group add nothing
-        held_v, held_f = v[last:], f[last:]
+            yield from links(v[:last], f[:last], m[:last])
+        held_v, held_f, held_m = v[last:], f[last:], m[last:]
     if len(held_v):
-        yield from links(held_v, held_f)
+        yield from links(held_v, held_f, held_m)
 
 
 def fingerprint_links(fps: DataFrame) -> DataFrame:
@@ -150,7 +188,8 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     codes = F.array(*[F.lit(k).cast("short") for k in range(len(_VARIANTS))])
     v = fps.repartition(n, "fp").select("fp", F.explode(codes).alias("code"))
     # only (fp, code) is shuffled; the variant is computed before and after
-    v = v.repartition(n, _variant(F.col("fp"), F.col("code"))).select(_variant(F.col("fp"), F.col("code")).alias("v"), "fp")
+    v = v.repartition(n, _variant(F.col("fp"), F.col("code")))
+    v = v.select(_variant(F.col("fp"), F.col("code")).alias("v"), "fp", (F.col("code") / (len(_VARIANTS) // len(_BLOCKS))).cast("tinyint").alias("mask"))
     return v.sortWithinPartitions("v").mapInArrow(_meet, "a bigint, b bigint").distinct()
 
 
