@@ -2,28 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import short_name
-
-
-def _shared(spark: SparkSession) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="loamline-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/graph-{uuid.uuid4().hex}"
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back, so that rounds don't pile up plans."""
-    at = _shared(df.sparkSession)
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+from ..sources.shared import kept
 
 
 def edge_set(edges: DataFrame) -> DataFrame:
@@ -48,16 +31,16 @@ def impact(edges: DataFrame, starts: DataFrame, max_rounds: int = 10_000) -> Dat
     Frontiers of all starts advance together; a round joins the frontier with the edges and drops what was
     seen, and is written to the shared folder.
     """
-    seen = _kept(starts.select(F.col("node").alias("start"), "node").distinct().withColumn("depth", F.lit(0)))
+    seen = kept(starts.select(F.col("node").alias("start"), "node").distinct().withColumn("depth", F.lit(0)))
     front = seen
     for depth in range(1, max_rounds):
         step = front.join(edges.select("src", F.col("dst").alias("node")), "node").select("start", F.col("src").alias("node")).distinct()
-        front = _kept(step.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        front = kept(step.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
         if depth % 8 == 0:
-            seen = _kept(seen)
+            seen = kept(seen)
     return seen.filter(F.col("node") != F.col("start"))
 
 
@@ -67,11 +50,11 @@ def trace(edges: DataFrame, start: str, end: str, max_rounds: int = 10_000) -> l
         return [start]
     spark = edges.sparkSession
     front = spark.createDataFrame([(start, [start])], "node string, path array<string>")
-    seen = _kept(front.select("node"))
+    seen = kept(front.select("node"))
     for depth in range(1, max_rounds):
         step = front.join(edges.select(F.col("src").alias("node"), "dst"), "node")
         step = step.groupBy(F.col("dst").alias("node")).agg(F.min("path").alias("path")).join(seen, "node", "left_anti")
-        front = _kept(step.select("node", F.concat("path", F.array("node")).alias("path")))
+        front = kept(step.select("node", F.concat("path", F.array("node")).alias("path")))
         hit = front.filter(F.col("node") == end).select("path").first()
         if hit:
             return list(hit[0])
@@ -79,7 +62,7 @@ def trace(edges: DataFrame, start: str, end: str, max_rounds: int = 10_000) -> l
             return None
         seen = seen.unionByName(front.select("node"))
         if depth % 8 == 0:
-            seen = _kept(seen)
+            seen = kept(seen)
     return None
 
 

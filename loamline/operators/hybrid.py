@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
+from ..sources.shared import kept
 from .fusion import best_per_path, collapse, fuse, take
 from .lexical import LexicalIndex, file_documents, search
 from .nearest import nearest_rescored
@@ -29,11 +30,17 @@ class HybridIndex:
         files = file_documents(chunks)
         return cls(chunks, LexicalIndex.build(chunks, "id", parts), files, LexicalIndex.build(files, "path", parts), settings)
 
+    def stored(self) -> HybridIndex:
+        """Chunks and both word indexes written to the shared folder once."""
+        chunks, files = kept(self.chunks, "chunks"), kept(self.files, "files")
+        return HybridIndex(chunks, self.words.stored(), files, self.file_words.stored(), self.settings)
+
     def _candidates(self, queries: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
         s, depth = self.settings, top * self.settings.candidate_factor
         near = nearest_rescored(self.chunks.select("id", "vector"), queries, depth, s.rescore_factor)
         words = search(self.words, queries, depth, s.k1, s.b)
-        return near, words
+        # short lists that fusion reads several times
+        return kept(near, "near"), kept(words, "words")
 
     def search_chunks(self, queries: DataFrame, top: int = 10) -> DataFrame:
         """(query_id, rank, score, chunk columns) from (query_id, query, vector)."""

@@ -1,44 +1,98 @@
-"""Nearest vectors: exact, and a byte scan with exact rescoring."""
+"""Nearest vectors for a block of queries: exact, and a byte scan with exact rescoring.
+
+The queries are a stated, bounded block that every task holds as a matrix; each batch of vectors is
+multiplied with it and passes on only what may be among the best, so no pairs are written out.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.vectors import cosine, dot_bytes, quantize
 from .lexical import DECIMALS, ranked
 
-#: A block of queries is joined with all vectors; it is broadcast, and no larger than this.
-MOST_QUERIES = 10_000
+#: The largest block of queries, and entries of a product that are held at once.
+MOST_QUERIES, MOST_ENTRIES = 10_000, 4_000_000
 
 
-def _queries(queries: DataFrame) -> DataFrame:
-    n = queries.limit(MOST_QUERIES + 1).count()
-    if n > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: search in blocks")
-    return F.broadcast(queries.select("query_id", F.col("vector").alias("query_vector")))
+def _quantized(m: np.ndarray) -> np.ndarray:
+    """Bytes from -127 to 127, half away from zero, kept as floats so that products are exact and fast."""
+    return np.clip(np.sign(m) * np.floor(np.abs(m) * 127 + 0.5), -127, 127)
 
 
-def nearest_exact(vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame:
-    """(query_id, id, score, rank) by cosine; vectors without entries are left out.
+def _scan(vectors: DataFrame, queries: DataFrame, keep: int, quantized: bool) -> DataFrame:
+    """(query_id, id, near, score): of every batch, the rows whose near value is among its ``keep`` best or equals them.
 
-    A stated block of queries against all vectors; every partition keeps its own best before the shuffle.
+    ``near`` is the product of quantized vectors, or the rounded cosine.  Vectors of another length than the
+    query's have no product, and cosine 0.
     """
+    rows = queries.select("query_id", "vector").limit(MOST_QUERIES + 1).collect()
+    if len(rows) > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries: search in blocks")
+    by_size: dict[int, list] = {}
+    for r in rows:
+        by_size.setdefault(len(r["vector"] or ()), []).append(r)
+    kind = T.StructType([queries.schema["query_id"], vectors.schema["id"], T.StructField("near", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    names = ["query_id", "id", "near", "score"]
+    blocks = [(size, [r["query_id"] for r in some], np.array([r["vector"] for r in some], np.float64).reshape(len(some), size)) for size, some in by_size.items()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, column = batch.column(0), batch.column(1)
+            lengths = np.asarray(column.value_lengths().fill_null(0))
+            for size, query_ids, q in blocks:
+                if not size:
+                    if not quantized:
+                        yield from _out(ids, np.arange(len(ids)), query_ids, np.zeros((len(ids), len(q))), np.zeros((len(ids), len(q))))
+                    continue
+                fits = np.flatnonzero(lengths == size)
+                others = np.empty(0, np.int64) if quantized else np.flatnonzero(lengths != size)
+                values = np.asarray(column.take(pa.array(fits)).flatten(), np.float64).reshape(-1, size)
+                q_size = np.linalg.norm(q, axis=1)
+                step = max(1, MOST_ENTRIES // len(q))
+                for at in range(0, len(fits), step):
+                    v = values[at : at + step]
+                    norm = np.linalg.norm(v, axis=1)[:, None] * q_size[None, :]
+                    score = np.divide(v @ q.T, norm, out=np.zeros_like(norm), where=norm > 0)
+                    near = _quantized(v) @ _quantized(q).T if quantized else np.round(score, DECIMALS)
+                    yield from _out(ids, fits[at : at + step], query_ids, near, score)
+                for at in range(0, len(others), step):
+                    zero = np.zeros((len(others[at : at + step]), len(q)))
+                    yield from _out(ids, others[at : at + step], query_ids, zero, zero)
+
+    def _out(ids: pa.Array, place: np.ndarray, query_ids: list, near: np.ndarray, score: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(place):
+            return
+        if len(place) > keep:
+            least = -np.partition(-near, keep - 1, axis=0)[keep - 1]
+            row, col = np.nonzero(near >= least[None, :])
+        else:
+            row, col = (x.ravel() for x in np.indices(near.shape))
+        qs = pa.array(query_ids).take(pa.array(col))
+        yield pa.RecordBatch.from_arrays([qs, ids.take(pa.array(place[row])), pa.array(near[row, col]), pa.array(score[row, col])], names=names)
+
+    return vectors.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, kind)
+
+
+def nearest_exact(vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame:
+    """(query_id, id, score, rank) by cosine; vectors without entries are left out, ties go by id."""
     some = vectors.filter(F.coalesce(F.size("vector"), F.lit(0)) > 0)
-    scored = some.crossJoin(_queries(queries)).select("query_id", "id", cosine(F.col("vector"), F.col("query_vector")).alias("score"))
-    return ranked(scored, top)
+    if top <= 0:
+        return ranked(_scan(some.limit(0), queries, 1, False).drop("near"), 0)
+    return ranked(_scan(some, queries, top, False).drop("near"), top)
 
 
 def nearest_rescored(vectors: DataFrame, queries: DataFrame, top: int, factor: int = 6) -> DataFrame:
     """As ``nearest_exact``, from the top * factor best of a scan over quantized vectors; ties of the scan go by id."""
-    q = _queries(queries)
-    held = vectors.filter(F.col("vector").isNotNull())
-    code = held.withColumn("code", quantize(F.col("vector"))) if "code" not in held.columns else held
-    scanned = code.crossJoin(q.withColumn("query_code", quantize(F.col("query_vector")))).filter(F.size("vector") == F.size("query_vector"))
-    scanned = scanned.select("query_id", "id", "vector", "query_vector", dot_bytes(F.col("code"), F.col("query_code")).alias("near"))
+    if top <= 0:
+        return nearest_exact(vectors, queries, 0)
+    pool = top * (factor if factor > 0 else 6)
+    scanned = _scan(vectors.filter(F.col("vector").isNotNull()), queries, pool, True)
     order = Window.partitionBy("query_id").orderBy(F.col("near").desc(), F.col("id"))
-    pool = scanned.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top * max(factor, 1))
-    return ranked(pool.select("query_id", "id", cosine(F.col("vector"), F.col("query_vector")).alias("score")), top)
-
-
-__all__ = ["DECIMALS", "nearest_exact", "nearest_rescored"]
+    best = scanned.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= pool)
+    return ranked(best.select("query_id", "id", "score"), top)

@@ -12,6 +12,7 @@ from ..functions import vectors as vx
 from ..operators import chunking, evaluation, fusion, graph, intervals, languages, lexical, nearest
 from ..operators.hybrid import HybridIndex
 from ..sources import catalog
+from ..sources.shared import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -160,12 +161,12 @@ for _name, _text in (("bm25_single", "the of worthless"), ("bm25_repeated_term",
 
     @query(_name, _single_sql(_text))
     def _(spark, d, text=_text):
-        return lexical.search(doc_index(spark, d), _one(spark, text)).select("query_id", "id", r6("score"), "rank")
+        return lexical.search(doc_index(spark, d).stored(), _one(spark, text)).select("query_id", "id", r6("score"), "rank")
 
 
 @query("bm25_batch", f"WITH {_DOC}, {_QUERIES}, {bm25_sql('', 'docs', 'queries', 10)} SELECT query_id, id, round(score, 6) AS score, rank::INTEGER AS rank FROM ranked")
 def bm25_batch(spark, d):
-    return lexical.search(doc_index(spark, d), bench_queries(spark, d)).select("query_id", "id", r6("score"), "rank")
+    return lexical.search(doc_index(spark, d).stored(), bench_queries(spark, d)).select("query_id", "id", r6("score"), "rank")
 
 
 @query(
@@ -174,7 +175,7 @@ def bm25_batch(spark, d):
 )
 def _(spark, d):
     index = lexical.LexicalIndex.build(t(spark, d, "pages"), "page_id", [F.col("url"), F.col("html")])
-    return lexical.search(index, bench_queries(spark, d), 5).select("query_id", "id", r6("score"), "rank")
+    return lexical.search(index.stored(), bench_queries(spark, d), 5).select("query_id", "id", r6("score"), "rank")
 
 
 @query("file_docs", f"WITH {CHUNKS_SQL}, {FILES_SQL} SELECT * FROM files")
@@ -188,7 +189,7 @@ def _(spark, d):
 )
 def _(spark, d):
     index = lexical.LexicalIndex.build(lexical.file_documents(conv_chunks(spark, d)), "path", [F.col("path"), F.col("symbol"), F.col("content")])
-    return lexical.search(index, bench_queries(spark, d)).select("query_id", "id", r6("score"), "rank")
+    return lexical.search(index.stored(), bench_queries(spark, d)).select("query_id", "id", r6("score"), "rank")
 
 
 # ---- vectors
@@ -316,7 +317,7 @@ def conv_hybrid(spark: SparkSession, d: str) -> tuple[HybridIndex, DataFrame]:
     vectors = vx.hash_vectors(chunks, "id", F.col("content"), DIM)
     q = bench_queries(spark, d)
     q = q.join(vx.hash_vectors(q, "query_id", F.col("query"), DIM).withColumnRenamed("id", "query_id"), "query_id")
-    return HybridIndex.build(chunks.join(vectors, "id")), q
+    return HybridIndex.build(kept(chunks.join(vectors, "id"), "chunks")).stored(), kept(q, "queries")
 
 
 _HYBRID = f"""{CHUNKS_SQL}, {FILES_SQL}, qs AS (SELECT item_id AS query_id, text AS query FROM benchmark),
@@ -402,13 +403,13 @@ each_k AS (SELECT s.query_id, k.k, CASE WHEN n > 0 THEN count(h.id) FILTER (h.ra
 
 @query("recall_at_ks", f"{_EVAL} SELECT k, count(*) AS queries, round(avg(recall), 6) AS recall, round(avg(CASE WHEN first_rank > 0 THEN 1.0 / first_rank ELSE 0.0 END), 6) AS mrr FROM each_k GROUP BY k")
 def _(spark, d):
-    hits = lexical.search(doc_index(spark, d), bench_queries(spark, d))
+    hits = lexical.search(doc_index(spark, d).stored(), bench_queries(spark, d))
     return evaluation.evaluate(hits, _gold(spark, d), _KS).select("k", "queries", r6("recall"), r6("mrr"))
 
 
 @query("per_query_rank", f"{_EVAL} SELECT query_id, k, round(recall, 6) AS recall, first_rank::INTEGER AS first_rank FROM each_k")
 def _(spark, d):
-    hits = lexical.search(doc_index(spark, d), bench_queries(spark, d))
+    hits = lexical.search(doc_index(spark, d).stored(), bench_queries(spark, d))
     return evaluation.per_query(hits, _gold(spark, d), _KS).select("query_id", "k", r6("recall"), "first_rank")
 
 
