@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WORD_BREAKS = r"[^\p{L}\p{Nd}]+|(?<=[\p{Ll}\p{Nd}])(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
+WORD_BREAKS = r"[^\p{L}\p{Nd}]+|(?<=[\p{Ll}\p{Nd}])(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
 
 
 def identifier_words(text: Column) -> Column:
     """Lower-case words; camelCase, acronyms and snake_case are taken apart."""
-    return F.filter(F.transform(F.split(text, _WORD_BREAKS), F.lower), lambda w: w != "")
+    return F.filter(F.transform(F.split(text, WORD_BREAKS), F.lower), lambda w: w != "")
 
 
 def plain_words(text: Column) -> Column:
