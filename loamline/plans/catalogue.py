@@ -386,7 +386,7 @@ def _gold(spark, d):  # noqa: ANN001, ANN202
     # inner words of a passage are whole words of the text; the first and the last one may be parts
     q = items.select("item_id", F.col("text").alias("passage"), window(words("text"), F.lit(1)).alias("h"))
     spots = docs.select("doc_id", words("text").alias("w")).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: window(F.col("w"), i)))).alias("h"))
-    near = spots.join(F.broadcast(q.select("item_id", "h")), "h").select("doc_id", "item_id").distinct()
+    near = spots.join(q.select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
     found = near.join(docs, "doc_id").join(items.select("item_id", F.col("text").alias("passage")), "item_id").filter(F.col("text").contains(F.col("passage")))
     sets = found.groupBy(F.col("item_id").alias("query_id")).agg(F.collect_set("doc_id").alias("relevant"))
     return items.select(F.col("item_id").alias("query_id")).join(sets, "query_id", "left").withColumn("relevant", F.coalesce("relevant", F.array().cast("array<bigint>")))
