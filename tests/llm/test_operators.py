@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loamline.llm import chat, exact_dedup, html_text, mixing, pieces, quality, secrets, simhash, token_files, toxicity
+from loamline.llm import chat, exact_dedup, html_text, minhash, mixing, pieces, quality, secrets, simhash, token_files, toxicity
 from loamline.llm.queries import ORACLES, QUERIES, tokenizer_file
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -407,6 +407,46 @@ def test_mix_comes_near_targets(spark):
     assert all(abs(x["taken"] - x["target"]) <= 1.5 * x["largest"] for x in by)
 
 
+# ---- near copies of the pipeline
+
+
+def test_near_stage_finds_similar_texts(spark):
+    """Against all pairs: texts with changed words at similarities around 0.8, in clusters and chains."""
+    r = random.Random(23)
+    texts = []
+    for _ in range(12):
+        base = [f"{word(r)}{r.randrange(1000)}" for _ in range(r.choice([30, 80, 300]))]
+        for _ in range(5):
+            copy = list(base)
+            for _ in range(r.randrange(1 + len(copy) // 40)):
+                copy[r.randrange(len(copy))] = word(r)
+            texts.append(" ".join(copy))
+            base = copy if r.random() < 0.5 else base
+    texts += ["", None, " ", "a b c", "A b  c", "a b d"]
+    own = []
+    for t in texts:
+        w = (t or "").lower().split()
+        own.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)})
+    alike = [(i, j) for i in range(len(own)) for j in range(i) if len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j])]
+    label = list(range(len(own)))
+    for _ in label:
+        for i, j in alike:
+            label[i] = label[j] = min(label[i], label[j])
+    got = corpus_pipeline.near(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "").collect()
+    assert sorted(x["doc_id"] for x in got) == sorted(set(label))
+    assert corpus_pipeline.near(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
+
+
+def test_near_stage_compares_all_of_a_bucket(spark, monkeypatch):
+    """One bucket for everything: pairs that no end of the bucket is part of are still found."""
+    monkeypatch.setattr(minhash, "bands", lambda own: np.zeros(minhash.BANDS, np.uint64))
+    r = random.Random(29)
+    base = [" ".join(word(r) + str(k) for k in range(60)) for _ in range(6)]
+    texts = base + [t + " end" for t in base]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(x["doc_id"] for x in minhash.drop_similar(docs).collect()) == list(range(6))
+
+
 # ---- pages
 
 
