@@ -1,9 +1,9 @@
 """Main text of HTML pages by wrapper induction.
 
 Some pages of each host are aligned by simple tree matching.  A text that all of them have in the same
-place belongs to the template; the place whose text differs most is the content slot.  A page is then read
-with the wrapper of its host: template texts go, and so does what markup names as something other than
-the article (menus, notices, adverts, forms, comments...), which may differ from page to page.
+place belongs to the template; all places that vary are content.  A page is then read with the wrapper of
+its host: template texts go, and so does what markup names as something other than the article (menus,
+notices, adverts, forms, comments...), which may differ from page to page.
 """
 
 from __future__ import annotations
@@ -248,7 +248,7 @@ def _paths(n: Node, path: str, out: dict[int, str]) -> dict[int, str]:
 
 
 def induce(pages: list[str]) -> dict:
-    """The wrapper of a host from some of its pages: template (path, text) pairs and the path of the content slot.
+    """The wrapper of a host from some of its pages: its template as (path, text) pairs.
 
     A page whose text mostly equals that of the first one is a copy of it and says nothing about the
     template; with fewer than three different pages there is no template.
@@ -261,10 +261,9 @@ def induce(pages: list[str]) -> dict:
         if all(len(words[k] & words[o]) < 0.5 * max(1, min(len(words[k]), len(words[o]))) for o in [0, *others]):
             others.append(k)
     if len(others) < 2:
-        return {"template": [], "slot": ""}
+        return {"template": []}
     place = _paths(first, "", {})
     same: dict[tuple[str, str], int] = {}
-    varied: dict[str, int] = {}
     for k in others:
         pairs: list[tuple[Node, Node]] = []
         tree_match(first, trees[k], pairs)
@@ -275,48 +274,28 @@ def induce(pages: list[str]) -> dict:
             x, y = clean("".join(_own(a))), clean("".join(_own(b)))
             if x and x == y:
                 constant.add((place[id(a)], x))
-            elif x:
-                up = place[id(a)].rpartition("/")[0]
-                varied[up] = varied.get(up, 0) + len(x)
         for c in constant:
             same[c] = same.get(c, 0) + 1
     template = sorted(c for c, n in same.items() if n == len(others))[:200]
-    return {"template": template, "slot": max(sorted(varied), key=varied.get) if varied else ""}
+    return {"template": template}
 
 
 @lru_cache(maxsize=4096)
-def _wrapper(text: str | None) -> tuple[frozenset, str]:
-    w = json.loads(text) if text else {"template": [], "slot": ""}
-    return frozenset(tuple(c) for c in w["template"]), w["slot"]
-
-
-def _at(root: Node, path: str) -> list[tuple[Node, str]]:
-    """Nodes at a path of block signs, in page order."""
-    found, todo = [], [(root, "")]
-    while todo:
-        n, up = todo.pop()
-        here = f"{up}/{n.sign}" if n.tag in _BLOCK else up
-        if here == path and n.tag in _BLOCK:
-            found.append((n, up))
-        elif path.startswith(here):
-            todo.extend((k, here) for k in reversed(n.kids) if isinstance(k, Node))
-    return found
+def _wrapper(text: str | None) -> frozenset:
+    return frozenset(tuple(c) for c in json.loads(text)["template"]) if text else frozenset()
 
 
 def main_text(page: str | None, wrapper: str | None = None) -> str:
     """The article of a page: its blocks joined by line breaks."""
     if not page:
         return ""
-    template, slot = _wrapper(wrapper)
+    template = _wrapper(wrapper)
     tree = parse(page)
     roots = _find_roots(tree)
     if roots:
         place = _paths(tree, "", {}) if template else {}
         found = [b for r in roots for b in blocks(r, True, template, place.get(id(r), "").rpartition("/")[0])]
         return "\n".join(found)
-    for n, up in _at(tree, slot) if slot else []:
-        if not _boilerplate(n, False) and (found := blocks(n, False, template, up)):
-            return "\n".join(found)
     return "\n".join(blocks(tree, False, template))
 
 

@@ -481,6 +481,23 @@ def test_tree_match_counts_common_nodes():
     assert html_text.tree_match(a, b) == 5
 
 
+def words_of(r, n):
+    return " ".join(word(r) + str(r.randrange(10_000)) for _ in range(n))
+
+
+def read_pages(spark, pages):
+    df = spark.createDataFrame([(k, f"http://h.org/{k}", p) for k, p in enumerate(pages)], "page_id bigint, url string, html string")
+    return {x["page_id"]: x["text"] for x in html_text.extract_pages(df).collect()}
+
+
+def test_every_varying_place_is_read(spark):
+    r = random.Random(31)
+    parts = [[words_of(r, n) for n in (4, 12, 60, 40, 20)] for _ in range(8)]
+    page = lambda t: f"<div class=top>Paper of Record</div><div class=post><h1>{t[0]}</h1><p>{t[1]}</p>" + "".join(f"<div class=sec><p>{x}</p></div>" for x in t[2:]) + "</div>"
+    got = read_pages(spark, [page(t) for t in parts])
+    assert all(got[k] == "\n".join(t) for k, t in enumerate(parts))
+
+
 # ---- queries and pipeline
 
 
