@@ -276,8 +276,7 @@ def induce(pages: list[str]) -> dict:
                 constant.add((place[id(a)], x))
         for c in constant:
             same[c] = same.get(c, 0) + 1
-    template = sorted(c for c, n in same.items() if n == len(others))[:200]
-    return {"template": template}
+    return {"template": sorted(c for c, n in same.items() if n == len(others))}
 
 
 @lru_cache(maxsize=4096)

@@ -498,6 +498,14 @@ def test_every_varying_place_is_read(spark):
     assert all(got[k] == "\n".join(t) for k, t in enumerate(parts))
 
 
+def test_template_of_any_length(spark):
+    r = random.Random(37)
+    menu = "<ul>" + "".join(f"<li>entry {k:03}" for k in range(450)) + "</ul>"
+    texts = [words_of(r, 600) for _ in range(6)]
+    got = read_pages(spark, [f"<div class=x>{menu}<p>{t}</p></div>" for t in texts])
+    assert got == dict(enumerate(texts))
+
+
 # ---- queries and pipeline
 
 
