@@ -1,7 +1,7 @@
 """Main text of HTML pages by wrapper induction.
 
-Some pages of each host are aligned by simple tree matching.  A text that all of them have in the same
-place belongs to the template; all places that vary are content.  A page is then read with the wrapper of
+The texts of all pages of a host are counted by their place.  One that most of its different pages have in
+the same place belongs to the template; all places that vary are content.  A page is then read with the wrapper of
 its host: template texts go, and so does what markup names as something other than the article (menus,
 notices, adverts, forms, comments...), which may differ from page to page.
 """
@@ -9,19 +9,20 @@ notices, adverts, forms, comments...), which may differ from page to page.
 from __future__ import annotations
 
 import html as entities
-import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
+from .simhash import _signed
 
-#: Pages of a host that are aligned, and the longest of them; fitting bounds only, every page is extracted whole.
-SAMPLE_PAGES, SAMPLE_CHARS = 6, 40_000
+#: Paths longer than this go on from their hash, so that deep pages cost no more than flat ones.
+LONG_PATH = 2_000
 #: Wrappers are broadcast up to this size, else joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
 
@@ -143,17 +144,16 @@ def _find_roots(n: Node) -> list[Node]:
     return []
 
 
-def blocks(root: Node, inside: bool, template: frozenset[tuple[str, str]] = frozenset(), path: str = "") -> list[str]:
-    """The text blocks below a node in page order, without boilerplate and template texts."""
-    out: list[str] = []
+def placed(root: Node, path: str = "", skip: Callable[[Node], bool] | None = None) -> Iterator[tuple[str, str]]:
+    """(path, text) of the blocks below a node in page order, without what ``skip`` names."""
     held: list[str] = []
 
-    def flush(at: str) -> None:
+    def flush(at: str) -> Iterator[tuple[str, str]]:
         if held:
             text = clean("".join(held))
             held.clear()
-            if text and (at, text) not in template:
-                out.append(text)
+            if text:
+                yield at, text
 
     # an explicit stack: pages may nest deeply
     todo: list[tuple[Node | str, str, bool]] = [(root, path, True)]
@@ -163,52 +163,30 @@ def blocks(root: Node, inside: bool, template: frozenset[tuple[str, str]] = froz
             held.append(n)
             continue
         if not start:
-            flush(at)
-            continue
-        if n is not root and _boilerplate(n, inside):
-            held.append(" ")
+            yield from flush(at)
             continue
-        if n.tag == "br":
+        if n.tag == "br" or (skip and n is not root and skip(n)):
             held.append(" ")
             continue
         here = at
-        if n.tag in _BLOCK or n is root:
-            flush(at)
+        if n.tag in _BLOCK:
+            yield from flush(at)
             here = f"{at}/{n.sign}"
             todo.append((n, here, False))
+            if len(here) > LONG_PATH:
+                here = f"#{xxhash.xxh64_hexdigest(here.encode('utf-8', 'surrogatepass'))}"
+                todo[-1] = (n, here, False)
+        elif n is root:
+            yield from flush(at)
+            todo.append((n, here, False))
         todo.extend((k, here, True) for k in reversed(n.kids))
-    flush(path)
-    return out
+    yield from flush(path)
 
 
-def _slots(n: Node, path: str, out: list[tuple[str, str]]) -> None:
-    """(path, text) of every block of a page, boilerplate too."""
-    text = clean("".join(_own(n)))
-    here = f"{path}/{n.sign}"
-    if text:
-        out.append((here, text))
-    for k in n.kids:
-        if isinstance(k, Node):
-            _block_kids(k, here, out)
-
-
-def _own(n: Node) -> Iterator[str]:
-    for k in n.kids:
-        if isinstance(k, str):
-            yield k
-        elif k.tag == "br":
-            yield " "
-        elif k.tag not in _BLOCK:
-            yield from _own(k)
-
-
-def _block_kids(n: Node, path: str, out: list[tuple[str, str]]) -> None:
-    if n.tag in _BLOCK:
-        _slots(n, path, out)
-    else:
-        for k in n.kids:
-            if isinstance(k, Node):
-                _block_kids(k, path, out)
+def blocks(root: Node, inside: bool, template: frozenset[int] = frozenset(), path: str = "") -> list[str]:
+    """The text blocks below a node in page order, without boilerplate and template texts."""
+    found = placed(root, path, lambda n: _boilerplate(n, inside))
+    return [text for at, text in found if not template or _key(at, text) not in template]
 
 
 def tree_match(a: Node, b: Node, pairs: list[tuple[Node, Node]] | None = None) -> int:
@@ -238,50 +216,41 @@ def tree_match(a: Node, b: Node, pairs: list[tuple[Node, Node]] | None = None) -
     return best[m][n] + 1
 
 
-def _paths(n: Node, path: str, out: dict[int, str]) -> dict[int, str]:
-    here = f"{path}/{n.sign}" if n.tag in _BLOCK or not path else path
-    out[id(n)] = here
-    for k in n.kids:
-        if isinstance(k, Node):
-            _paths(k, here, out)
+def _paths(root: Node) -> dict[int, str]:
+    """The path above every node, as ``placed`` names it."""
+    out: dict[int, str] = {}
+    todo = [(root, "")]
+    while todo:
+        n, at = todo.pop()
+        out[id(n)] = at
+        if n.tag in _BLOCK:
+            at = f"{at}/{n.sign}"
+            if len(at) > LONG_PATH:
+                at = f"#{xxhash.xxh64_hexdigest(at.encode('utf-8', 'surrogatepass'))}"
+        todo.extend((k, at) for k in n.kids if isinstance(k, Node))
     return out
 
 
-def induce(pages: list[str]) -> dict:
-    """The wrapper of a host from some of its pages: its template as (path, text) pairs.
+def _key(path: str, text: str) -> int:
+    """What a text at a place is counted by."""
+    return _signed(xxhash.xxh64_intdigest(f"{path}\0{text}".encode("utf-8", "surrogatepass")))
+
+
+def learn_page(page: str) -> tuple[int, set[int]]:
+    """A mark by which copies of a page are put aside, and the keys of all its blocks.
 
-    A page whose text mostly equals that of the first one is a copy of it and says nothing about the
-    template; with fewer than three different pages there is no template.
+    The mark is the least hash of the three-word shingles of the text, so copies with small changes mostly
+    share it.
     """
-    trees = [parse(p) for p in pages]
-    first = trees[0]
-    words = [set(" ".join(blocks(t, False)).split()) for t in trees]
-    others: list[int] = []
-    for k in range(1, len(trees)):
-        if all(len(words[k] & words[o]) < 0.5 * max(1, min(len(words[k]), len(words[o]))) for o in [0, *others]):
-            others.append(k)
-    if len(others) < 2:
-        return {"template": []}
-    place = _paths(first, "", {})
-    same: dict[tuple[str, str], int] = {}
-    for k in others:
-        pairs: list[tuple[Node, Node]] = []
-        tree_match(first, trees[k], pairs)
-        constant = set()
-        for a, b in pairs:
-            if a.tag not in _BLOCK:
-                continue
-            x, y = clean("".join(_own(a))), clean("".join(_own(b)))
-            if x and x == y:
-                constant.add((place[id(a)], x))
-        for c in constant:
-            same[c] = same.get(c, 0) + 1
-    return {"template": sorted(c for c, n in same.items() if n == len(others))}
+    tree = parse(page)
+    words = " ".join(blocks(tree, False)).split()
+    hashes = (xxhash.xxh64_intdigest(" ".join(words[k : k + 3]).encode("utf-8", "surrogatepass")) for k in range(max(1, len(words) - 2)))
+    return _signed(min(hashes)), {_key(at, text) for at, text in placed(tree)}
 
 
 @lru_cache(maxsize=4096)
 def _wrapper(text: str | None) -> frozenset:
-    return frozenset(tuple(c) for c in json.loads(text)["template"]) if text else frozenset()
+    return frozenset(map(int, text.split())) if text else frozenset()
 
 
 def main_text(page: str | None, wrapper: str | None = None) -> str:
@@ -292,8 +261,8 @@ def main_text(page: str | None, wrapper: str | None = None) -> str:
     tree = parse(page)
     roots = _find_roots(tree)
     if roots:
-        place = _paths(tree, "", {}) if template else {}
-        found = [b for r in roots for b in blocks(r, True, template, place.get(id(r), "").rpartition("/")[0])]
+        place = _paths(tree) if template else {}
+        found = [b for r in roots for b in blocks(r, True, template, place.get(id(r), ""))]
         return "\n".join(found)
     return "\n".join(blocks(tree, False, template))
 
@@ -303,17 +272,32 @@ def host(url: Column) -> Column:
 
 
 def learn_wrappers(pages: DataFrame, url: str = "url", html: str = "html", id_col: str = "page_id") -> DataFrame:
-    """(host, wrapper): one row per host, from at most SAMPLE_PAGES pages each, chosen by a hash."""
-    own = pages.select(host(F.col(url)).alias("host"), F.col(html).alias("html"), F.xxhash64(id_col, url).alias("pick")).filter(F.length("html").between(1, SAMPLE_CHARS))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy("pick", "html"))
-    some = own.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_PAGES).groupBy("host")
+    """(host, wrapper): the template of every host with three different pages or more, from all its pages.
 
-    def learn(key: tuple, pdf):  # noqa: ANN001, ANN202
-        import pandas as pd
+    A text at a place belongs to the template if more than half of the different pages of the host hold it,
+    and three at least.
+    """
+    own = pages.select(host(F.col(url)).alias("host"), F.col(html).alias("html")).filter(F.length("html") > 0)
 
-        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(induce(pdf.sort_values("rank")["html"].tolist()))]})
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                # a partial aggregation; key null stands for the page itself
+                rows: dict[tuple, None] = {}
+                for h, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    mark, keys = learn_page(page)
+                    rows.update(dict.fromkeys([(h, mark, None), *((h, mark, k) for k in keys)]))
+                hosts, marks, keys = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hosts, pa.string()), pa.array(marks, pa.int64()), pa.array(keys, pa.int64())], names=["host", "mark", "key"]
+                )
 
-    return some.applyInPandas(learn, "host string, wrapper string")
+    held = own.mapInArrow(learn, "host string, mark bigint, key bigint").distinct().groupBy("host", "key").agg(F.count("*").alias("n"))
+    held = staged(held.filter("key is null or n >= 3"), "held")
+    of = held.filter("key is null").select("host", F.col("n").alias("of"))
+    some = held.filter("key is not null").join(of, "host").filter("2 * n > of")
+    return some.groupBy("host").agg(F.array_join(F.sort_array(F.collect_list(F.col("key").cast("string"))), " ").alias("wrapper"))
 
 
 def extract_pages(pages: DataFrame, url: str = "url", html: str = "html", id_col: str = "page_id") -> DataFrame:

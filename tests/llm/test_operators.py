@@ -506,6 +506,20 @@ def test_template_of_any_length(spark):
     assert got == dict(enumerate(texts))
 
 
+def test_template_from_all_pages(spark):
+    """Many copies, pages of any length, and a text that only a few pages share."""
+    r = random.Random(41)
+    page = lambda t, extra="": f"<div class=x><p>All rights kept by us</p><p>{t}</p>{extra}</div>"
+    texts = [words_of(r, 60) for _ in range(12)]
+    shared = "<p>a correction that three pages carry</p>"
+    pages = [page(texts[0])] * 60 + [page(t, shared if k < 3 else "") for k, t in enumerate(texts[1:])]
+    got = read_pages(spark, pages)
+    assert [got[k] for k in range(59, 71)] == [t + ("\na correction that three pages carry" if 0 < k < 4 else "") for k, t in enumerate(texts)]
+    texts = [words_of(r, 7_000) for _ in range(5)]
+    assert all(len(t) > 40_000 for t in texts)
+    assert read_pages(spark, [page(t) for t in texts]) == dict(enumerate(texts))
+
+
 # ---- queries and pipeline
 
 
