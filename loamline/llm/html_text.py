@@ -189,31 +189,37 @@ def blocks(root: Node, inside: bool, template: frozenset[int] = frozenset(), pat
     return [text for at, text in found if not template or _key(at, text) not in template]
 
 
-def tree_match(a: Node, b: Node, pairs: list[tuple[Node, Node]] | None = None) -> int:
+def tree_match(a: Node, b: Node) -> int:
     """Simple tree matching: the most pairs of nodes with equal tags and marks that keep parents and order."""
-    if a.sign != b.sign:
-        return 0
-    x, y = [k for k in a.kids if isinstance(k, Node)], [k for k in b.kids if isinstance(k, Node)]
-    m, n = len(x), len(y)
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    sizes: dict[tuple[int, int], int] = {}
-    for i in range(m):
-        for j in range(n):
-            got = tree_match(x[i], y[j])
-            sizes[i, j] = got
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + got)
-    if pairs is not None:
-        pairs.append((a, b))
-        i, j = m, n
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                tree_match(x[i], y[j], pairs)
-    return best[m][n] + 1
+    # frames of an explicit stack: the nodes' children, the table, and the next pair; pages may nest deeply
+    done = 0
+    todo: list[list] = []
+
+    def enter(x: Node, y: Node) -> None:
+        nonlocal done
+        if x.sign != y.sign:
+            done = 0
+            return
+        rows, cols = ([k for k in n.kids if isinstance(k, Node)] for n in (x, y))
+        todo.append([rows, cols, [[0] * (len(cols) + 1) for _ in range(len(rows) + 1)], 0, False])
+
+    enter(a, b)
+    while todo:
+        frame = todo[-1]
+        rows, cols, best, at, waits = frame
+        if waits:
+            i, j = divmod(at, len(cols))
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + done)
+            at = frame[3] = at + 1
+            frame[4] = False
+        if at < len(rows) * len(cols):
+            frame[4] = True
+            i, j = divmod(at, len(cols))
+            enter(rows[i], cols[j])
+        else:
+            todo.pop()
+            done = best[-1][-1] + 1
+    return done
 
 
 def _paths(root: Node) -> dict[int, str]:

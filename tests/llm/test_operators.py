@@ -520,6 +520,15 @@ def test_template_from_all_pages(spark):
     assert read_pages(spark, [page(t) for t in texts]) == dict(enumerate(texts))
 
 
+def test_deep_pages_with_a_template(spark):
+    r = random.Random(43)
+    deep = lambda t: f"<article><p>All rights kept by us</p>{'<div>' * 3000}{t}</article>"
+    texts = [words_of(r, 40) for _ in range(5)]
+    assert read_pages(spark, [deep(t) for t in texts]) == dict(enumerate(texts))
+    a = html_text.parse("<div>" * 3000)
+    assert html_text.tree_match(a, html_text.parse("<div>" * 3000)) == 3001
+
+
 # ---- queries and pipeline
 
 
