@@ -128,22 +128,83 @@ def _boilerplate(n: Node, inside: bool) -> bool:
     return bool(n.mark) and n.tag not in ("article", "main", "body") and _NAMES.search(n.mark) is not None
 
 
-def _find_roots(n: Node) -> list[Node]:
-    """The outermost article elements; else main ones."""
+def _named(n: Node) -> bool:
+    return bool(n.mark) and _NAMES.search(n.mark) is not None
+
+
+def _find_roots(root: Node) -> list[Node]:
+    """The outermost article elements; else main ones.
+
+    Names of wrappers say little (``with-sidebar``, a form around the page), so those within boilerplate are
+    looked at as well: if the longest of all is among them, what wraps it is no boilerplate.
+    """
     for test in (lambda x: x.tag == "article", lambda x: x.tag == "main" or x.role == "main"):
-        found, todo = [], [n]
+        # (root, the boilerplate around it, innermost first, as linked pairs)
+        found: list[tuple[Node, tuple | None]] = []
+        todo: list[tuple[Node, tuple | None]] = [(root, None)]
         while todo:
-            x = todo.pop()
+            x, around = todo.pop()
             if test(x):
-                if not (x.mark and _NAMES.search(x.mark)):
-                    found.append(x)
-            else:
-                todo.extend(k for k in reversed(x.kids) if isinstance(k, Node) and not _boilerplate(k, False))
+                if not _named(x):
+                    found.append((x, around))
+                continue
+            if x is not root and _boilerplate(x, False):
+                around = (x, around)
+            todo.extend((k, around) for k in reversed(x.kids) if isinstance(k, Node))
+        if any(around for _, around in found):
+            sizes = [sum(map(len, blocks(x, True))) for x, _ in found]
+            best = max((size, around is None, -k) for k, (size, (_, around)) in enumerate(zip(sizes, found)))
+            opened, around = set(), found[-best[2]][1]
+            while around:
+                opened.add(id(around[0]))
+                around = around[1]
+            # of what is within boilerplate, only what the same wrappers hold
+            found = [(x, around) for x, around in found if around is None or id(around[0]) in opened]
         if found:
-            return found
+            return [x for x, _ in found]
     return []
 
 
+def _wrappers(root: Node, template: frozenset[int]) -> frozenset[int]:
+    """Nodes that class, id or being a form would name as boilerplate, but that hold the text of the page.
+
+    They hold a main heading and paragraphs, or more than nine tenths of what is left of the page.
+    """
+    order: list[tuple[Node, Node | None]] = []
+    todo: list[tuple[Node, Node | None]] = [(root, None)]
+    while todo:
+        n, up = todo.pop()
+        order.append((n, up))
+        todo.extend((k, n) for k in n.kids if isinstance(k, Node))
+    size, marks = {id(n): 0 for n, _ in order}, {id(n): 0 for n, _ in order}
+    for n, up in reversed(order):
+        size[id(n)] += sum(len(k.strip()) for k in n.kids if isinstance(k, str))
+        marks[id(n)] |= {"h1": 1, "p": 2}.get(n.tag, 0)
+        if up is not None:
+            size[id(up)] += size[id(n)]
+            marks[id(up)] |= marks[id(n)]
+    soft = [n for n, _ in order if n is not root and not n.gone and n.role not in _ROLES and (n.tag == "form" or (n.tag not in _DROPPED and n.tag != "header" and _named(n)))]
+    opened = {id(n) for n in soft if marks[id(n)] == 3}
+    while True:
+        # the largest of the outermost that are still closed
+        closed, todo = None, [(root, None)]
+        while todo:
+            n, _ = todo.pop()
+            if n is not root and id(n) not in opened and _boilerplate(n, False):
+                if (n.tag == "form" or (n.tag not in _DROPPED and n.tag != "header")) and not n.gone and n.role not in _ROLES and (closed is None or size[id(n)] > size[id(closed)]):
+                    closed = n
+                continue
+            todo.extend((k, None) for k in n.kids if isinstance(k, Node))
+        if closed is None or not size[id(closed)] or 9 * sum(map(len, blocks(root, False, template, opened=frozenset(opened)))) >= size[id(closed)]:
+            return frozenset(opened)
+        # and what holds nearly all of it, so that nested wrappers are opened at once
+        inner = [closed]
+        while inner:
+            n = inner.pop()
+            opened.add(id(n))
+            inner.extend(k for k in n.kids if isinstance(k, Node) and 10 * size[id(k)] >= 9 * size[id(closed)] and not (k.gone or k.role in _ROLES or (k.tag in _DROPPED and k.tag != "form")))
+
+
 def placed(root: Node, path: str = "", skip: Callable[[Node], bool] | None = None) -> Iterator[tuple[str, str]]:
     """(path, text) of the blocks below a node in page order, without what ``skip`` names."""
     held: list[str] = []
@@ -183,9 +244,9 @@ def placed(root: Node, path: str = "", skip: Callable[[Node], bool] | None = Non
     yield from flush(path)
 
 
-def blocks(root: Node, inside: bool, template: frozenset[int] = frozenset(), path: str = "") -> list[str]:
+def blocks(root: Node, inside: bool, template: frozenset[int] = frozenset(), path: str = "", opened: frozenset[int] = frozenset()) -> list[str]:
     """The text blocks below a node in page order, without boilerplate and template texts."""
-    found = placed(root, path, lambda n: _boilerplate(n, inside))
+    found = placed(root, path, lambda n: id(n) not in opened and _boilerplate(n, inside))
     return [text for at, text in found if not template or _key(at, text) not in template]
 
 
@@ -249,7 +310,7 @@ def learn_page(page: str) -> tuple[int, set[int]]:
     share it.
     """
     tree = parse(page)
-    words = " ".join(blocks(tree, False)).split()
+    words = _read(tree, frozenset()).split()
     hashes = (xxhash.xxh64_intdigest(" ".join(words[k : k + 3]).encode("utf-8", "surrogatepass")) for k in range(max(1, len(words) - 2)))
     return _signed(min(hashes)), {_key(at, text) for at, text in placed(tree)}
 
@@ -263,14 +324,16 @@ def main_text(page: str | None, wrapper: str | None = None) -> str:
     """The article of a page: its blocks joined by line breaks."""
     if not page:
         return ""
-    template = _wrapper(wrapper)
-    tree = parse(page)
+    return _read(parse(page), _wrapper(wrapper))
+
+
+def _read(tree: Node, template: frozenset[int]) -> str:
     roots = _find_roots(tree)
     if roots:
         place = _paths(tree) if template else {}
         found = [b for r in roots for b in blocks(r, True, template, place.get(id(r), ""))]
         return "\n".join(found)
-    return "\n".join(blocks(tree, False, template))
+    return "\n".join(blocks(tree, False, template, opened=_wrappers(tree, template)))
 
 
 def host(url: Column) -> Column:

@@ -520,6 +520,18 @@ def test_template_from_all_pages(spark):
     assert read_pages(spark, [page(t) for t in texts]) == dict(enumerate(texts))
 
 
+def test_named_wrappers_around_the_text():
+    story = "<h1>Head</h1><p>" + "one two three " * 5 + "</p>"
+    want = "Head\n" + " ".join("one two three".split() * 5)
+    for a, z in (("<div class='content-area with-sidebar'>", "</div>"), ("<div id=page class='site no-sidebar'>", "</div>"), ("<div class='post has-comments'>", "</div>"), ("<form action=x>", "</form>")):
+        for b, y in (("<article>", "</article>"), ("<main>", "</main>"), ("<div>", "</div>")):
+            assert html_text.main_text(f"{a}{b}{story}{y}<div class=comments><p>Nice</p></div>{z}<footer>f</footer>") == want, (a, b)
+        assert html_text.main_text(f"<p>date</p>{a}<p>{want[5:]}</p>{z}") == "date\n" + want[5:]
+    # teasers and hidden articles beside the main one stay out
+    assert html_text.main_text(f"<article>{story}</article><div class=related><article><p>teaser</p></article></div>") == want
+    assert html_text.main_text("<div class=ad>" * 3000 + "deep") == "deep"
+
+
 def test_deep_pages_with_a_template(spark):
     r = random.Random(43)
     deep = lambda t: f"<article><p>All rights kept by us</p>{'<div>' * 3000}{t}</article>"
