@@ -478,7 +478,101 @@ def test_wrappers(spark):
 
 def test_tree_match_counts_common_nodes():
     a, b = html_text.parse("<div><p>x</p><p>y</p><ul><li>1</ul></div>"), html_text.parse("<div><p>x</p><ul><li>1<li>2</ul></div>")
-    assert html_text.tree_match(a, b) == 5
+    # the page, div, p and its text, ul, li and its text
+    assert html_text.tree_match(a, b) == 7
+
+
+def random_tree(r, depth=0):
+    """(sign, children) with texts as leaves; neighbours differ, so that texts don't run together."""
+    kids = []
+    for _ in range(r.randrange(0, 5 if depth < 3 else 1)):
+        kids.append(random_tree(r, depth + 1) if r.random() < 0.7 or (kids and kids[-1][0] == "#") else ("#", word(r) * r.randrange(1, 3)))
+    return (r.choice(["div", "ul", "section", "div.x"]), kids)
+
+
+def markup(t):
+    if t[0] == "#":
+        return t[1]
+    tag, _, mark = t[0].partition(".")
+    return f"<{tag}{f' class={mark}' if mark else ''}>{''.join(map(markup, t[1]))}</{tag}>"
+
+
+def brute_match(a, b):
+    if a[0] != b[0]:
+        return 0
+    x, y = ([] if n[0] == "#" else n[1] for n in (a, b))
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, p in enumerate(x):
+        for j, q in enumerate(y):
+            w = brute_match(p, q)
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w if w else 0)
+    return best[-1][-1] + 1
+
+
+def test_tree_match_equals_brute_force():
+    r = random.Random(47)
+    for _ in range(300):
+        a, b = random_tree(r), random_tree(r)
+        if r.random() < 0.5:  # a changed copy
+            b = (a[0], [k for k in a[1] if r.random() < 0.8 or k[0] != "div"])
+            b = (b[0], [k for i, k in enumerate(b[1]) if k[0] != "#" or not i or b[1][i - 1][0] != "#"])
+        one, two = (html_text.Outline(html_text.parse(markup(t))) for t in (a, b))
+        align = html_text.Alignment(one, two)
+        n = align.weigh()
+        assert n == 1 + brute_match(a, b), (markup(a), markup(b))
+        pairs = list(align.pairs())
+        assert len(pairs) == n and len({i for i, _ in pairs}) == len({j for _, j in pairs}) == n
+        up = lambda o: {k: i for i, own in enumerate(o.kids) for k in own}
+        over, under = up(one), up(two)
+        assert all(one.sign[i] == two.sign[j] for i, j in pairs) and {(over[i], under[j]) for i, j in pairs if i} <= set(pairs)
+
+
+def test_long_flat_pages_are_matched_quickly():
+    import time
+
+    page = lambda k: "<div class=x>" + "".join(f"<p>{i}</p>" if (i * k) % 7 else f"<ul><li>{i}</ul>" for i in range(3000)) + "</div>"
+    began = time.time()
+    assert html_text.tree_match(html_text.parse(page(3)), html_text.parse(page(5))) > 5000
+    assert time.time() - began < 10
+
+
+def test_wrapper_equals_brute_force(spark):
+    """Pages of a menu, content and a footer without telling marks: places and counts by an independent alignment."""
+    r = random.Random(53)
+    pages = []
+    for k in range(14):
+        menu = ("ul", [("li", [("#", f"entry {i}")]) for i in range(6) if r.random() < 0.9])
+        body = ("div.post", [("p", [("#", words_of(r, 12))]) for _ in range(r.randrange(1, 7))])
+        foot = ("div.low", [("p", [("#", "kept by us")]), ("p", [("#", r.choice(["one", "two", "three"]))])])
+        pages.append(("div.page", [menu, *([("div.date", [("#", words_of(r, 2))])] if r.random() < 0.5 else []), body, foot]))
+
+    def count(a):
+        return 1 if a[0] == "#" else sum(map(count, a[1]))
+
+    def leaves(a, b, at=()):
+        """(place in a, text in a, text in b) of the leaves of a largest common tree, with equal subtrees in pairs if may be."""
+        if a[0] == "#":
+            return [(at, a[1], b[1])]
+        x, y = a[1], b[1]
+        best = [[((0, 0), [])] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x)):
+            for j in range(len(y)):
+                n, (score, own) = brute_match(x[i], y[j]), best[i][j]
+                here = ((score[0] + n, score[1] + (count(x[i]) if x[i] == y[j] else 0)), [*own, (i, j)]) if n else ((0, 0), [])
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], here, key=lambda z: z[0])
+        return [t for i, j in best[-1][-1][1] for t in leaves(x[i], y[j], (*at, i))]
+
+    def texts(a):
+        return [a[1]] if a[0] == "#" else [t for k in a[1] for t in texts(k)]
+
+    got = read_pages(spark, [markup(p) for p in pages])
+    same = Counter()
+    for ref in pages:
+        for p in pages:
+            same.update((i, t) for i, t in {(pages.index(ref), t) for _, t, u in leaves(ref, p) if t == u})
+    # every text that any reference could find: menu entries and the line of the footer, but no content
+    everywhere = {t for (_, t), n in same.items() if 2 * n > len(pages)}
+    assert everywhere and all(set(got[k].split("\n")) == set(texts(p)) - everywhere for k, p in enumerate(pages))
 
 
 def words_of(r, n):
@@ -527,6 +621,8 @@ def test_named_wrappers_around_the_text():
         for b, y in (("<article>", "</article>"), ("<main>", "</main>"), ("<div>", "</div>")):
             assert html_text.main_text(f"{a}{b}{story}{y}<div class=comments><p>Nice</p></div>{z}<footer>f</footer>") == want, (a, b)
         assert html_text.main_text(f"<p>date</p>{a}<p>{want[5:]}</p>{z}") == "date\n" + want[5:]
+    # names of what is inline in running text, or that only hold such a word, say nothing
+    assert html_text.main_text('<article><p class="share-price">9</p><pre>x <span class="hljs-comment">note</span></pre><p><label>L</label> <span class="ad">a</span></p><div class="post-share">s</div></article>') == "9\nx note\nL a"
     # teasers and hidden articles beside the main one stay out
     assert html_text.main_text(f"<article>{story}</article><div class=related><article><p>teaser</p></article></div>") == want
     assert html_text.main_text("<div class=ad>" * 3000 + "deep") == "deep"
