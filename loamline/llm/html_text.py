@@ -501,6 +501,9 @@ class Reference:
 
 def _equal_leaves(reference: Outline, page: Outline, only: frozenset[int] | None = None) -> list[tuple[int, int]]:
     """(leaf of the reference, leaf of the page) that are matched and hold the same text."""
+    held = set(page.text)
+    if not any(t and t in held for t in (reference.text if only is None else map(reference.text.__getitem__, only))):
+        return []  # nothing to be found: no need to align
     return [(i, j) for i, j in Alignment(reference, page).pairs() if reference.sign[i] == TEXT and (only is None or i in only) and reference.text[i] == page.text[j]]
 
 
