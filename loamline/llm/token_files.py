@@ -11,6 +11,7 @@ Null document ids are stored with a flag.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -67,19 +68,29 @@ def _starts(data: np.ndarray) -> np.ndarray:
 
 
 class WordEncoder:
-    """Encodes whole texts with a byte-level BPE file of the tokenizers library, remembering the ids of pieces.
+    """Encodes whole texts with a file of the tokenizers library, remembering the ids of pieces.
 
     Every piece is encoded by the library, and the cuts between pieces are ones that its pre-tokenizer makes
-    as well, so the ids are those of the whole text.  Pieces are compared by all their bytes.  Other texts
-    are encoded as a whole.
+    as well, so the ids are those of the whole text.  Pieces are compared by all their bytes.  Texts that hold
+    the string of an added token are encoded as a whole, and so is every text if the file is no byte-level BPE
+    with the pre-tokenizer that the cuts are made for.  ``special_as_text`` is the library's switch by which
+    strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, slots: int = SLOTS):
+    def __init__(self, path: str, slots: int = SLOTS, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (t.special and special_as_text)]
+        self.whole = _OTHER if not added else re.compile("|".join([_OTHER.pattern, *map(re.escape, added)]))
+        kind = json.loads(self.tokenizer.to_str())
+        cut = kind.get("pre_tokenizer") or {}
+        fits = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+        fits = fits and not any(kind.get(k) for k in ("normalizer", "truncation", "padding")) and kind["model"].get("type") == "BPE" and not kind["model"].get("dropout")
+        if not fits:
+            self.whole = re.compile("")
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.slots = slots
         self.low, self.high = np.zeros(slots, "<u8"), np.zeros(slots, "<u8")
@@ -142,7 +153,9 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        plain = [not _OTHER.search(t) for t in texts]
+        plain = [not self.whole.search(t) for t in texts]
+        if not any(plain):
+            return [self._whole([t])[0] for t in texts]
         joined = "\n".join(t if p else "" for t, p in zip(texts, plain)).encode() + b"\n"
         data = np.frombuffer(joined + bytes(LONG), np.uint8)
         n = len(joined)
@@ -194,13 +207,12 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 class ShardWriter:
-    """Writes one shard; memory is one block and the index.  The file appears under its name when complete."""
+    """Writes one shard; memory is one block and the index."""
 
-    def __init__(self, uri: str, attempt: str):
+    def __init__(self, uri: str):
         self.fs, self.path = _open(uri)
-        self.temp = f"{self.path}.{attempt}"
         self.fs.create_dir(os.path.dirname(self.path), recursive=True)
-        self.out = self.fs.open_output_stream(self.temp)
+        self.out = self.fs.open_output_stream(self.path)
         self.out.write(MAGIC)
         self.at = len(MAGIC)
         self.pending, self.held = [], 0
@@ -237,7 +249,6 @@ class ShardWriter:
         self.out.write(packed)
         self.out.write(struct.pack("<QQ", self.at, len(packed)))
         self.out.close()
-        self.fs.move(self.temp, self.path)
 
 
 def read_shard(uri: str) -> Iterator[tuple[int | None, Iterator[bytes], int]]:
@@ -288,13 +299,15 @@ def read_shard(uri: str) -> Iterator[tuple[int | None, Iterator[bytes], int]]:
                 pass
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 0, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def write_token_files(
+    docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 0, text: str = "text", id_col: str = "doc_id", special_as_text: bool = False
+) -> DataFrame:
     """Encode every whole text, append ``end_id`` and write shards in ascending id order.
 
     Returns (shard, uri, n_docs, n_tokens, start) with the number of ids in all shards before; one row per
     shard.  A null text counts as empty; null ids come first; rows with equal ids are ordered by text.
-    An empty table gives no shard.  Files are written under a name of the attempt and moved when
-    complete, so tasks may be run again.
+    An empty table gives no shard.  A file carries the number of its attempt, and only those of attempts that
+    came to their end are returned, so tasks may be run again.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
@@ -310,13 +323,13 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
         from pyspark import TaskContext
 
         task, writer, tokens, docs_in = TaskContext.get(), None, 0, 0
-        uri = f"{folder}/{task.partitionId():06d}.ltok"
+        uri = f"{folder}/{task.partitionId():06d}-{task.taskAttemptId()}.ltok"
         for batch in batches:
             texts, ids = batch.column(1), batch.column(0).to_pylist()
             for at in range(0, len(ids), 1000):
                 if writer is None:
-                    writer = ShardWriter(uri, f"{task.taskAttemptId()}")
-                for i, packed in zip(ids[at : at + 1000], _encoder(tokenizer_path).encode(texts.slice(at, 1000).to_pylist())):
+                    writer = ShardWriter(uri)
+                for i, packed in zip(ids[at : at + 1000], _encoder(tokenizer_path, special_as_text).encode(texts.slice(at, 1000).to_pylist())):
                     writer.add(i, packed.astype("<u4").tobytes() + end)
                     tokens += len(packed) + 1
                     docs_in += 1
@@ -334,13 +347,14 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
     return spark.createDataFrame(starts, "shard bigint, uri string, n_docs bigint, n_tokens bigint, start bigint")
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def _encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def _encoder(path: str, special_as_text: bool) -> WordEncoder:
+    key = (path, special_as_text)
+    if key not in _encoders:
+        _encoders[key] = WordEncoder(path, special_as_text=special_as_text)
+    return _encoders[key]
 
 
 def read_token_files(shards: DataFrame) -> DataFrame:

@@ -88,19 +88,31 @@ def test_exact_dedup_stage(docs, empty):
 def bpe():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
 
 
 def test_word_encoder_equals_library(bpe):
     r = random.Random(3)
     signs = ["ab", "c", "E", "é", "ñ", "×", "÷", "'", "'s", "'ll", '"', " ", " ", "  ", "\n", "\n\n", ".", "5", "½", "日", "\t", " ", "<|endoftext|>", "¿", "_"]
     texts = ["".join(r.choice(signs) for _ in range(r.randrange(30))) for _ in range(4000)] + ["it's 'tis rock'n'roll's dogs' 'q", "x" * 100 + " " + "é" * 40, ""]
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|>b <|endoftext|", "plain"]
     coder = token_files.WordEncoder(tokenizer_file("byte_bpe_50k.json"), 1 << 9)  # small: it is emptied often
     for at in range(0, len(texts), 100):
         for t, ids in zip(texts[at : at + 100], coder.encode(texts[at : at + 100])):
             assert ids.tolist() == bpe.encode(t, add_special_tokens=False).ids, repr(t)
+    assert 50256 in coder.encode(["a <|endoftext|> b"])[0]
+    coder = token_files.WordEncoder(tokenizer_file("byte_bpe_50k.json"), 1 << 9, special_as_text=True)
+    assert 50256 not in coder.encode(["a <|endoftext|> b"])[0]
+
+
+def test_other_tokenizers_see_whole_texts():
+    """A file with another pre-tokenizer: the cuts made for byte-level files would give wrong ids."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    library, coder = Tokenizer.from_file(path), token_files.WordEncoder(path, 1 << 9)
+    for t in ("It's   A test\nof two lines!!", "", "Ünïcode 日本 don't 12345"):
+        assert coder.encode([t])[0].tolist() == library.encode(t, add_special_tokens=False).ids
 
 
 def test_token_files(docs, empty, bpe, monkeypatch):
@@ -118,7 +130,7 @@ def test_shard_blocks(tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "BLOCK_IDS", 7)
     r = random.Random(1)
     rows = [(k, np.array([r.randrange(1 << 32) for _ in range(r.choice([0, 1, 7, 20]))], "<u4").tobytes()) for k in range(30)]
-    w = token_files.ShardWriter(f"file://{tmp_path}/s.ltok", "1")
+    w = token_files.ShardWriter(f"file://{tmp_path}/s.ltok")
     for k, b in rows:
         w.add(k, b)
     w.close()
@@ -316,6 +328,51 @@ def test_entropy_windows(spark):
     quiet = ["550e8400-e29b-41d4-a716-446655440000", "some-long-name-with-many-words-2024", "EXAMPLEwJalrXUtnFEMI7K7MDENGbPxRfi"]
     df = spark.createDataFrame([(k, f"see {q} here") for k, q in enumerate(quiet)], "doc_id bigint, text string")
     assert all(not r["spans"] for r in secrets.find_secrets(df).collect())
+    # a placeholder takes away only its own part
+    key = "".join(r.choice("abcdefghijkXYZ0123456789") for _ in range(40))
+    df = spark.createDataFrame([(0, f"sample_key={key} /sample/{key}")], "doc_id bigint, text string")
+    assert [s["kind"] for s in secrets.find_secrets(df).first()["spans"]] == ["entropy"] * 2
+
+
+def test_secrets_of_overlapping_kinds(spark):
+    r = random.Random(19)
+    key = lambda n: "".join(r.choice("abcdefghijkXYZ0123456789+/") for _ in range(n))
+    bits = [lambda: f"token={key(30)}", lambda: key(30), lambda: "AKIA" + "QWERTYUIOPASDFGH", lambda: "0123456789abcdef" * 2, lambda: "é", lambda: "x" + "0a1b2c3d4e5f" * 3 + key(9)]
+    texts = [r.choice([" ", "", "\n"]).join(r.choice(bits)() for _ in range(r.randrange(1, 12))) for _ in range(150)]
+    got = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), keep=["doc_id"]).collect()
+    seen = Counter()
+    for row in got:
+        spans = [tuple(s) for s in row["spans"]]
+        assert spans == sorted(spans)
+        base = [s for s in spans if s[1] < 3]
+        t = texts[row["doc_id"]]
+        for m in re.finditer(secrets.CANDIDATE, t):
+            w = m[0]
+            least = min(sum(secrets.PARTS[w[k : k + 24].count(x)] for x in set(w[k : k + 24])) for k in range(len(w) - 23))
+            parts = re.split(secrets.SEPARATORS, w)
+            quiet = re.search(secrets.UUID, w) or (len(parts) > 1 and all(re.search(secrets.PLAIN_PART, p) for p in parts))
+            quiet = quiet or (any(re.search(secrets.PLACEHOLDER, p) for p in parts) and sum(len(p) for p in parts if not re.search(secrets.PLACEHOLDER, p)) < 24)
+            limit = next(secrets._limit(bits) for _, p, bits in secrets.CLASSES if re.search(p, w))
+            want = not quiet and least <= limit and not any(b[0] < m.end() and m.start() < b[3] for b in base)
+            assert ((m.start(), 3, "entropy", m.end()) in spans) == want, w
+            seen[want] += 1
+    assert min(seen.values()) > 20
+
+
+def test_secrets_in_long_texts_tables_and_clashes(spark):
+    import time
+
+    r = random.Random(21)
+    run = "".join(r.choice(secrets.SIGNS[:64]) for _ in range(1_000_000))
+    keys = " ".join(f"token=abc{k:07}" for k in range(50_000))
+    df = spark.createDataFrame([(1, run), (2, keys), (2, keys)], "doc_id bigint, text string")
+    began = time.time()
+    got = secrets.find_secrets(df, keep=["doc_id"]).select("doc_id", F.size("spans").alias("n")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (2, 50_000), (2, 50_000)]
+    assert time.time() - began < 120
+    clash = spark.createDataFrame([(1, "token=abcdefg", 5, 6)], "doc_id bigint, text string, spans int, kind int")
+    assert secrets.find_secrets(clash).columns == ["doc_id", "text", "kind", "spans"] and len(secrets.find_secrets(clash).first()["spans"]) == 1
+    assert secrets.find_secrets(df.limit(0)).count() == 0
 
 
 # ---- pieces
