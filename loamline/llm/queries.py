@@ -153,6 +153,11 @@ _PARTS = "[" + ", ".join(map(str, secrets.PARTS)) + "]"
 _LIMIT = "CASE " + " ".join(f"WHEN regexp_matches(found, '{p}') THEN {secrets._limit(bits)}" for _, p, bits in secrets.CLASSES) + " END"
 _WORST = f"""list_min([list_sum([{_PARTS}[length(w) - length(replace(w, ch, '')) + 1] FOR ch IN list_distinct(string_split(w, ''))])
   FOR w IN [found[k:k + {secrets.WINDOW - 1}] FOR k IN range(1, length(found) - {secrets.WINDOW - 2})]])"""
+_PARTS_OF = f"regexp_split_to_array(found, '{secrets.SEPARATORS}')"
+_ALLOWED = f"""(regexp_matches(found, '{secrets.UUID}')
+  OR (regexp_matches(found, '{secrets.SEPARATORS}') AND len([p FOR p IN {_PARTS_OF} IF NOT regexp_matches(p, '{secrets.PLAIN_PART}')]) = 0)
+  OR (len([p FOR p IN {_PARTS_OF} IF regexp_matches(p, '{secrets.PLACEHOLDER}')]) > 0
+    AND coalesce(list_sum([length(p) FOR p IN {_PARTS_OF} IF NOT regexp_matches(p, '{secrets.PLACEHOLDER}')]), 0) < {secrets.WINDOW}))"""
 SECRETS_SQL = f"""
 WITH {_places_sql("assign", secrets.ASSIGN, 0, "assign", f"length(regexp_extract(found, '{secrets.ASSIGN.replace(chr(39), chr(39) * 2)}', 2)) >= 6")},
 {_places_sql("access", secrets.ACCESS, 1, "access", "length(found) >= 20")},
@@ -161,7 +166,7 @@ WITH {_places_sql("assign", secrets.ASSIGN, 0, "assign", f"length(regexp_extract
 base AS (SELECT doc_id, start, rank, kind, start + length(found) AS stop FROM (FROM assign UNION ALL BY NAME FROM access UNION ALL BY NAME FROM hexes)),
 random AS (
   SELECT doc_id, start, rank, kind, start + length(found) AS stop FROM runs
-  WHERE NOT regexp_matches(found, '{secrets.ALLOWED}') AND {_WORST} <= {_LIMIT}
+  WHERE NOT {_ALLOWED} AND {_WORST} <= {_LIMIT}
 ),
 every AS (
   SELECT * FROM base UNION ALL BY NAME

@@ -20,10 +20,15 @@ HEX = r"[0-9a-f]+"
 #: Candidates for the entropy scan: maximal runs that are long and hold a digit and a letter.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{24,}"
 WINDOW = 24
-#: Character classes by how many signs they hold, and the least entropy in bits that a window must have.
-CLASSES = (("digits", r"^[0-9]+$", 9.9), ("hex", r"^([0-9a-f]+|[0-9A-F]+)$", 3.2), ("any", r"^.+$", 3.7))
-#: Never secrets: placeholders, UUIDs, words and numbers put together with separators, paths.
-ALLOWED = r"(?i)example|placeholder|changeme|dummy|sample|redacted|x{6}|0{8}|1234567|abcdef|^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^[A-Za-z]*([-_/=][A-Za-z]*|[-_/=][0-9]{1,4})*$|^/?([A-Za-z]+[0-9]{0,4}[-_/])+[A-Za-z]*[0-9]{0,4}$"
+#: Character classes, the narrower first, and the least entropy in bits that a window must have.
+CLASSES = (("hex", r"^([0-9a-f]+|[0-9A-F]+)$", 3.2), ("any", r"^.+$", 3.7))
+#: The signs of candidates; counts of a window are kept in fields of BITS bits, FIELDS of them in a number.
+SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+BITS, FIELDS = 5, 12
+#: Never secrets: UUIDs; words and short numbers put together with separators; what is too short without its placeholders.
+UUID = r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
+SEPARATORS, PLAIN_PART = "[-_/=]", "^[A-Za-z]*[0-9]{0,4}$"
+PLACEHOLDER = r"(?i)example|placeholder|changeme|dummy|sample|redacted|x{6}|0{8}|1234567|abcdef"
 #: c * log2(c) for counts within a window, in millionths, so that sums are exact.
 PARTS = [0] + [round(1e6 * c * math.log2(c)) for c in range(1, WINDOW + 1)]
 
@@ -33,19 +38,36 @@ def _limit(bits: float) -> int:
     return math.floor(1e6 * WINDOW * (math.log2(WINDOW) - bits))
 
 
+def running(values: Column, op) -> Column:
+    """``op`` of every entry of an array of numbers and all before it, for sums or maxima.
+
+    The array is folded in pieces of about the square root of its size, so that no long array is copied for
+    every entry.
+    """
+    kind = "array<bigint>"
+
+    def fold(v: Column, end) -> Column:
+        last = lambda a: F.get(a, F.size(a) - 1)
+        return F.aggregate(v, F.array().cast(kind), lambda a, x: F.concat(a, F.array(F.when(F.size(a) > 0, op(last(a), end(x))).otherwise(end(x)).cast("bigint"))).cast(kind))
+
+    def pieces(v: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(v))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / step).cast("int")), lambda k: fold(F.slice(v, k * step + 1, step), lambda x: x))
+
+    def put_together(p: Column) -> Column:
+        ends = fold(p, lambda piece: F.get(piece, F.size(piece) - 1))
+        return let(ends, lambda e: F.flatten(F.transform(p, lambda piece, k: F.when(k == 0, piece).otherwise(F.transform(piece, lambda x: op(F.get(e, k - 1), x))))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, let(pieces(v), put_together)).otherwise(F.array().cast(kind)))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Array of (start, found) of the leftmost matches that don't overlap; start in code points."""
-    one = "array<struct<start:bigint,found:string>>"
-    none = F.array().cast(one)
+    none = F.array().cast("array<struct<start:bigint,found:string>>")
 
     def placed(found: Column, gaps: Column) -> Column:
-        state = f"struct<at:bigint,out:{one}>"
-        step = lambda s, x: F.struct(
-            (s["at"] + F.length(x["gap"]) + F.length(x["found"])).alias("at"),
-            F.concat(s["out"], F.array(F.struct((s["at"] + F.length(x["gap"])).alias("start"), x["found"].alias("found")))).alias("out"),
-        ).cast(state)
-        pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda f, g: F.struct(f.alias("found"), g.alias("gap")))
-        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")).cast(state), step)["out"]
+        sizes = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda f, g: (F.length(f) + F.length(g)).cast("bigint"))
+        return F.zip_with(found, running(sizes, lambda a, x: a + x), lambda f, end: F.struct((end - F.length(f)).alias("start"), f.alias("found")))
 
     return F.when(
         text.rlike(pattern),
@@ -56,34 +78,61 @@ def matches(text: Column, pattern: str) -> Column:
 def least_parts(candidate: Column) -> Column:
     """The smallest sum of c * log2(c) over all windows of a candidate, in millionths.
 
-    The sum of a window follows from the one before by the counts of the sign that leaves and of the one
-    that enters.
+    One fold over the signs: the counts of the window are fields of a few numbers, and its sum changes by the
+    counts of the sign that enters and of the one that leaves.
     """
     part = lambda c: F.get(F.array(*map(F.lit, PARTS)), c)
-    count = lambda w, c: F.length(w) - F.length(F.replace(w, c, F.lit("")))
+    words = -(-len(SIGNS) // FIELDS)
+    state = "struct<counts:array<bigint>,sum:bigint,least:bigint>"
+
+    def step(s: Column, x: Column) -> Column:
+        field = lambda counts, q: F.call_function("shiftright", F.get(counts, (q / FIELDS).cast("int")), (q % FIELDS * BITS).cast("int")).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+        unit = lambda q: F.call_function("shiftleft", F.lit(1).cast("bigint"), (q % FIELDS * BITS).cast("int"))
+        at = lambda q, i: (q / FIELDS).cast("int") == i
+
+        def leave(counts: Column) -> Column:
+            left = F.transform(counts, lambda w, i: w - F.when(at(x["gone"], i), unit(x["gone"])).otherwise(F.lit(0)))
+            return F.when(
+                x["gone"].isNotNull(), let(field(counts, x["gone"]), lambda n: F.struct(left.alias("counts"), (part(n - 1) - part(n)).cast("bigint").alias("change")))
+            ).otherwise(F.struct(counts.alias("counts"), F.lit(0).cast("bigint").alias("change")))
+
+        def enter(now: Column) -> Column:
+            counts = F.transform(now["counts"], lambda w, i: w + F.when(at(x["come"], i), unit(x["come"])).otherwise(F.lit(0)))
+            total = let(field(now["counts"], x["come"]), lambda n: s["sum"] + now["change"] + part(n + 1) - part(n))
+            return let(total, lambda t: F.struct(counts.alias("counts"), t.alias("sum"), F.when(x["full"], F.least(s["least"], t)).otherwise(s["least"]).alias("least")).cast(state))
 
-    def first(w: Column) -> Column:
-        signs = F.array_distinct(F.split(w, ""))
-        return F.aggregate(signs, F.lit(0).cast("bigint"), lambda a, c: a + F.when(c == "", 0).otherwise(part(count(w, c))))
+        return let(leave(s["counts"]), enter)
 
-    def slide(s: Column, i: Column) -> Column:
-        window = F.substr(candidate, i, F.lit(WINDOW))  # the window from which the first sign leaves
-        gone, come = F.substr(candidate, i, F.lit(1)), F.substr(candidate, i + WINDOW, F.lit(1))
-        left = count(window, gone)
-        there = count(F.substr(candidate, i + 1, F.lit(WINDOW - 1)), come)
-        now = s["sum"] + part(left - 1) - part(left) + part(there + 1) - part(there)
-        return let(now, lambda n: F.struct(n.alias("sum"), F.least(s["least"], n).alias("least")))
+    codes = F.transform(F.filter(F.split(candidate, ""), lambda c: c != ""), lambda c: F.instr(F.lit(SIGNS), c) - 1)
+    steps = lambda q: F.transform(q, lambda c, i: F.struct(c.alias("come"), F.when(i >= WINDOW, F.get(q, i - WINDOW)).alias("gone"), (i >= WINDOW - 1).alias("full")))
+    begin = F.struct(F.array_repeat(F.lit(0).cast("bigint"), words).alias("counts"), F.lit(0).cast("bigint").alias("sum"), F.lit(1 << 40).cast("bigint").alias("least")).cast(state)
+    return F.aggregate(let(codes, steps), begin, step)["least"]
 
-    begin = let(first(F.substr(candidate, F.lit(1), F.lit(WINDOW))), lambda n: F.struct(n.alias("sum"), n.alias("least")))
-    steps = F.filter(F.sequence(F.lit(1), F.greatest(F.length(candidate) - WINDOW, F.lit(1))), lambda i: i <= F.length(candidate) - WINDOW)
-    return F.aggregate(steps, begin, slide)["least"]
+
+def allowed(candidate: Column) -> Column:
+    """Whether a candidate is on the allow-list: a placeholder word takes away only the part that holds it."""
+    parts = F.split(candidate, SEPARATORS)
+    holds = lambda p: p.rlike(PLACEHOLDER)
+    rest = F.aggregate(F.filter(parts, lambda p: ~holds(p)), F.lit(0).cast("bigint"), lambda n, p: n + F.length(p))
+    return candidate.rlike(UUID) | (candidate.rlike(SEPARATORS) & F.forall(parts, lambda p: p.rlike(PLAIN_PART))) | (candidate.rlike(PLACEHOLDER) & F.exists(parts, holds) & (rest < WINDOW))
 
 
 def looks_random(candidate: Column) -> Column:
     limit = F
     for _, pattern, bits in CLASSES:
         limit = limit.when(candidate.rlike(pattern), _limit(bits))
-    return ~candidate.rlike(ALLOWED) & (least_parts(candidate) <= limit)
+    return ~allowed(candidate) & (least_parts(candidate) <= limit)
+
+
+def _without_overlaps(spans: Column) -> Column:
+    """Sorted spans without entropy ones that a pattern's span overlaps: by the furthest end before and the next start behind."""
+    most = lambda a, x: F.greatest(a, x)
+    far = F.lit(-(1 << 40)).cast("bigint")
+    reach = running(F.transform(spans, lambda s: F.when(s["rank"] < 3, s["end"]).otherwise(far)), most)
+    # from the end: starts with the sign turned, so that the next one is the largest
+    ahead = running(F.transform(F.reverse(spans), lambda s: F.when(s["rank"] < 3, -s["start"]).otherwise(far)), most)
+    keep = lambda r, a: F.filter(spans, lambda s, i: (s["rank"] < 3) | ((F.get(r, i) <= s["start"]) & (-F.get(a, F.size(spans) - 1 - i) >= s["end"])))
+    return let(reach, lambda r: let(ahead, lambda a: keep(r, a)))
 
 
 def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -91,13 +140,15 @@ def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = N
 
     Kinds, in order: assign, access and hex (patterns) and entropy.  Spans count code points, ends are
     exclusive.  An entropy span is a whole candidate; it's left out where a pattern's span overlaps it.  A
-    null or empty text has no spans.
+    null or empty text has no spans, an empty table gives an empty result, repeated rows are scanned each, and
+    spans that start together are ordered by kind.  Time grows with the length of a text, and with the number of its
+    spans to the power of 1.5.  A column of ``docs`` named spans is replaced; others stay.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     span = lambda rank, kind: lambda m: F.struct(
         m["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (m["start"] + F.length(m["found"])).alias("end")
     )
-    cols = [F.col(c) for c in (docs.columns if keep is None else keep)]
+    cols = [F.col(c) for c in (docs.columns if keep is None else keep) if c != "spans"]
 
     def all_spans(t: Column) -> Column:
         assign = F.filter(matches(t, ASSIGN), lambda m: F.length(F.regexp_extract(m["found"], ASSIGN, 2)) >= 6)
@@ -106,8 +157,7 @@ def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = N
         hexes = matches(t, HEX.replace("+", "{24,}"))
         base = F.concat(F.transform(assign, span(0, "assign")), F.transform(access, span(1, "access")), F.transform(hexes, span(2, "hex")))
         random = F.transform(F.filter(matches(t, CANDIDATE), lambda m: looks_random(m["found"])), span(3, "entropy"))
-        free = lambda b: F.filter(random, lambda r: ~F.exists(b, lambda x: (x["start"] < r["end"]) & (r["start"] < x["end"])))
-        return let(base, lambda b: F.array_sort(F.concat(b, free(b))))
+        return let(F.concat(base, random), lambda b: F.when(F.exists(b, lambda x: x["rank"] == 3) & F.exists(b, lambda x: x["rank"] < 3), let(F.array_sort(b), _without_overlaps)).otherwise(F.array_sort(b)))
 
     return docs.select(*cols, let(body, all_spans).alias("spans"))
 
