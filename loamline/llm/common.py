@@ -42,14 +42,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Keys that hold at least this many rows, and this share of all rows, are joined apart from the others.
+FREQUENT_ROWS, MOST_FREQUENT = 4096, 10_000
+
+
+def join_frequent(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame) -> DataFrame:
+    """``left`` joined with ``right``, which has one row per key, where a few keys may hold most rows of ``left``.
+
+    ``counts`` (stored) holds the keys and ``rows``, how many rows of ``left`` each has.  At most MOST_FREQUENT
+    keys can have that share of all rows, so theirs of ``right`` are broadcast; the rest is shuffled.
+    """
+    total = counts.filter(F.col("rows") >= FREQUENT_ROWS).agg(F.sum("rows")).first()[0]
+    if total is None:
+        return left.join(right, on)
+    few = counts.filter(F.col("rows") >= max(FREQUENT_ROWS, total // MOST_FREQUENT)).select(*on)
+    hot = F.broadcast(staged(right.join(F.broadcast(few), on, "left_semi"), "frequent"))
+    return left.join(hot, on).unionByName(left.join(F.broadcast(few), on, "left_anti").join(right, on))
+
+
 def row_key(text: str = "text", id_col: str = "doc_id") -> list[Column]:
     """Columns by which a row of documents is found again: rows equal in both are interchangeable."""
     return [F.col(id_col).alias("_k_id"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("_k_sha")]
 
 
-def semi_by_key(docs: DataFrame, keys: DataFrame, key_cols: dict[str, Column]) -> DataFrame:
-    """Rows of ``docs`` whose key is in ``keys`` (columns named as in ``key_cols``); of rows with equal keys, one."""
-    cols = docs.columns
-    left = docs.withColumns(key_cols)
-    cond = [left[c].eqNullSafe(keys[c]) for c in key_cols]
-    return left.join(keys, cond, "left_semi").dropDuplicates(list(key_cols)).select(*cols)
+def with_keys(docs: DataFrame, key_cols: dict[str, Column]) -> DataFrame:
+    """_row (all columns of ``docs``, whatever their names) and its keys."""
+    return docs.select(F.struct(*docs.columns).alias("_row"), *[c.alias(n) for n, c in key_cols.items()])
+
+
+def one_of_each(rows: DataFrame, key_names: list[str], text: str = "text", *more: Column) -> DataFrame:
+    """Of rows with equal keys the least in the other columns: (_row, more...)."""
+    kind = rows.schema["_row"].dataType
+    order = [F.col(f"_row.`{f.name}`") for f in kind.fields if f.name != text and "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    return rows.groupBy(*key_names).agg(F.min_by("_row", F.struct(*order, F.lit(0))).alias("_row"), *more)
+
+
+def semi_by_key(docs: DataFrame, keys: DataFrame, key_cols: dict[str, Column], text: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose key is in ``keys`` (columns named as in ``key_cols``); of rows with equal keys, the least one."""
+    names = list(key_cols)
+    left = with_keys(docs, {f"_l{c}": v for c, v in key_cols.items()})
+    found = left.join(keys, [F.col(f"_l{c}").eqNullSafe(keys[c]) for c in names], "left_semi")
+    return one_of_each(found, [f"_l{c}" for c in names], text).select("_row.*")

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, row_key, semi_by_key, staged
+from .common import join_frequent, let, row_key, semi_by_key, staged
 
 BLOCK_CHARS = 1024
 #: Blocks seen at least this often may be salted; at most MAX_HOT of them are, so their list can be broadcast.
@@ -83,8 +83,8 @@ def name_documents(
             .agg(F.max(F.when(odd == 0, F.col("name"))).alias("a"), F.max(F.when(odd == 1, F.col("name"))).alias("b"))
             .withColumn("b", F.coalesce("b", none))
         )
-        names = pairs.groupBy("a", "b").agg(F.min(F.struct("_row", "pos")).alias("name"))
-        now = pairs.join(names, ["a", "b"]).select("_row", "pos", "name", "left")
+        names = staged(pairs.groupBy("a", "b").agg(F.min(F.struct("_row", "pos")).alias("name"), F.count("*").alias("rows")), "pairs")
+        now = join_frequent(pairs, names.drop("rows"), ["a", "b"], names).select("_row", "pos", "name", "left")
         now = staged(now, "pair-names")
         done.append(now.filter(F.col("left") == 1).select("_row", "name"))
         now = now.filter(F.col("left") > 1)
@@ -104,8 +104,9 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **o
     """
     named = staged(name_documents(docs, text, id_col, **options), "document-names")
     best = F.max(F.struct("id", (-F.col("_row")).alias("neg")))
-    groups = named.groupBy("n", "name").agg(best.alias("best"), F.count("*").alias("group_size"))
-    return named.join(groups, ["n", "name"]).select(
+    groups = staged(named.groupBy("n", "name").agg(best.alias("best"), F.count("*").alias("group_size")), "groups")
+    counts = groups.select("n", "name", F.col("group_size").alias("rows"))
+    return join_frequent(named, groups, ["n", "name"], counts).select(
         F.col("id").alias("doc_id"),
         F.col("best.id").alias("keep_id"),
         "group_size",
@@ -118,4 +119,4 @@ def drop_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **o
     """The rows of ``docs`` that stay, with all their columns."""
     kept = exact_dedup(docs, text, id_col, **options).filter("kept").select(F.col("doc_id").alias("_k_id"), F.col("text_sha256").alias("_k_sha"))
     key_id, key_sha = row_key(text, id_col)
-    return semi_by_key(docs, kept, {"_k_id": key_id, "_k_sha": key_sha})
+    return semi_by_key(docs, kept, {"_k_id": key_id, "_k_sha": key_sha}, text)

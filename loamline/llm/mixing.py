@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, row_key, staged
+from .common import WORD, one_of_each, row_key, staged, with_keys
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -16,26 +16,43 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def placed(rows: DataFrame, order: list[Column], label: str) -> tuple[DataFrame, Column]:
+    """``rows`` (stored) in a range order over many tasks with ``place``, and the task's number as an expression.
+
+    Places ascend within a task; ranks follow with the counts of the tasks before, which are few rows.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = staged(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), label)
+    return out, F.shiftright("place", 33)
+
+
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """(source, source_size, docs, target, share, offset), one row per source, from (source, size) rows.
 
     Sources in code point order, null last, weigh ``weights`` in turn and share the sum of all sizes; a
-    target stops at ``cap`` times its source's size and the excess goes to the others by weight.  That
-    fixed point is the water level L with sum(min(L * weight, cap * size)) = sum(size), found with running
-    sums over the sources in the order in which they fill up.  The windows see one row per source.
+    target stops at ``cap`` times its source's size and the excess goes to the others by weight, again and again
+    until none is above.  Sources are aggregated in many tasks; a round of sharing is one sum over them.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    one = Window.partitionBy(F.lit(1))
-    per = per.withColumn("k", F.row_number().over(one.orderBy(F.col("source").asc_nulls_last())) - 1)
-    per = per.withColumn("weight", F.get(F.array(*map(F.lit, weights)), F.col("k") % len(weights)).cast("double"))
+    per = staged(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), "sources")
+    per, part = placed(per, [F.col("source").asc_nulls_last()], "source-order")
+    # one row per task
+    runs = per.groupBy(part.alias("part")).agg(F.count("*").alias("rows"), F.min("place").alias("first")).orderBy("part").collect()
+    shifts, before = {}, 0
+    for r in runs:
+        shifts[r["part"]], before = before - r["first"], before + r["rows"]
+    shift = F.create_map(*[F.lit(x).cast("bigint") for kv in shifts.items() for x in kv])[part] if shifts else F.lit(0)
+    per = per.withColumn("k", F.col("place") + shift).drop("place")
+    per = per.withColumn("weight", F.get(F.array(*map(F.lit, weights)), (F.col("k") % len(weights)).cast("int")).cast("double"))
     per = per.withColumn("room", cap * F.col("source_size").cast("double"))
-    filling = one.orderBy(F.col("room") / F.col("weight"), "k")
-    before = F.coalesce(F.sum("room").over(filling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(filling.rowsBetween(0, Window.unboundedFollowing))
-    per = per.withColumn("level", (F.sum(F.col("source_size").cast("double")).over(one) - before) / rest)
-    per = per.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("room"), F.struct(F.col("room") / F.col("weight"), "k", "level"))).over(one)["level"])
-    target = F.least(F.coalesce(F.col("level") * F.col("weight"), F.col("room")), F.col("room"))
-    per = per.withColumn("target", target)
+    # sums of whole numbers are exact in any order
+    level, full = 0.0, None
+    while True:
+        above = F.col("room") < level * F.col("weight")
+        row = per.agg(F.sum("source_size"), F.sum(F.when(above, F.col("room"))), F.sum(F.when(~above, F.col("weight"))), F.count(F.when(above, 1))).first()
+        if row[2] is None or row[3] == full:
+            break
+        full, level = row[3], (float(row[0]) - (row[1] or 0.0)) / row[2]
+    per = per.withColumn("target", F.least(F.lit(level) * F.col("weight"), F.col("room")))
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     # a fixed pseudo-random offset in [0, 1), a multiple of 1/65536 so that sums with whole numbers are exact
     offset = ((F.col("k") * 40503 + F.lit(seed) * 30011) % 65536) / 65536
@@ -56,12 +73,10 @@ def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str
     An empty table gives an empty result; ``keys`` are carried along.
     """
     keys = keys or []
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("source").asc_nulls_last(), F.col("size").asc(), F.col("doc_id").asc_nulls_first()]
     sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *keys)
-    ranked = sizes.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
-    ranked = staged(ranked, "mix-order")
-    part = F.shiftright("place", 33)
+    # texts are read once: a range sort would run what comes before it twice
+    ranked, part = placed(staged(sizes, "sizes"), order, "mix-order")
     runs = ranked.groupBy(part.alias("part"), "source").agg(F.count("*").alias("rows"), F.min("place").alias("first"))
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # at most one row per partition and one per source
@@ -86,12 +101,10 @@ def mixed(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: s
     """The mix itself: every row of ``docs`` as often as it is taken."""
     key_id, key_sha = row_key(text, id_col)
     plan = mix(docs, text, id_col, source, [key_sha], **options).withColumnRenamed("doc_id", "_k_id").withColumnRenamed("source", "_k_source")
-    keys = {"_k_id": key_id, "_k_sha": key_sha, "_k_source": F.col(source)}
-    # rows that agree in all three are interchangeable: their copies are summed and one of them is repeated
-    copies = plan.groupBy(*keys).agg(F.sum("copies").alias("_copies")).filter(F.col("_copies") > 0)
-    cols = docs.columns
-    left = docs.withColumns(keys)
-    cond = [left[c].eqNullSafe(copies[c]) for c in keys]
-    joined = left.join(copies, cond).select(*[left[c] for c in [*cols, *keys]], "_copies")
-    joined = joined.dropDuplicates(list(keys))
-    return joined.select(*cols, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))).alias("_copy")).drop("_copy")
+    names = ["_k_id", "_k_sha", "_k_source"]
+    # rows that agree in all three: their copies are summed, and one of them is repeated
+    copies = plan.groupBy(*names).agg(F.sum("copies").alias("_copies")).filter(F.col("_copies") > 0)
+    left = with_keys(docs, {"_l_id": key_id, "_l_sha": key_sha, "_l_source": F.col(source)})
+    joined = left.join(copies, [F.col(f"_l{c[2:]}").eqNullSafe(copies[c]) for c in names])
+    one = one_of_each(joined, ["_l_id", "_l_sha", "_l_source"], text, F.max("_copies").alias("_copies"))
+    return one.select("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))).alias("_copy")).select("_row.*")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, semi_by_key, staged
+from .common import join_frequent, row_key, semi_by_key, staged
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Characters of a text that are split into words at once.
@@ -193,15 +193,16 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     return v.sortWithinPartitions("v").mapInArrow(_meet, "a bigint, b bigint").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) with the smallest node reachable, for every node of an edge, by alternating large and small stars.
 
     Every round is a shuffle of at most the edges, written to the shared folder; a star's centre keeps only
-    links to the smallest neighbour, so the work doesn't grow with the size of a component.
+    links to the smallest neighbour, so the work doesn't grow with the size of a component.  Rounds go on
+    until nothing changes, about as often as the logarithm of a component's size.
     """
     edges = staged(edges, "links")
     total = None
-    for _ in range(max_rounds):
+    while True:
         # large star: link every larger neighbour of a node to the smallest node around it
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
@@ -216,8 +217,6 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         if state == total:
             break
         total = state
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
@@ -228,12 +227,12 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", key
     any other.  One row per row of ``docs``, repeated ones too; an empty table gives an empty result.
     """
     marks = staged(fingerprints(docs, text, [F.col(id_col).alias("doc_id"), *(keys or [])]), "fingerprints")
-    least = staged(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    least = staged(marks.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "distinct-fingerprints")
     comp = components(fingerprint_links(least.select("fp")))
     rooted = least.join(comp, least["fp"] == comp["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(smallest, "root").select("fp", "component_id")
-    return marks.join(classes, "fp")
+    classes = staged(rooted.join(smallest, "root").select("fp", "component_id"), "classes")
+    return join_frequent(marks, classes, ["fp"], least)
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -241,4 +240,4 @@ def drop_near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     key_id, key_sha = row_key(text, id_col)
     groups = near_groups(docs, text, id_col, [key_sha])
     stays = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_k_id"), "_k_sha")
-    return semi_by_key(docs, stays, {"_k_id": key_id, "_k_sha": key_sha})
+    return semi_by_key(docs, stays, {"_k_id": key_id, "_k_sha": key_sha}, text)
