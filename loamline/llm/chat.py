@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, running
 
 BLOCK, END, OPEN, CLOSE = "<s>", "</s>", "[INST]", "[/INST]"
 _ESCAPES = [("\\", "\\e"), (BLOCK, "\\ls>"), (END, "\\l/s>"), (OPEN, "\\bINST]"), (CLOSE, "\\b/INST]")]
@@ -43,38 +43,34 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     )
     chats = turns.groupBy(F.col(conv_id).alias("conv_id")).agg(F.array_sort(F.collect_list(said)).alias("said"))
     coded = F.transform("said", lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text")))
-    kind = "array<struct<role:string,parts:array<string>>>"
-
-    def add(blocks: Column, t: Column) -> Column:
-        last = F.get(blocks, F.size(blocks) - 1)
-        more = F.struct(t["role"].alias("role"), F.concat(last["parts"], F.array(t["text"])).alias("parts"))
-        new = F.struct(t["role"].alias("role"), F.array(t["text"]).alias("parts"))
-        return F.when(last["role"] == t["role"], F.concat(F.slice(blocks, 1, F.size(blocks) - 1), F.array(more))).otherwise(F.concat(blocks, F.array(new))).cast(kind)
-
-    merged = F.aggregate(coded, F.array().cast(kind), add)
-    wrap = lambda x: F.concat(F.lit(OPEN), x, F.lit(CLOSE))
-    written = F.array_join(
-        F.transform("blocks", lambda b: F.concat(F.lit(BLOCK), b["role"], F.array_join(F.transform(b["parts"], wrap), ""), F.lit(END))), ""
-    )
-    # every text in order, with where it starts within its block, then summed up over the blocks
-    state = "struct<at:bigint,spans:array<struct<start:bigint,length:bigint>>>"
-    head = F.lit(len(BLOCK)).cast("bigint")
-
-    def step(s: Column, b: Column) -> Column:
-        first = s["at"] + head + F.length(b["role"])
-        inner = F.aggregate(
-            b["parts"],
-            F.struct(first.alias("at"), F.when(b["role"] == F.lit(learn), s["spans"]).otherwise(F.array()).alias("spans")).cast(state),
-            lambda i, p: F.struct(
-                (i["at"] + len(OPEN) + F.length(p) + len(CLOSE)).alias("at"),
-                F.when(b["role"] == F.lit(learn), F.concat(i["spans"], F.array(F.struct((i["at"] + len(OPEN)).alias("start"), F.length(p).cast("bigint").alias("length"))))).otherwise(F.array()).alias("spans"),
-            ).cast(state),
+
+    def merged(turns: Column) -> Column:
+        """Turns with what is written before and behind their texts: a block opens and closes where the role changes."""
+        other = lambda t, i: F.coalesce(F.get(turns, i)["role"] != t["role"], F.lit(True))
+        return F.transform(
+            turns,
+            lambda t, i: F.struct(
+                (t["role"] == F.lit(learn)).alias("learnt"),
+                F.concat(F.when(other(t, i - 1), F.concat(F.lit(BLOCK), t["role"])).otherwise(F.lit("")), F.lit(OPEN)).alias("before"),
+                t["text"].alias("text"),
+                F.concat(F.lit(CLOSE), F.when(other(t, i + 1), F.lit(END)).otherwise(F.lit(""))).alias("behind"),
+            ),
         )
-        return let(inner, lambda i: F.struct((i["at"] + len(END)).alias("at"), F.when(b["role"] == F.lit(learn), i["spans"]).otherwise(s["spans"]).alias("spans")).cast(state))
 
-    loss = F.aggregate("blocks", F.struct(F.lit(0).alias("at"), F.array().alias("spans")).cast(state), step)["spans"]
-    blocks = chats.select("conv_id", merged.alias("blocks"))
-    return blocks.select("conv_id", written.alias("formatted"), loss.alias("loss"))
+    def spans(parts: Column) -> Column:
+        size = lambda p: (F.length(p["before"]) + F.length(p["text"]) + F.length(p["behind"])).cast("bigint")
+        ends = running(F.transform(parts, size), lambda a, x: a + x)
+        placed = F.zip_with(parts, ends, lambda p, end: F.when(p["learnt"], F.struct((end - F.length(p["behind"]) - F.length(p["text"])).alias("start"), F.length(p["text"]).cast("bigint").alias("length"))))
+        return F.filter(placed, lambda s: s.isNotNull())
+
+    # bound once: rows aren't joined with anything, and no array grows step by step
+    parts = chats.select("conv_id", let(coded, merged).alias("parts"))
+    made = let(F.struct("parts"), lambda x: F.struct(F.array_join(F.transform(x["parts"], lambda p: F.concat(p["before"], p["text"], p["behind"])), "").alias("formatted"), spans(x["parts"]).alias("loss")))
+    return parts.select("conv_id", made.alias("made")).select("conv_id", "made.formatted", "made.loss")
+
+
+#: Signs of a formatted conversation that are cut off at once when spans are read.
+PIECE = 4096
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
@@ -91,5 +87,9 @@ def read_chats(formatted: DataFrame) -> DataFrame:
             ),
         )
     )
-    masked = F.transform("loss", lambda s: unescape(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    # a span is cut from the pieces that it lies in: counting from the beginning for each would be quadratic
+    first = lambda s: F.floor(s["start"] / PIECE).cast("int")
+    within = lambda cut, s: F.array_join(F.slice(cut, first(s) + 1, F.floor((s["start"] + s["length"]) / PIECE).cast("int") - first(s) + 1), "")
+    pieces = F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    masked = let(pieces, lambda cut: F.transform("loss", lambda s: unescape(F.substr(within(cut, s), (s["start"] - first(s) * PIECE + 1).cast("int"), s["length"].cast("int")))))
     return formatted.select("conv_id", turns.alias("turns"), masked.alias("loss_texts"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,10 +18,36 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def running(values: Column, op) -> Column:
+    """``op`` of every entry of an array of numbers and all before it, for sums or maxima.
+
+    The array is folded in pieces of about the square root of its size, so that no long array is copied for
+    every entry.
+    """
+    kind = "array<bigint>"
+
+    def fold(v: Column, end) -> Column:
+        last = lambda a: F.get(a, F.size(a) - 1)
+        return F.aggregate(v, F.array().cast(kind), lambda a, x: F.concat(a, F.array(F.when(F.size(a) > 0, op(last(a), end(x))).otherwise(end(x)).cast("bigint"))).cast(kind))
+
+    def pieces(v: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(v))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / step).cast("int")), lambda k: fold(F.slice(v, k * step + 1, step), lambda x: x))
+
+    def put_together(p: Column) -> Column:
+        ends = fold(p, lambda piece: F.get(piece, F.size(piece) - 1))
+        return let(ends, lambda e: F.flatten(F.transform(p, lambda piece, k: F.when(k == 0, piece).otherwise(F.transform(piece, lambda x: op(F.get(e, k - 1), x))))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, let(pieces(v), put_together)).otherwise(F.array().cast(kind)))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or on one machine (tests) a temporary one where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="loamline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,9 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 SAMPLE = 20_000
 
 
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stutter", "n_upper", "n_marks", "base_failed", "kept")
+
+
 def _repeated_words(words: Column) -> Column:
     """Words in windows of eight that occur twice or more in the text, the first one included; exact."""
     n = F.size(words)
@@ -52,7 +56,7 @@ def text_statistics(docs: DataFrame, text: str = "text", keep: list[str] | None
     A null text has no words.  Everything is counted within a row, over the whole text.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    cols = [F.col(c) for c in (docs.columns if keep is None else keep)]
+    cols = [F.col(c) for c in (docs.columns if keep is None else keep) if c not in STATISTICS]
     words = F.filter(F.split(body, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD))
     stats = let(
@@ -129,32 +133,40 @@ class DecisionList:
         return not any(r.matches(row) for r in self.rules)
 
 
-def _thresholds(values: list[float], most: int = 64) -> list[float]:
-    """Cuts half-way between neighbouring distinct values, at most ``most`` quantiles of them."""
-    v = sorted(set(values))
-    cuts = [(a + b) / 2 for a, b in zip(v, v[1:])]
-    return cuts if len(cuts) <= most else [cuts[len(cuts) * k // most] for k in range(most)]
+def _best_cut(values: np.ndarray, bad: np.ndarray) -> tuple[float, bool, float] | None:
+    """(gain, is_at_least, threshold) of the best condition on one feature, over all cuts half-way between distinct values."""
+    order = np.argsort(values, kind="stable")
+    v, b = values[order], np.cumsum(bad[order])
+    ends = np.flatnonzero(v[1:] > v[:-1])  # the last row below each cut
+    if not len(ends):
+        return None
+    base = math.log2(b[-1] / len(v))
+    best = None
+    below_bad, below = b[ends].astype(float), ends + 1.0
+    for least, p, n in ((True, b[-1] - below_bad, len(v) - below), (False, below_bad, below)):
+        gain = np.where(p > 0, p * (np.log2(np.maximum(p, 1e-9) / n) - base), -np.inf)
+        k = int(np.argmax(gain))
+        if best is None or gain[k] > best[0] + 1e-12:
+            best = (float(gain[k]), least, float((v[ends[k]] + v[ends[k] + 1]) / 2))
+    return best
 
 
 def _grow(bad: list[dict], good: list[dict], names: list[str]) -> Rule:
     """Add the condition of largest information gain until no good row is left."""
+    rows = bad + good
+    table = {f: np.array([r[f] for r in rows], float) for f in names}
+    marks = np.array([True] * len(bad) + [False] * len(good))
     rule: list[tuple[str, bool, float]] = []
-    while good:
-        base, best = math.log2(len(bad) / (len(bad) + len(good))), (0.0, None)
-        for f in names:
-            x, y = [r[f] for r in bad], [r[f] for r in good]
-            for t in _thresholds(x + y):
-                up_b, up_g = sum(v >= t for v in x), sum(v >= t for v in y)
-                for least, p, n in ((True, up_b, up_g), (False, len(x) - up_b, len(y) - up_g)):
-                    if p and p + n < len(x) + len(y):
-                        gain = p * (math.log2(p / (p + n)) - base)
-                        if gain > best[0] + 1e-12:
-                            best = (gain, (f, least, t))
-        if best[1] is None:
+    while len(marks) and not marks.all():
+        found = [(f, cut) for f in names if (cut := _best_cut(table[f], marks))]
+        if not found:
+            break
+        f, (gain, least, t) = max(found, key=lambda x: x[1][0])
+        if gain <= 1e-12:
             break
-        rule.append(best[1])
-        only = Rule((best[1],))
-        bad, good = [r for r in bad if only.matches(r)], [r for r in good if only.matches(r)]
+        rule.append((f, least, t))
+        keep = table[f] >= t if least else table[f] < t
+        table, marks = {g: x[keep] for g, x in table.items()}, marks[keep]
     return Rule(tuple(rule))
 
 
@@ -170,11 +182,12 @@ def _prune(rule: Rule, bad: list[dict], good: list[dict]) -> tuple[Rule, float,
     return best[0], best[2], best[3]
 
 
-def learn_decision_list(rows: list[tuple[int, bool, dict[str, float]]], least_precision: float = 0.98, most_rules: int = 12, least_cover: int = 3) -> DecisionList:
+def learn_decision_list(rows: list[tuple[int, bool, dict[str, float]]], least_precision: float = 0.98, least_cover: int = 3) -> DecisionList:
     """Sequential covering over (id, is_good, features) rows.
 
     Two thirds of the rows grow a rule, the rest prune it.  A rule enters the list if, on the pruning rows,
-    it covers ``least_cover`` bad rows with ``least_precision``; bad rows that it covers then leave.
+    it covers ``least_cover`` bad rows with ``least_precision``; bad rows that it covers then leave, and the first
+    rule that fails ends the list.
     """
     rows = sorted(rows, key=lambda r: (r[0], r[1]))
     names = list(rows[0][2]) if rows else []
@@ -182,7 +195,7 @@ def learn_decision_list(rows: list[tuple[int, bool, dict[str, float]]], least_pr
     grow_bad, grow_good = [r[2] for r in part(False) if not r[1]], [r[2] for r in part(False) if r[1]]
     prune_bad, prune_good = [r[2] for r in part(True) if not r[1]], [r[2] for r in part(True) if r[1]]
     rules: list[Rule] = []
-    while grow_bad and prune_bad and len(rules) < most_rules:
+    while grow_bad and prune_bad:
         rule, precision, cover = _prune(_grow(grow_bad, grow_good, names), prune_bad, prune_good)
         if not rule.conditions or precision < least_precision or cover < least_cover:
             break
@@ -196,7 +209,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", id_col:
     """A decision list from the labelled documents, of which at most ``sample`` are used.
 
     The labels are chosen by a hash of their ids before any text is read; the driver gets one row of eight
-    numbers for each.  Rows without id or label are left out; no usable label gives an empty list.
+    numbers for each.  Rows without id or label are left out; no usable label gives an empty list.  Of several
+    labels of one id the least counts; whole texts of any length are read.
     """
     one = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(id_col).agg(F.min("quality").alias("quality"))
     chosen = one.orderBy(F.xxhash64(id_col), id_col).limit(sample)
@@ -207,7 +221,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", id_col:
 
 
 def judge_quality(docs: DataFrame, rules: DecisionList, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (all, if None), the statistics, base_failed and kept for every row of ``docs``."""
+    """``keep`` columns (all, if None), the statistics, base_failed and kept for every row of ``docs``.
+
+    Kept columns named like a statistic give way to it.  Repeated rows are judged each; an empty table gives an
+    empty result; a null or blank text has no words and fails.
+    """
     stats = text_statistics(docs, text, keep)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return stats.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & rules.condition())
