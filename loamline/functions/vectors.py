@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import fnv1a32, plain_words
 
@@ -64,13 +70,53 @@ def hash_embedding(text: Column, dim: int) -> Column:
     return F.get(F.transform(F.array(vector), l2_normalize), F.lit(0))
 
 
+def _fnv(word: str) -> int:
+    h = 2166136261
+    for b in word.encode("utf-8", "surrogatepass"):
+        h = ((h ^ b) * 16777619) & 0xFFFFFFFF
+    return h
+
+
 def hash_vectors(docs: DataFrame, id_col: str, text: Column, dim: int) -> DataFrame:
-    """(id, vector) as ``hash_embedding``, for many texts: each distinct word is hashed once; texts without words have zeros."""
-    words = docs.select(F.col(id_col).alias("id"), F.explode(plain_words(text)).alias("word")).groupBy("id", "word").agg(F.count("*").alias("n"))
-    buckets = words.select("word").distinct().select("word", (fnv1a32(F.col("word")) % dim).cast("int").alias("bucket"))
-    counts = words.join(buckets, "word").groupBy("id", "bucket").agg(F.sum("n").alias("n"))
-    # at most ``dim`` entries per text
-    maps = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.col("n").cast("double")))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0)))
-    full = docs.select(F.col(id_col).alias("id")).join(maps.select("id", dense.alias("v")), "id", "left")
-    return full.select("id", l2_normalize(F.coalesce("v", F.array_repeat(F.lit(0.0), dim))).alias("vector"))
+    """(id, vector) as ``hash_embedding``, for many texts: words are hashed once per batch, in one stage without a shuffle."""
+    words = docs.select(F.col(id_col).alias("id"), F.coalesce(plain_words(text), F.array().cast("array<string>")).alias("words"))
+    out = T.StructType([*words.select("id").schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                column = part.column(1)
+                sizes = np.asarray(column.value_lengths())
+                coded = column.flatten().dictionary_encode()
+                if len(known) > 500_000:
+                    known = {}
+                names = coded.dictionary.to_pylist()
+                known.update((w, _fnv(w) % dim) for w in names if w not in known)
+                bucket = np.array([known[w] for w in names], np.int64)[np.asarray(coded.indices)] if names else np.empty(0, np.int64)
+                counts = np.bincount(np.repeat(np.arange(part.num_rows), sizes) * dim + bucket, minlength=part.num_rows * dim).reshape(-1, dim).astype(float)
+                norm = np.sqrt((counts**2).sum(axis=1, keepdims=True))
+                scaled = np.divide(counts, norm, out=np.zeros_like(counts), where=norm > 0)
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, part.num_rows * dim + 1, dim, dtype=np.int32)), pa.array(scaled.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), vectors], names=["id", "vector"])
+
+    return words.mapInArrow(run, out)
+
+
+def encode_vector(v: Column) -> Column:
+    """The entries as little-endian 32-bit floats, one after the other."""
+    return _codec("binary", lambda x: np.asarray(x, "<f4").tobytes())(v)
+
+
+def decode_vector(data: Column) -> Column:
+    """The inverse of ``encode_vector``; a rest of fewer than four bytes is left out."""
+    return _codec("array<float>", lambda b: np.frombuffer(b, "<f4", len(b) // 4))(data)
+
+
+def _codec(kind: str, one):  # noqa: ANN001, ANN202
+    @F.pandas_udf(kind)
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if x is None else one(x))
+
+    return run

@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,8 +72,6 @@ class WordPiece:
 
 def wordpiece_column(text: Column, vocabulary: list[str], max_length: int = 256) -> Column:
     """struct(ids, mask, type_ids) for each text."""
-    import pandas as pd
-
     @F.pandas_udf(SCHEMA)
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = WordPiece(vocabulary, max_length)
@@ -85,8 +84,6 @@ def wordpiece_column(text: Column, vocabulary: list[str], max_length: int = 256)
 
 def onnx_column(text: Column, model: str, vocabulary: list[str], dim: int, pooling: str = "mean", max_length: int = 256) -> Column:
     """Unit vectors of an ONNX encoder; one session per worker, one thread each; null where a text fails."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import numpy as np

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,45 +27,109 @@ def dependents(edges: DataFrame, node: str) -> DataFrame:
     return edges.filter(F.col("dst") == node).select(F.col("src").alias("node")).distinct().orderBy("node")
 
 
-def impact(edges: DataFrame, starts: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """(start, node, depth): everything from which a start can be reached, without the start itself.
+#: Graphs up to this many edges are searched in one task per start, without a shuffle for each hop.
+SMALL_EDGES = 200_000
+
+
+def _small(edges: DataFrame) -> list[tuple[str, str]] | None:
+    """All edges if they are few, else None."""
+    rows = edges.select("src", "dst").limit(SMALL_EDGES + 1).collect()
+    return [tuple(r) for r in rows] if len(rows) <= SMALL_EDGES else None
+
+
+def _into(pairs: list[tuple[str, str]]) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for src, dst in pairs:
+        out.setdefault(dst, []).append(src)
+    return out
+
+
+def _levels(into: dict[str, list[str]], start: str, until: str | None = None) -> dict[str, int]:
+    """How many hops every node is away from ``start`` along the edges that lead to it."""
+    depth, front = {start: 0}, [start]
+    while front and until not in depth:
+        more = []
+        for n in front:
+            for m in into.get(n, ()):
+                if m not in depth:
+                    depth[m] = depth[n] + 1
+                    more.append(m)
+        front = more
+    return depth
+
+
+def _hops(edges: DataFrame, starts: DataFrame, until: str | None = None) -> DataFrame:
+    """(start, node, depth) of all nodes from which a start can be reached, hop by hop, until the frontier is empty or holds ``until``.
 
     Frontiers of all starts advance together; a round joins the frontier with the edges and drops what was
     seen, and is written to the shared folder.
     """
-    seen = kept(starts.select(F.col("node").alias("start"), "node").distinct().withColumn("depth", F.lit(0)))
-    front = seen
-    for depth in range(1, max_rounds):
+    edges = kept(edges.select("src", "dst").distinct(), "edges")
+    seen = kept(starts.select(F.col("node").alias("start"), "node").distinct().withColumn("depth", F.lit(0)), "hops")
+    front, depth = seen, 0
+    while True:
+        depth += 1
         step = front.join(edges.select("src", F.col("dst").alias("node")), "node").select("start", F.col("src").alias("node")).distinct()
-        front = kept(step.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        front = kept(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)), "hops")
         if front.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(front)
+        if until is not None and not front.filter(F.col("node") == until).isEmpty():
+            return seen
         if depth % 8 == 0:
-            seen = kept(seen)
-    return seen.filter(F.col("node") != F.col("start"))
+            seen = kept(seen, "hops")
+
 
+def impact(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, node, depth): everything from which a start can be reached, without the start itself; chains of any length."""
+    pairs = _small(edges)
+    if pairs is None:
+        return _hops(edges, starts).filter(F.col("node") != F.col("start"))
+    shared = edges.sparkSession.sparkContext.broadcast(pairs)
 
-def trace(edges: DataFrame, start: str, end: str, max_rounds: int = 10_000) -> list[str] | None:
-    """The shortest path, of several the first by names; [start] if both are the same; None if there is none."""
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        into = _into(shared.value)
+        for frame in frames:
+            for start in frame["node"]:
+                depth = _levels(into, start)
+                del depth[start]
+                if depth:
+                    yield pd.DataFrame({"start": start, "node": list(depth), "depth": list(depth.values())})
+
+    return starts.select(F.col("node").cast("string").alias("node")).distinct().mapInPandas(run, "start string, node string, depth int")
+
+
+def trace(edges: DataFrame, start: str, end: str) -> list[str] | None:
+    """The shortest path, of several the first by names; [start] if both are the same; None if there is none.
+
+    Distances to the end come first; the path then goes down from the start, to the first name that is nearer.
+    """
     if start == end:
         return [start]
-    spark = edges.sparkSession
-    front = spark.createDataFrame([(start, [start])], "node string, path array<string>")
-    seen = kept(front.select("node"))
-    for depth in range(1, max_rounds):
-        step = front.join(edges.select(F.col("src").alias("node"), "dst"), "node")
-        step = step.groupBy(F.col("dst").alias("node")).agg(F.min("path").alias("path")).join(seen, "node", "left_anti")
-        front = kept(step.select("node", F.concat("path", F.array("node")).alias("path")))
-        hit = front.filter(F.col("node") == end).select("path").first()
-        if hit:
-            return list(hit[0])
-        if front.isEmpty():
+    pairs = _small(edges)
+    if pairs is not None:
+        depth = _levels(_into(pairs), end, start)
+        if start not in depth:
             return None
-        seen = seen.unionByName(front.select("node"))
-        if depth % 8 == 0:
-            seen = kept(seen)
-    return None
+        out: dict[str, list[str]] = {}
+        for src, dst in pairs:
+            if dst in depth:
+                out.setdefault(src, []).append(dst)
+        path = [start]
+        while path[-1] != end:
+            path.append(min(m for m in out[path[-1]] if depth[m] == depth[path[-1]] - 1))
+        return path
+    far = _hops(edges, edges.sparkSession.createDataFrame([(end,)], "node string"), start).select("node", "depth")
+    hit = far.filter(F.col("node") == start).first()
+    if hit is None:
+        return None
+    path = [start]
+    for depth in range(hit["depth"] - 1, -1, -1):
+        ways = edges.filter(F.col("src") == path[-1]).select(F.col("dst").alias("node"))
+        path.append(far.filter(F.col("depth") == depth).join(ways, "node", "left_semi").agg(F.min("node")).first()[0])
+    return path
 
 
 def resolve(all_nodes: DataFrame, name: str) -> DataFrame:
@@ -77,13 +143,25 @@ def resolve(all_nodes: DataFrame, name: str) -> DataFrame:
     return tiers.join(F.broadcast(best), "tier").select("node").orderBy("node")
 
 
+def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with ``i``, their number from zero in a sort order that is spread over many tasks."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = kept(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_place", 33)
+    # one row per task
+    runs = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"), F.min("_place").alias("_first"))
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = runs.select("_part", (before - F.col("_first")).alias("_shift"))
+    return placed.withColumn("_part", part).join(F.broadcast(shift), "_part").withColumn("i", F.col("_place") + F.col("_shift")).drop("_part", "_place", "_shift")
+
+
 def mermaid_lines(edges: DataFrame) -> DataFrame:
     """(part, place, line): the nodes and edges of a flow chart, ids by sorted names."""
-    ids = nodes(edges).withColumn("i", F.row_number().over(Window.orderBy("node")) - 1)
+    ids = _numbered(nodes(edges), ["node"])
     quote = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
     drawn = ids.select(F.lit(1).alias("part"), F.col("i").cast("bigint").alias("place"), F.format_string("  n%d[%s]", "i", quote(F.col("node"))).alias("line"))
     e = edge_set(edges).join(ids.select(F.col("node").alias("src"), F.col("i").alias("a")), "src").join(ids.select(F.col("node").alias("dst"), F.col("i").alias("b")), "dst")
-    arrows = e.select(F.lit(2).alias("part"), F.row_number().over(Window.orderBy("src", "dst")).cast("bigint").alias("place"), F.format_string("  n%d --> n%d", "a", "b").alias("line"))
+    arrows = _numbered(e.select("src", "dst", "a", "b"), ["src", "dst"]).select(F.lit(2).alias("part"), F.col("i").alias("place"), F.format_string("  n%d --> n%d", "a", "b").alias("line"))
     return drawn.unionByName(arrows)
 
 

@@ -31,9 +31,11 @@ class HybridIndex:
         return cls(chunks, LexicalIndex.build(chunks, "id", parts), files, LexicalIndex.build(files, "path", parts), settings)
 
     def stored(self) -> HybridIndex:
-        """Chunks and both word indexes written to the shared folder once."""
-        chunks, files = kept(self.chunks, "chunks"), kept(self.files, "files")
-        return HybridIndex(chunks, self.words.stored(), files, self.file_words.stored(), self.settings)
+        """Chunks, files and both word indexes written to the shared folder once."""
+        fresh = HybridIndex.build(kept(self.chunks, "chunks"), self.settings)
+        files = kept(fresh.files, "files")
+        parts = [F.col("path"), F.col("symbol"), F.col("content")] if self.settings.path_tokens else [F.col("content")]
+        return HybridIndex(fresh.chunks, fresh.words.stored(), files, LexicalIndex.build(files, "path", parts).stored(), self.settings)
 
     def _candidates(self, queries: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
         s, depth = self.settings, top * self.settings.candidate_factor

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def remove_inside(spans: DataFrame, regions: DataFrame) -> DataFrame:
@@ -21,9 +25,9 @@ def remove_inside(spans: DataFrame, regions: DataFrame) -> DataFrame:
     return marked.filter((F.col("_kind") == 1) & (F.col("_reach").isNull() | (F.col("_reach") < F.col("stop")))).select("_row.*")
 
 
-def unique_spans(spans: DataFrame) -> DataFrame:
-    """One row per (path, start, stop), named ones first."""
-    order = Window.partitionBy("path", "start", "stop").orderBy(F.col("name") == "", "name")
+def unique_spans(spans: DataFrame, sequence: str = "seq") -> DataFrame:
+    """One row per (path, start, stop): the first named one in ``sequence``, else the first."""
+    order = Window.partitionBy("path", "start", "stop").orderBy(F.col("name") == "", sequence)
     return spans.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
@@ -43,22 +47,47 @@ def gaps(spans: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def _enclosing(spans: DataFrame, scopes: DataFrame) -> DataFrame:
-    s = scopes.select(F.col("path").alias("_p"), F.col("start").alias("_a"), F.col("stop").alias("_b"), F.col("name").alias("_scope"))
-    inside = (F.col("path") == F.col("_p")) & (F.col("start") >= F.col("_a")) & (F.col("stop") <= F.col("_b"))
-    return spans.join(s.filter(F.col("_scope") != ""), inside, "left")
+    """Every row of ``spans`` as _row, repeated ones too, with the named scopes around it as sorted array _up of (start, -stop, name).
+
+    Spans and scopes of a path are swept by start with a stack, so time grows with what is found and not with
+    the pairs of a path.  The rows of a path come sorted and are streamed, a stack at a time.
+    """
+    row = spans.select(F.struct(*spans.columns).alias("_row")).schema["_row"].dataType
+    # scopes before spans that begin with them, outer scopes first
+    both = scopes.filter(F.col("name") != "").select("path", "start", "stop", "name", F.lit(0).alias("_kind"), F.lit(None).cast(row).alias("_row")).unionByName(
+        spans.select("path", "start", "stop", F.lit("").alias("name"), F.lit(1).alias("_kind"), F.struct(*spans.columns).alias("_row"))
+    )
+    placed = both.repartition("path").sortWithinPartitions("path", "start", "_kind", F.col("stop").desc(), "name")
+    scope = T.StructType([T.StructField("a", T.LongType()), T.StructField("nb", T.LongType()), T.StructField("name", T.StringType())])
+    kind = T.StructType([*placed.select("_row").schema.fields, T.StructField("_up", T.ArrayType(scope))])
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, stack = None, []
+        for b in batches:
+            up, take = [], []
+            for k, (p, start, stop, name, span) in enumerate(zip(*(b.column(c).to_pylist() for c in range(5)))):
+                if p != path:
+                    path, stack = p, []
+                # what ended before this start can't hold anything that follows
+                stack = [s for s in stack if s[1] >= start] if stack and min(s[1] for s in stack) < start else stack
+                if span == 0:
+                    stack.append((start, stop, name))
+                else:
+                    take.append(k)
+                    up.append([{"a": a, "nb": -z, "name": n} for a, z, n in sorted((s for s in stack if s[1] >= stop), key=lambda s: (s[0], -s[1], s[2]))])
+            if take:
+                yield pa.RecordBatch.from_arrays([b.column(5).take(pa.array(take)), pa.array(up, pa.list_(pa.struct([("a", pa.int64()), ("nb", pa.int64()), ("name", pa.string())])))], names=["_row", "_up"])
+
+    return placed.select("path", F.col("start").cast("bigint"), F.col("stop").cast("bigint"), "name", "_kind", "_row").mapInArrow(sweep, kind)
 
 
 def qualify(spans: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Spans with ``qualified``: the names of the scopes around them, outermost first, and their own.
-
-    The join is one on the path; within a path it gives the scopes around each span and no other pairs.
-    """
-    around = _enclosing(spans, scopes).groupBy(*spans.columns).agg(F.array_sort(F.collect_list(F.when(F.col("_scope").isNotNull(), F.struct("_a", (-F.col("_b")).alias("_nb"), "_scope")))).alias("_up"))
-    names = F.transform("_up", lambda s: s["_scope"])
-    return around.select(*spans.columns, F.array_join(F.filter(F.concat(names, F.array("name")), lambda x: x != ""), ".").alias("qualified"))
+    """Spans with ``qualified``: the names of the scopes around them, outermost first, and their own."""
+    names = F.transform("_up", lambda s: s["name"])
+    return _enclosing(spans, scopes).select("_row.*", F.array_join(F.filter(F.concat(names, F.array("_row.name")), lambda x: x != ""), ".").alias("qualified"))
 
 
 def innermost_scope(spans: DataFrame, scopes: DataFrame) -> DataFrame:
     """Spans with ``scope``: the name of the smallest scope around them, of equal ones the first."""
-    pick = F.min_by("_scope", F.struct(F.col("_b") - F.col("_a"), F.col("_a"), F.col("_scope")))
-    return _enclosing(spans, scopes).groupBy(*spans.columns).agg(F.coalesce(pick, F.lit("")).alias("scope"))
+    size = lambda s: F.struct((-s["nb"] - s["a"]).alias("size"), s["a"].alias("a"), s["name"].alias("name"))
+    return _enclosing(spans, scopes).select("_row.*", F.coalesce(F.array_min(F.transform("_up", size))["name"], F.lit("")).alias("scope"))

@@ -43,7 +43,7 @@ LANGUAGES: tuple[Language, ...] = (
     Language("data", (".json", ".yaml", ".yml"), generated=("DO NOT EDIT", "@generated"), prose=True),
 )
 CPP_MARKS = ("\nclass ", "\nnamespace ", "template <", "template<", "::", "\npublic:", 'extern "C"')
-COMMENT_SIGNS = ("//", "#", "/*", "*", "--", ";", "<!--", '"""')
+COMMENT_SIGNS = ("//", "#", "/*", "*", "--", ";", "<!--")
 HEAD_LINES = 20
 
 
@@ -61,8 +61,6 @@ def _any(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
-
-
 def language(path: Column, content: Column | None = None) -> Column:
     """The language of a path by its extension; a .h file with a sign of C++ in it is C++; null if none claims it."""
     ext = extension(path)

@@ -8,7 +8,10 @@ windows of lines that repeat the header in the text to be embedded.
 from __future__ import annotations
 
 import ast
+import io
+import itertools
 import re
+import tokenize
 from dataclasses import dataclass
 
 from ..config import Settings
@@ -142,7 +145,13 @@ def paragraph_spans(lines: list[str], first: int = 0, last: int | None = None) -
 
 
 def _signature(lines: list[str], first: int, last: int) -> str:
-    text = " ".join(" ".join(lines[first : last + 1]).split()).encode()[:200]
+    """The declaration up to its body, on one line, at most 200 bytes and no half character."""
+    head: list[str] = []
+    for line in lines[first : last + 1]:
+        head.append(line)
+        if re.search(r"[{:;]\s*(?:(?://|#).*)?$", line):
+            break
+    text = " ".join(" ".join(head).split()).encode()[:200]
     return text.decode("utf-8", "ignore")
 
 
@@ -201,28 +210,103 @@ def _gap(path, language, lines, first, last, around, s: Settings) -> list[tuple]
     return [r for a, b, n in out if _worth("\n".join(lines[a : b + 1]), s.min_gap_lines) for r in _fit(path, language, lines, a, b, n, s, False)]
 
 
+def _header(language: str, path: str, name: str, signature: str, most: int | None) -> str:
+    """Language, path, name and signature; to get under ``most`` tokens outer folders go first, then the signature."""
+    while True:
+        header = f"{language} {path}\n" + "".join(f"{x}\n" for x in (name, signature) if x)
+        if most is None or tokens(header) <= most:
+            return header
+        outer, _, rest = path.partition("/")
+        if rest:
+            path = rest
+        elif signature:
+            signature = ""
+        else:
+            return header
+
+
+def torn_lines(content: str, language: str) -> set[int]:
+    """Lines (from zero) that begin inside a string or a comment: no place to cut."""
+    out: set[int] = set()
+    if language == "python":
+        try:
+            for t in tokenize.generate_tokens(io.StringIO(content).readline):
+                if t.type == tokenize.STRING or tokenize.tok_name[t.type] in ("FSTRING_MIDDLE", "FSTRING_END"):
+                    out.update(range(t.start[0], t.end[0]))
+        except (tokenize.TokenError, SyntaxError):
+            pass
+        return out
+    for m in _QUIET.finditer(content):
+        if "\n" in m[0]:
+            line = content.count("\n", 0, m.start())
+            out.update(range(line + 1, line + 1 + m[0].count("\n")))
+    return out
+
+
+def statement_cuts(content: str, language: str, first: int, last: int) -> list[int]:
+    """Lines within a declaration at which a statement of its body begins, but the body's first one."""
+    if language == "python":
+        try:
+            tree = ast.parse(content)
+        except (SyntaxError, ValueError, RecursionError):
+            return []
+        for n in ast.walk(tree):
+            if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) and n.end_lineno - 1 == last and first <= n.lineno - 1:
+                starts = [min([x.lineno, *[d.lineno for d in getattr(x, "decorator_list", [])]]) - 1 for x in n.body]
+                return [k for k in starts[1:] if first < k <= last]
+        return []
+    quiet = _QUIET.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), content).split("\n")
+    depth, inner, cuts, ended = 0, 0, [], False
+    for k in range(first, last + 1):
+        text = quiet[k].strip()
+        # at the body's own depth, and where the statement before is complete
+        if text and depth == 1 and inner == 0 and ended and not text.startswith(("}", ")", "]", ".", "?", ":", "else", "catch", "finally")):
+            cuts.append(k)
+        for c in text:
+            if c == "{":
+                depth += 1
+            elif c == "}":
+                depth -= 1
+            elif c in "([":
+                inner += 1
+            elif c in ")]":
+                inner -= 1
+        if text:
+            ended = text.endswith((";", "{", "}", ",")) or (language in ("go", "javascript", "typescript", "tsx") and not text.endswith(("+", "-", "*", "=", "&&", "||", "(", ".")))
+    return cuts[1:]
+
+
+def windows(sizes: list[int], first: int, last: int, cuts: list[int], budget: int, overlap: int, torn: set[int]) -> list[tuple[int, int]]:
+    """(first, last) line ranges under a token budget that begin at the cuts; neighbours share ``overlap`` of them.
+
+    Without cuts lines are taken that begin in no string or comment, and if there are none, all lines.
+    """
+    if not cuts:
+        cuts = [k for k in range(first + 1, last + 1) if k not in torn] or list(range(first + 1, last + 1))
+    bounds = [first, *cuts, last + 1]
+    sums = list(itertools.accumulate(sizes[first : last + 1], initial=0))
+    out, i = [], 0
+    while i < len(bounds) - 1:
+        j = i + 1
+        while j < len(bounds) - 1 and sums[bounds[j + 1] - first] - sums[bounds[i] - first] <= budget:
+            j += 1
+        out.append((bounds[i], bounds[j] - 1))
+        if j == len(bounds) - 1:
+            break
+        i = max(i + 1, j - overlap)
+    return out
+
+
 def _fit(path, language, lines, first, last, name, s: Settings, signed: bool) -> list[tuple]:  # noqa: ANN001
-    """One chunk, or windows of lines if header and body don't fit."""
-    header = f"{language} {path}\n" + (f"{name}\n" if name else "") + (f"{_signature(lines, first, last)}\n" if signed else "")
-    if s.cap_header:
-        words = header.split(" ")
-        while len(words) > 2 and tokens(" ".join(words)) > s.max_tokens // 4:
-            words.pop()
-        header = " ".join(words)
+    """One chunk, or windows of statements if header and body don't fit."""
+    header = _header(language, path, name, _signature(lines, first, last) if signed else "", s.max_tokens // 4 if s.cap_header else None)
     body = "\n".join(lines[first : last + 1]).strip("\n")
     left = s.max_tokens - tokens(header)
     if tokens(body) <= left or left < 32:
         return [(first, last, name, body, header + body)] if _worth(body, 1) else []
-    spans, a = [], first
-    while a <= last:
-        b, n = a, tokens(lines[a])
-        while b < last and n + tokens(lines[b + 1]) <= left:
-            b += 1
-            n += tokens(lines[b])
-        spans.append((a, b))
-        if b == last:
-            break
-        a = max(a + 1, b + 1 - s.overlap)
+    content = "\n".join(lines)
+    cuts = statement_cuts(content, language, first, last) if signed else []
+    spans = windows([tokens(x) for x in lines], first, last, cuts, left, s.overlap, torn_lines(content, language))
     out = []
     for k, (a, b) in enumerate(spans, 1):
         text = "\n".join(lines[a : b + 1]).strip("\n")
@@ -233,16 +317,21 @@ def _fit(path, language, lines, first, last, name, s: Settings, signed: bool) ->
 
 _CALL = re.compile(r"([A-Za-z_]\w*)\s*\(")
 _GO_WORDS = frozenset("if for switch select return func go defer range map chan make new len cap append copy delete panic print println recover close min max clear string int error".split())
+_GO_KEYWORDS = frozenset("if for switch select return func go defer range map chan".split())
 
 
 def go_calls(content: str) -> list[tuple[str, str]]:
-    """(caller, callee) pairs of a Go file by names: each call within a function, its closures included."""
+    """(caller, callee) pairs of a Go file by names: each call within a function, its closures included.
+
+    Built-in functions are no callees, unless the file itself declares a function of that name.
+    """
     quiet = _QUIET.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), content).split("\n")
     out: set[tuple[str, str]] = set()
+    own = set(re.findall(r"^func\s+(?:\([^)]*\)\s*)?(\w+)", "\n".join(quiet), re.M))
     for u in brace_units(content, "go"):
         text = "\n".join(quiet[u.first : u.last + 1])
         m = re.search(r"^func\s+(?:\([^)]*\)\s*)?(\w+)", text, re.M)
         if m:
             body = text[text.index("{", m.end()) + 1 :] if "{" in text[m.end() :] else ""
-            out.update((m[1], c) for c in _CALL.findall(body) if c not in _GO_WORDS)
+            out.update((m[1], c) for c in _CALL.findall(body) if c not in _GO_KEYWORDS and (c not in _GO_WORDS or c in own))
     return sorted(out)

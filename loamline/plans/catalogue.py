@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import Settings
 from ..functions import text as tx
 from ..functions import vectors as vx
+from ..functions.wordpiece import wordpiece_column
 from ..operators import chunking, evaluation, fusion, graph, intervals, languages, lexical, nearest
 from ..operators.hybrid import HybridIndex
+from ..service import load_index
 from ..sources import catalog
-from ..sources.shared import kept
+from ..sources.shared import kept, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -295,29 +301,46 @@ for _name, _weights, _alpha, _used in (("rrf_plain", None, 1.0, None), ("rrf_wei
         return fusion.fuse(_rankings(spark, d), 60, weights, alpha, 2).select("query_id", "id", r6("score"))
 
 
-@query("first_per_group", "SELECT conv_id::VARCHAR AS id, row_number() OVER (ORDER BY max(length(text)) DESC, conv_id)::INTEGER AS rank FROM conversations GROUP BY conv_id")
+@query("first_per_group", "SELECT role AS query_id, conv_id::VARCHAR AS id, row_number() OVER (PARTITION BY role ORDER BY max(length(text)) DESC, conv_id)::INTEGER AS rank FROM conversations GROUP BY role, conv_id")
 def _(spark, d):
-    c = t(spark, d, "conversations").select(F.lit(0).alias("query_id"), F.col("conv_id").cast("string").alias("path"), "conv_id", F.length("text").alias("n"))
+    c = t(spark, d, "conversations").select(F.col("role").alias("query_id"), F.col("conv_id").cast("string").alias("path"), "conv_id", F.length("text").alias("n"))
     whole = c.groupBy("query_id", "path", "conv_id").agg(F.max("n").alias("n"))
     placed = whole.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("n").desc(), "conv_id")))
-    return fusion.collapse(placed).select("id", "rank")
+    return fusion.collapse(placed).select("query_id", "id", "rank")
 
 
 @query("top_n_per_group", "SELECT conv_id, turn, n::INTEGER AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS n FROM conversations) WHERE n <= 2")
 def _(spark, d):
-    order = Window.partitionBy("conv_id").orderBy(F.length("text").desc(), "turn")
-    return t(spark, d, "conversations").withColumn("n", F.row_number().over(order)).filter("n <= 2").select("conv_id", "turn", "n")
+    c = t(spark, d, "conversations").select(F.lit(0).alias("query_id"), F.col("conv_id").alias("path"), "turn", F.length("text").cast("double").alias("score"), F.col("turn").alias("first"))
+    return fusion.best_per_path(c, 2).select(F.col("path").alias("conv_id"), "turn", F.col("span_rank").alias("n"))
 
 
 # ---- hybrid search
 
 
+_INDEXES: dict[tuple, HybridIndex] = {}
+
+
+def conv_index(spark: SparkSession, d: str) -> HybridIndex:
+    """The stored index over the conversations: built once, and used again as long as the table's files are the same."""
+    files = spark.read.parquet(f"{d}/conversations.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.count("*"), F.sum("file_size"), F.max("file_modification_time").cast("string"), F.min("file_path")).first()
+    fields = {"source": hashlib.sha256(repr(tuple(state)).encode()).hexdigest()[:16], "embedder": f"hash-{DIM}", "dim": DIM}
+    at = f"{shared_folder(spark)}/conversations-{fields['source']}"
+    if (at, spark.sparkContext.applicationId) not in _INDEXES:
+        store = catalog.Catalog(spark, at)
+        if not store.ensure(fields) or store.chunks() is None:
+            chunks = conv_chunks(spark, d)
+            vectors = vx.hash_vectors(chunks, "id", F.col("content"), DIM)
+            store.upsert(chunks.join(vectors, "id"))
+        _INDEXES[at, spark.sparkContext.applicationId] = load_index(store, Settings())
+    return _INDEXES[at, spark.sparkContext.applicationId]
+
+
 def conv_hybrid(spark: SparkSession, d: str) -> tuple[HybridIndex, DataFrame]:
-    chunks = conv_chunks(spark, d)
-    vectors = vx.hash_vectors(chunks, "id", F.col("content"), DIM)
     q = bench_queries(spark, d)
     q = q.join(vx.hash_vectors(q, "query_id", F.col("query"), DIM).withColumnRenamed("id", "query_id"), "query_id")
-    return HybridIndex.build(kept(chunks.join(vectors, "id"), "chunks")).stored(), kept(q, "queries")
+    return conv_index(spark, d), kept(q, "queries")
 
 
 _HYBRID = f"""{CHUNKS_SQL}, {FILES_SQL}, qs AS (SELECT item_id AS query_id, text AS query FROM benchmark),
@@ -379,15 +402,27 @@ def _(spark, d):
 
 
 def _gold(spark, d):  # noqa: ANN001, ANN202
-    """Documents that contain a passage: candidates by its eight first words as one shared window, then verified."""
-    docs, items = t(spark, d, "documents"), t(spark, d, "benchmark")
-    words = lambda c: F.split(c, " ")
-    window = lambda w, i: F.xxhash64(F.array_join(F.slice(w, i + 1, 3), " "))
-    # inner words of a passage are whole words of the text; the first and the last one may be parts
-    q = items.select("item_id", F.col("text").alias("passage"), window(words("text"), F.lit(1)).alias("h"))
-    spots = docs.select("doc_id", words("text").alias("w")).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: window(F.col("w"), i)))).alias("h"))
-    near = spots.join(q.select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
-    found = near.join(docs, "doc_id").join(items.select("item_id", F.col("text").alias("passage")), "item_id").filter(F.col("text").contains(F.col("passage")))
+    """Documents that contain a passage: candidates by its inner words, then verified.
+
+    The words of a passage but the first and the last are whole words of the text, so up to four of them make a key
+    that all windows of the text are looked up by.  Passages of one or two words have none: each of those short ones
+    is looked for in all texts.
+    """
+    docs, items = t(spark, d, "documents"), t(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
+    q = items.withColumn("inner", F.slice(F.split("passage", " "), 2, F.greatest(F.size(F.split("passage", " ")) - 2, F.lit(0))))
+    q = kept(q.withColumn("width", F.least(F.size("inner"), F.lit(4))).withColumn("key", F.xxhash64(F.array_join(F.slice("inner", 1, 4), " "))), "passages")
+    widths = [r[0] for r in q.filter("width > 0").select("width").distinct().collect()]  # at most four
+    w = F.split("text", " ")
+    keys = lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.struct(F.lit(n).alias("width"), F.xxhash64(F.array_join(F.slice(w, i + 1, n), " ")).alias("key")))
+    found = None
+    if widths:
+        spots = docs.select("doc_id", F.explode(F.array_distinct(F.concat(*[keys(n) for n in sorted(widths)]))).alias("k")).select("doc_id", "k.*")
+        near = spots.join(q.select("item_id", "width", "key"), ["width", "key"]).select("doc_id", "item_id").distinct()
+        found = near.join(docs.select("doc_id", "text"), "doc_id").join(items, "item_id").filter(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
+    short = q.filter("width = 0").select("item_id", "passage")
+    if not short.isEmpty():
+        few = docs.select("doc_id", "text").join(short, F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
+        found = few if found is None else found.unionByName(few)
     sets = found.groupBy(F.col("item_id").alias("query_id")).agg(F.collect_set("doc_id").alias("relevant"))
     return items.select(F.col("item_id").alias("query_id")).join(sets, "query_id", "left").withColumn("relevant", F.coalesce("relevant", F.array().cast("array<bigint>")))
 
@@ -535,9 +570,12 @@ def _(spark, d):
     return intervals.remove_inside(*_units(spark, d))
 
 
-@query("interval_unique", f"WITH {_SPANS} SELECT path, start, stop, min(name) AS name FROM s GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY path, start, stop"))
+@query("interval_unique", "SELECT path, start, stop, arg_min(name, ((name = '')::INTEGER, seq)) AS name FROM (SELECT l_orderkey AS path, (l_partkey % 50)::BIGINT AS start, (l_partkey % 50)::BIGINT + floor(l_quantity / 10)::BIGINT AS stop, CASE WHEN l_linestatus = 'O' THEN 'n' || (9 - l_linenumber) ELSE '' END AS name, l_linenumber AS seq FROM lineitem) GROUP BY path, start, stop")
 def _(spark, d):
-    return intervals.unique_spans(_spans(spark, d).drop("status"))
+    start = (F.col("l_partkey") % 50).cast("bigint")
+    name = F.when(F.col("l_linestatus") == "O", F.concat(F.lit("n"), (9 - F.col("l_linenumber")).cast("string"))).otherwise("")
+    s = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"), start.alias("start"), (start + F.floor(F.col("l_quantity") / 10)).alias("stop"), name.alias("name"), F.col("l_linenumber").alias("seq"))
+    return intervals.unique_spans(s).drop("seq")
 
 
 @query("interval_outermost", f"WITH {_SPANS} SELECT path, start, stop, name FROM (SELECT *, max(stop) OVER (PARTITION BY path ORDER BY start, stop DESC, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s) WHERE reach IS NULL OR stop > reach")
@@ -557,23 +595,23 @@ def _(spark, d):
 
 @query(
     "scope_qualify",
-    f"""WITH {_SPLIT}, un AS (SELECT DISTINCT * FROM u)
-    SELECT u.*, array_to_string(list_append(coalesce(list(r.name ORDER BY r.start, r.stop DESC, r.name) FILTER (r.name IS NOT NULL), []), u.name), '.') AS qualified
-    FROM un u LEFT JOIN r ON r.path = u.path AND u.start >= r.start AND u.stop <= r.stop GROUP BY u.path, u.start, u.stop, u.name""",
+    f"""WITH {_SPLIT}, un AS (SELECT *, row_number() OVER () AS rid FROM (SELECT path, start, stop, 'n' AS name FROM u))
+    SELECT u.path, u.start, u.stop, u.name, array_to_string(list_append(coalesce(list(r.name ORDER BY r.start, r.stop DESC, r.name) FILTER (r.name IS NOT NULL), []), u.name), '.') AS qualified
+    FROM un u LEFT JOIN r ON r.path = u.path AND u.start >= r.start AND u.stop <= r.stop GROUP BY u.rid, u.path, u.start, u.stop, u.name""",
 )
 def _(spark, d):
     u, r = _units(spark, d)
-    return intervals.qualify(u.distinct(), r)
+    return intervals.qualify(u.withColumn("name", F.lit("n")), r)
 
 
 @query(
     "innermost_scope",
-    f"""WITH {_SPLIT}, un AS (SELECT DISTINCT * FROM u)
-    SELECT u.*, coalesce(arg_min(r.name, (r.stop - r.start, r.start, r.name)), '') AS scope FROM un u LEFT JOIN r ON r.path = u.path AND u.start >= r.start AND u.stop <= r.stop GROUP BY u.path, u.start, u.stop, u.name""",
+    f"""WITH {_SPLIT}, un AS (SELECT *, row_number() OVER () AS rid FROM (SELECT path, start, stop, 'n' AS name FROM u))
+    SELECT u.path, u.start, u.stop, u.name, coalesce(arg_min(r.name, (r.stop - r.start, r.start, r.name)), '') AS scope FROM un u LEFT JOIN r ON r.path = u.path AND u.start >= r.start AND u.stop <= r.stop GROUP BY u.rid, u.path, u.start, u.stop, u.name""",
 )
 def _(spark, d):
     u, r = _units(spark, d)
-    return intervals.innermost_scope(u.distinct(), r)
+    return intervals.innermost_scope(u.withColumn("name", F.lit("n")), r)
 
 
 # ---- store: cache hits and misses, upsert, digests
@@ -610,10 +648,72 @@ def _(spark, d):
     return conv_chunks(spark, d).agg(F.countDistinct("path").alias("files"), F.count("*").alias("chunks"))
 
 
-@query("fingerprint_diff", "SELECT unnest(['dim', 'chunker', 'embedder']) AS field")
+@query("fingerprint_diff", "SELECT unnest(['documents', 'chunker']) AS field")
+def _(spark, d):
+    store = catalog.Catalog(spark, f"{shared_folder(spark)}/stamp-{uuid.uuid4().hex}")
+    n = t(spark, d, "documents").count()
+    store.ensure({"documents": n, "dim": DIM, "chunker": "line"})
+    now = catalog.fingerprint({"schema": catalog.SCHEMA_VERSION, "documents": n + 1, "dim": DIM, "chunker": "syntax"})
+    return spark.createDataFrame([(x,) for x in catalog.stale_fields(store.inspect()["fingerprint"], now)], "field string")
+
+
+@query("lexical_round_trip", f"WITH {_DOC}, l AS (SELECT id, len(words)::BIGINT AS length FROM docs) SELECT p.id, term, tf, length FROM (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(words) AS term FROM docs) GROUP BY ALL) p JOIN l USING (id)")
+def _(spark, d):
+    """Saved, checked against the ids, and loaded."""
+    store = catalog.Catalog(spark, f"{shared_folder(spark)}/round-trip-{uuid.uuid4().hex}")
+    store.save_lexical("chunk", doc_index(spark, d))
+    ids = t(spark, d, "documents").select(F.col("doc_id").alias("id"))
+    if store.load_lexical("chunk", ids.filter("id > 0")) is not None:
+        raise AssertionError("an index of other ids was taken")
+    return store.load_lexical("chunk", ids).postings.select("id", "term", "tf", "length")
+
+
+@query("vector_cache", f"WITH {vectors_sql('x', 'documents', 'doc_id', 'text')} SELECT id, [round(y, 6) FOR y IN vector] AS vector FROM x")
+def _(spark, d):
+    """Half of the texts are embedded first; the second call finds them in the cache."""
+    store = catalog.Catalog(spark, f"{shared_folder(spark)}/cache-{uuid.uuid4().hex}")
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("embed_text"))
+    vector = vx.hash_embedding(F.col("embed_text"), DIM)
+    store.embed(docs.filter("id % 2 = 0"), f"hash-{DIM}", DIM, vector).write.format("noop").mode("overwrite").save()
+    return store.embed(docs, f"hash-{DIM}", DIM, vector).select("id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+
+
+@query("vector_codec", f"WITH {_EMB} SELECT id, [round(x, 6) FOR x IN v] AS vector, 256 AS bytes FROM e")
+def _(spark, d):
+    coded = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), vx.encode_vector(F.col("embedding")).alias("data"))
+    return coded.select("id", F.transform(vx.decode_vector(F.col("data")), lambda x: F.round(x.cast("double"), 6)).alias("vector"), F.length("data").alias("bytes"))
+
+
+@query("query_set", f"WITH {_GOLD} SELECT b.item_id AS query_id, b.text AS query, coalesce(list_sort(list(g.id::VARCHAR) FILTER (g.id IS NOT NULL)), []) AS relevant FROM benchmark b LEFT JOIN gold g ON g.query_id = b.item_id GROUP BY ALL")
+def _(spark, d):
+    """Passages and their documents as a JSON file, read back."""
+    at = f"{shared_folder(spark)}/query-set-{uuid.uuid4().hex}"
+    gold = _gold(spark, d).join(bench_queries(spark, d), "query_id").select("query_id", "query", F.array_sort(F.transform("relevant", lambda x: x.cast("string"))).alias("relevant"))
+    one = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("query_id", "query", "relevant"))), lambda x: F.struct(x["query"].alias("query"), x["relevant"].alias("relevant"))))
+    gold.agg(one.alias("value")).coalesce(1).write.text(at)  # a query set is one small file
+    order = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
+    number = kept(order, "ids").select("query_id", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("query_id")) - 1).cast("bigint").alias("n"))
+    back = evaluation.read_query_set(spark, at).withColumnRenamed("query_id", "n")
+    return back.join(number, "n").select("query_id", "query", "relevant")
+
+
+@query("eval_verbose", f"{_EVAL} SELECT query_id, CASE WHEN min(first_rank) > 0 THEN printf('%4d', min(first_rank)) ELSE 'MISS' END || '  ' || text AS line FROM each_k JOIN benchmark ON item_id = query_id GROUP BY query_id, text")
 def _(spark, d):
-    gone = catalog.stale_fields("schema=1 embedder=hash-256 dim=256 chunker=line", "schema=1 dim=64 chunker=syntax")
-    return spark.createDataFrame([(x,) for x in gone], "field string")
+    hits = lexical.search(doc_index(spark, d).stored(), bench_queries(spark, d))
+    return evaluation.verbose_lines(evaluation.per_query(hits, _gold(spark, d), _KS), bench_queries(spark, d))
+
+
+_PIECES = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *"abcdefghijklmnopqrstuvwxyz", *[f"##{c}" for c in "abcdefghijklmnopqrstuvwxyz"]]
+
+
+@query(
+    "wordpiece",
+    f"""WITH w AS (SELECT p_partkey, [x FOR x IN regexp_extract_all(lower(p_type || ', ' || p_name), '[a-z]+|[^a-z ]')] AS words FROM part)
+    SELECT p_partkey, list_concat([2], flatten([CASE WHEN regexp_matches(x, '^[a-z]+$') THEN [ascii(x[i]) - 97 + CASE WHEN i = 1 THEN 4 ELSE 30 END FOR i IN range(1, length(x) + 1)] ELSE [1] END FOR x IN words])[1:62], [3]) AS ids FROM w""",
+)
+def _(spark, d):
+    text = F.concat("p_type", F.lit(", "), "p_name")
+    return t(spark, d, "part").select("p_partkey", wordpiece_column(text, _PIECES, 64)["ids"].cast("array<int>").alias("ids"))
 
 
 @query("human_bytes", "SELECT doc_id, CASE WHEN n < 1024 THEN n || 'B' ELSE printf('%.1fK', n / 1024) END AS size FROM (SELECT doc_id, strlen(text) AS n FROM documents)")
@@ -621,7 +721,7 @@ def _(spark, d):
     return t(spark, d, "documents").select("doc_id", tx.human_bytes(F.octet_length("text")).alias("size"))
 
 
-# ---- graphs: hosts and the links of their pages; customers and suppliers by nation as a deeper one
+# ---- graphs: hosts and the links of their pages; orders, parts, suppliers, nations and regions as a deeper one
 
 
 def _edges(spark, d):  # noqa: ANN001, ANN202
@@ -629,13 +729,23 @@ def _edges(spark, d):  # noqa: ANN001, ANN202
     return graph.edge_set(p)
 
 
-def _tree(spark):  # noqa: ANN001, ANN202
-    """n -> n / 2 for 2..1000, and one edge back from the root."""
-    return spark.range(2, 1001).select(F.col("id").cast("string").alias("src"), F.floor(F.col("id") / 2).cast("string").alias("dst")).union(spark.createDataFrame([("1", "777")], "src string, dst string"))
+def _trade(spark, d):  # noqa: ANN001, ANN202
+    """Orders need parts, parts suppliers, suppliers nations, nations regions; a region leads back to its first nation."""
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    line, nation = t(spark, d, "lineitem"), t(spark, d, "nation")
+    pairs = [
+        line.select(name("o", "l_orderkey").alias("src"), name("p", "l_partkey").alias("dst")),
+        line.select(name("p", "l_partkey").alias("src"), name("s", "l_suppkey").alias("dst")),
+        t(spark, d, "supplier").select(name("s", "s_suppkey").alias("src"), name("n", "s_nationkey").alias("dst")),
+        nation.select(name("n", "n_nationkey").alias("src"), name("r", "n_regionkey").alias("dst")),
+        nation.groupBy("n_regionkey").agg(F.min("n_nationkey").alias("n")).select(name("r", "n_regionkey").alias("src"), name("n", "n").alias("dst")),
+    ]
+    return graph.edge_set(functools.reduce(DataFrame.unionByName, pairs))
 
 
 _EDGES = "e AS (SELECT DISTINCT regexp_extract(url, '//([^/?]+)', 1) AS src, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS dst FROM pages)"
-_TREE = "e AS (SELECT n::VARCHAR AS src, (n // 2)::VARCHAR AS dst FROM range(2, 1001) t(n) UNION ALL SELECT '1', '777')"
+_TRADE = """e AS (SELECT DISTINCT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem
+  UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 'r' || n_regionkey, 'n' || min(n_nationkey) FROM nation GROUP BY n_regionkey)"""
 
 
 @query("edges", f"WITH {_EDGES} SELECT * FROM e")
@@ -658,18 +768,18 @@ def _(spark, d):
     return graph.dependents(_edges(spark, d), "/The")
 
 
-@query("impact", f"WITH RECURSIVE {_TREE}, r AS (SELECT '12' AS node UNION SELECT e.src FROM r JOIN e ON e.dst = r.node) SELECT node FROM r WHERE node <> '12'")
+@query("impact", f"WITH RECURSIVE {_TRADE}, r AS (SELECT unnest(['s1', 'n3']) AS start, unnest(['s1', 'n3']) AS node UNION SELECT r.start, e.src FROM r JOIN e ON e.dst = r.node) SELECT start, node FROM r WHERE node <> start")
 def _(spark, d):
-    return graph.impact(_tree(spark), spark.createDataFrame([("12",)], "node string")).select("node")
+    return graph.impact(_trade(spark, d), spark.createDataFrame([("s1",), ("n3",)], "node string")).select("start", "node")
 
 
 @query(
     "trace",
-    f"""WITH RECURSIVE {_TREE}, r AS (SELECT '1000' AS node, ['1000'] AS path UNION ALL SELECT e.dst, list_append(r.path, e.dst) FROM r JOIN e ON e.src = r.node WHERE NOT list_contains(r.path, e.dst) AND len(r.path) < 25)
-    SELECT unnest(path) AS node, unnest(range(len(path)))::BIGINT AS place FROM (SELECT path FROM r WHERE node = '97' ORDER BY len(path), path LIMIT 1)""",
+    f"""WITH RECURSIVE {_TRADE}, r AS (SELECT 'o1' AS node, ['o1'] AS path UNION ALL SELECT e.dst, list_append(r.path, e.dst) FROM r JOIN e ON e.src = r.node WHERE NOT list_contains(r.path, e.dst) AND len(r.path) < 7)
+    SELECT unnest(path) AS node, unnest(range(len(path)))::BIGINT AS place FROM (SELECT path FROM r WHERE node = 'r2' ORDER BY len(path), path LIMIT 1)""",
 )
 def _(spark, d):
-    path = graph.trace(_tree(spark), "1000", "97") or []
+    path = graph.trace(_trade(spark, d), "o1", "r2") or []
     return spark.createDataFrame(list(zip(path, range(len(path)))), "node string, place bigint")
 
 
@@ -678,6 +788,13 @@ def _(spark, d):
     return graph.resolve(graph.nodes(_edges(spark, d)), "Blog")
 
 
+for _name, _want, _test in (("resolve_exact", "/The", "node = '/The'"), ("resolve_last_part", "com", "regexp_extract(node, '[^.]*$') = 'com'")):
+
+    @query(_name, f"WITH {_EDGES}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e) SELECT node FROM n WHERE {_test}")
+    def _(spark, d, want=_want):
+        return graph.resolve(graph.nodes(_edges(spark, d)), want)
+
+
 @query("mermaid_edges", f"WITH {_EDGES}, n AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS i FROM (SELECT src AS node FROM e UNION SELECT dst FROM e)) SELECT '  n' || a.i || ' --> n' || b.i AS line FROM e JOIN n a ON a.node = e.src JOIN n b ON b.node = e.dst")
 def _(spark, d):
     return graph.mermaid_lines(_edges(spark, d)).filter("part = 2").select("line")

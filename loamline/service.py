@@ -11,9 +11,30 @@ from .operators import evaluation, graph
 from .operators.chunking import chunker, chunker_id, embed_text
 from .operators.hybrid import HybridIndex
 from .operators.languages import is_skipped
+from .operators.lexical import LexicalIndex
 from .operators.syntax import go_calls
 from .sources.catalog import Catalog, stale_fields
 from .sources.repo_files import read_tree
+from .sources.shared import kept
+from .workspace import EMBEDDING, LOADING, SCANNING, STORING, Progress
+
+
+def save_words(catalog: Catalog, settings: Settings) -> None:
+    """Files and both word indexes of the stored chunks."""
+    catalog._swap("files", HybridIndex.build(catalog.chunks(), settings).files)
+    parts = [F.col("path"), F.col("symbol"), F.col("content")] if settings.path_tokens else [F.col("content")]
+    catalog.save_lexical("chunk", LexicalIndex.build(catalog.chunks(), "id", parts))
+    catalog.save_lexical("file", LexicalIndex.build(catalog._read("files"), "path", parts))
+
+
+def load_index(catalog: Catalog, settings: Settings) -> HybridIndex:
+    """The stored index; word indexes that don't fit the chunks any more are made again."""
+    chunks = catalog.chunks()
+    words = catalog.load_lexical("chunk", chunks)
+    if words is None or catalog._read("files") is None:
+        save_words(catalog, settings)
+        words = catalog.load_lexical("chunk")
+    return HybridIndex(catalog.chunks(), words, catalog._read("files"), catalog.load_lexical("file"), settings)
 
 
 class Repository:
@@ -30,27 +51,30 @@ class Repository:
     def files(self) -> DataFrame:
         return read_tree(self.spark, self.root).filter(~is_skipped(F.col("path"), F.col("content")))
 
-    def index(self) -> dict[str, object]:
+    def index(self, progress: Progress = lambda phase, done, total: None) -> dict[str, object]:
         """Build what is missing; an index that fits is used as it is (files is then None)."""
         if self.catalog.ensure(self.fields) and (n := self.catalog.inspect()["chunks"]):
+            progress(LOADING, n, n)
             return {"files": None, "chunks": n, "reused": True}
-        files = self.files()
+        progress(SCANNING, 0, 0)
+        files = kept(self.files(), "files")
+        n_files = files.count()
+        progress(SCANNING, n_files, n_files)
         made = chunker(self.settings.chunker)(files, self.settings)
         made = made.withColumn("embed_text", embed_text(F.col("path"), F.col("content"), F.col("embed_text")))
+        made = kept(made, "made")
+        n_chunks = made.count()
+        progress(EMBEDDING, 0, n_chunks)
         full = self.catalog.embed(made, self.fields["embedder"], self.settings.dimensions, hash_embedding(F.col("embed_text"), self.settings.dimensions))
+        progress(STORING, 0, n_chunks)
         self.catalog.upsert(full.drop("embed_text"))
-        index = HybridIndex.build(self.catalog.chunks(), self.settings)
-        self.catalog.save_lexical("chunk", index.words)
-        self.catalog.save_lexical("file", index.file_words)
-        return {"files": files.count(), "chunks": self.catalog.inspect()["chunks"], "reused": False}
+        save_words(self.catalog, self.settings)
+        progress(STORING, n_chunks, n_chunks)
+        return {"files": n_files, "chunks": n_chunks, "reused": False}
 
     def hybrid(self) -> HybridIndex:
         self.index()
-        chunks = self.catalog.chunks()
-        fresh = HybridIndex.build(chunks, self.settings)
-        words = self.catalog.load_lexical("chunk", chunks) or fresh.words
-        files = self.catalog.load_lexical("file", fresh.files, "path") or fresh.file_words
-        return HybridIndex(chunks, words, fresh.files, files, self.settings)
+        return load_index(self.catalog, self.settings)
 
     def queries(self, texts: list[str]) -> DataFrame:
         q = self.spark.createDataFrame(list(enumerate(texts)), "query_id bigint, query string")
@@ -73,6 +97,18 @@ class Repository:
         want = self.spark.createDataFrame([(i, r) for i, (_, r) in enumerate(gold)], "query_id bigint, relevant array<string>")
         return evaluation.evaluate(hits, want, ks)
 
+    def evaluation_report(self, path: str, verbose: bool = False, ks: list[int] = [5, 7, 10, 15, 20]) -> list[str]:  # noqa: B006
+        """Lines on a query set in a JSON file: one with recalls and MRR, or one per query with its rank and a sum."""
+        gold = evaluation.read_query_set(self.spark, path)
+        asked = gold.select("query_id", "query").withColumn("vector", hash_embedding(F.col("query"), self.settings.dimensions))
+        ks = [10] if verbose else ks
+        hits = self.hybrid().search_first_spans(asked, max(ks)).select("query_id", F.col("path").alias("id"), "rank")
+        total = [r["line"] for r in evaluation.report_line(evaluation.evaluate(hits, gold, ks)).collect()]
+        if not verbose:
+            return total
+        each = evaluation.verbose_lines(evaluation.per_query(hits, gold, ks), gold)
+        return [r["line"] for r in each.orderBy("query_id").toLocalIterator()] + total
+
     def graph(self, edges: DataFrame | None = None) -> DataFrame:
         """Given edges (from a compiler, say), else calls by name from the Go files of the tree."""
         if edges is not None:
@@ -89,16 +125,20 @@ class Repository:
             self._graph = tree.select("content").mapInPandas(calls, "src string, dst string").distinct()
         return self._graph
 
-    def impact(self, name: str) -> dict[str, list[str]]:
-        found = self._resolve(name)
-        return {"candidates": found} if len(found) != 1 else {"nodes": sorted(r["node"] for r in graph.impact(self.graph(), self.spark.createDataFrame([(found[0],)], "node string")).collect())}
+    def impact(self, name: str) -> dict[str, object]:
+        found, total = self._resolve(name)
+        return {"candidates": found, "total": total} if total != 1 else {"nodes": sorted(r["node"] for r in graph.impact(self.graph(), self.spark.createDataFrame([(found[0],)], "node string")).collect())}
 
-    def trace(self, start: str, end: str) -> dict[str, list[str] | None]:
-        a, b = self._resolve(start), self._resolve(end)
-        return {"candidates": a if len(a) != 1 else b} if len(a) != 1 or len(b) != 1 else {"path": graph.trace(self.graph(), a[0], b[0])}
+    def trace(self, start: str, end: str) -> dict[str, object]:
+        for found, total in (a := self._resolve(start), b := self._resolve(end)):
+            if total != 1:
+                return {"candidates": found, "total": total}
+        return {"path": graph.trace(self.graph(), a[0][0], b[0][0])}
 
-    def _resolve(self, name: str) -> list[str]:
-        return [r["node"] for r in graph.resolve(graph.nodes(self.graph()), name).limit(20).collect()]
+    def _resolve(self, name: str, most: int = 20) -> tuple[list[str], int]:
+        """The first candidates for a name, and how many there are."""
+        found = kept(graph.resolve(graph.nodes(self.graph()), name), "candidates")
+        return [r["node"] for r in found.orderBy("node").limit(most).collect()], found.count()
 
     def status(self) -> dict[str, object]:
         return self.catalog.inspect()

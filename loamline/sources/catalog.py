@@ -1,12 +1,16 @@
-"""A stored index: chunks and postings as Parquet, a manifest that tells how they were made, and a vector cache."""
+"""A stored index: chunks and word indexes as Parquet, a manifest that tells how they were made, and a vector cache.
+
+Every table is a folder of its own name and version.  The manifest, one small file that is replaced in one step,
+says which versions are current, so a reader or a crash never meets half a table.
+"""
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..operators.lexical import LexicalIndex
 
@@ -36,44 +40,72 @@ class Catalog:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _read(self, name: str) -> DataFrame | None:
+    # the manifest: {"fingerprint": text, "tables": {name: folder}, "lexical": {kind: {version, n, digest}}}
+
+    def _path(self, name: str):  # noqa: ANN202
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+
+    def _files(self):  # noqa: ANN202
+        return self._path("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _manifest(self) -> dict:
+        files, at = self._files(), self._path("manifest.json")
+        if not files.exists(at):
+            return {"fingerprint": None, "tables": {}, "lexical": {}}
+        stream = files.open(at)
         try:
-            return self.spark.read.parquet(f"{self.folder}/{name}")
-        except AnalysisException:
-            return None
+            return json.loads(bytes(b & 0xFF for b in stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _commit(self, manifest: dict, gone: list[str] = ()) -> None:
+        """Put the manifest in the place of the old one, then delete folders that it doesn't name any more."""
+        files, aside = self._files(), self._path(f"manifest-{uuid.uuid4().hex}")
+        out = files.create(aside, True)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        fs = self.spark._jvm.org.apache.hadoop.fs
+        context = fs.FileContext.getFileContext(files.makeQualified(aside).toUri(), self.spark._jsc.hadoopConfiguration())
+        over = self.spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+        over[0] = fs.Options.Rename.OVERWRITE
+        context.rename(files.makeQualified(aside), files.makeQualified(self._path("manifest.json")), over)
+        for name in gone:
+            files.delete(self._path(name), True)
+
+    def _read(self, name: str) -> DataFrame | None:
+        at = self._manifest()["tables"].get(name)
+        return self.spark.read.parquet(f"{self.folder}/{at}") if at else None
+
+    def _write(self, name: str, df: DataFrame) -> str:
+        at = f"{name.replace('/', '-')}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.folder}/{at}")
+        return at
 
     def _swap(self, name: str, df: DataFrame) -> None:
-        """Replace a table that ``df`` may read from: write beside it, then rename."""
-        jvm, aside = self.spark._jvm, f"{self.folder}/_{uuid.uuid4().hex}"
-        df.write.parquet(aside)
-        path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-        files = path(aside).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        files.delete(path(f"{self.folder}/{name}"), True)
-        files.rename(path(aside), path(f"{self.folder}/{name}"))
+        """Replace a table that ``df`` may read from."""
+        self._replace({name: self._write(name, df)})
 
-    # manifest
+    def _replace(self, tables: dict[str, str], **entries) -> None:  # noqa: ANN003
+        m = self._manifest()
+        gone = [m["tables"][n] for n in tables if n in m["tables"]]
+        m["tables"].update(tables)
+        m.update(entries)
+        self._commit(m, gone)
 
     def inspect(self) -> dict[str, object]:
         """What is stored, without making or changing anything: fingerprint (None if absent) and chunks."""
-        manifest, chunks = self._read("manifest"), self._read("chunks")
-        row = manifest.filter(F.col("key") == "fingerprint").first() if manifest is not None else None
-        return {"fingerprint": row["value"] if row else None, "chunks": chunks.count() if chunks is not None else 0}
+        chunks = self._read("chunks")
+        return {"fingerprint": self._manifest()["fingerprint"], "chunks": chunks.count() if chunks is not None else 0}
 
     def ensure(self, fields: dict[str, object]) -> bool:
-        """Stamp a new index; drop chunks and postings if they were made otherwise.  True if what is stored fits."""
-        now = fingerprint({"schema": SCHEMA_VERSION, **fields})
-        stored = self.inspect()["fingerprint"]
-        if stored == now:
+        """Stamp a new index; drop chunks and word indexes if they were made otherwise.  True if what is stored fits."""
+        now, m = fingerprint({"schema": SCHEMA_VERSION, **fields}), self._manifest()
+        if m["fingerprint"] == now:
             return True
-        for name in ("chunks", "postings", "lengths", "lexical"):
-            self._delete(name)
-        self._swap("manifest", self.spark.createDataFrame([("fingerprint", now)], "key string, value string"))
+        gone = [at for n, at in m["tables"].items() if n != "vector_cache"]
+        self._commit({"fingerprint": now, "tables": {n: at for n, at in m["tables"].items() if n == "vector_cache"}, "lexical": {}}, gone)
         return False
 
-    def _delete(self, name: str) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
     # chunks
 
     def chunks(self) -> DataFrame | None:
@@ -84,36 +116,46 @@ class Catalog:
         old = self.chunks()
         self._swap("chunks", new if old is None else upserted(old, new, id_col))
 
-    # lexical indexes
+    # word indexes
 
-    def save_lexical(self, kind: str, index: LexicalIndex) -> None:
-        for name, df in (("postings", index.postings), ("lengths", index.lengths)):
-            df.write.mode("overwrite").parquet(f"{self.folder}/{name}/kind={kind}")
-        state = ids_digest(index.lengths).select(F.lit(kind).alias("kind"), F.lit(LEXICAL_VERSION).alias("version"), "n", "digest")
-        old = self._read("lexical")
-        self._swap("lexical", state if old is None else upserted(old, state, "kind"))
+    def save_lexical(self, kind: str, index: LexicalIndex) -> LexicalIndex:
+        """Store an index under a name; it becomes visible as a whole."""
+        tables: dict[str, str] = {}
 
-    def load_lexical(self, kind: str, ids: DataFrame, id_col: str = "id") -> LexicalIndex | None:
-        """None if absent, of another version, or made of other ids."""
-        state = self._read("lexical")
-        row = state.filter((F.col("kind") == kind) & (F.col("version") == LEXICAL_VERSION)).first() if state is not None else None
-        if row is None or tuple(ids_digest(ids, id_col).first()) != (row["n"], row["digest"]):
+        def put(df: DataFrame, label: str) -> DataFrame:
+            tables[f"{kind}/{label}"] = at = self._write(f"{kind}/{label}", df)
+            return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{at}")
+
+        stored = index.write(put)
+        state = ids_digest(stored.lengths).first()
+        known = self._manifest()["lexical"] | {kind: {"version": LEXICAL_VERSION, "n": state["n"], "digest": state["digest"]}}
+        self._replace(tables, lexical=known)
+        return stored
+
+    def load_lexical(self, kind: str, ids: DataFrame | None = None, id_col: str = "id") -> LexicalIndex | None:
+        """None if absent, of another version, or made of other ids (not looked at if ``ids`` is None)."""
+        state = self._manifest()["lexical"].get(kind)
+        if state is None or state["version"] != LEXICAL_VERSION:
+            return None
+        if ids is not None and tuple(ids_digest(ids, id_col).first()) != (state["n"], state["digest"]):
             return None
-        postings, lengths = (self.spark.read.parquet(f"{self.folder}/{n}/kind={kind}") for n in ("postings", "lengths"))
-        return LexicalIndex(postings, lengths, lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avg_length")))
+        return LexicalIndex(*(self._read(f"{kind}/{n}") for n in ("postings", "lengths", "stats", "frequencies")))
 
     # vector cache
 
     def embed(self, chunks: DataFrame, embedder: str, dim: int, vector: Column, text: str = "embed_text") -> DataFrame:
         """``chunks`` with vectors: known ones from the cache, the others computed once per text and added to it."""
         keyed = chunks.withColumn("_hash", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-        cache = self._read("vector_cache")
-        empty = self.spark.createDataFrame([], "embedder string, hash string, vector array<double>")
-        held = (cache if cache is not None else empty).filter((F.col("embedder") == embedder) & (F.size("vector") == dim))
-        known, misses = split_cache(keyed, held)
+        folder = self._manifest()["tables"].get("vector_cache") or f"vector_cache-{uuid.uuid4().hex}"
+        at = f"{self.folder}/{folder}"
+        schema = "embedder string, hash string, vector array<double>"
+        fits = lambda df: df.filter((F.col("embedder") == embedder) & (F.size("vector") == dim))
+        cache = self.spark.read.schema(schema).parquet(at) if self._files().exists(self._path(folder)) else self.spark.createDataFrame([], schema)
+        misses = split_cache(keyed, fits(cache))[1]
         made = misses.dropDuplicates(["_hash"]).select(F.lit(embedder).alias("embedder"), F.col("_hash").alias("hash"), vector.alias("vector")).filter(F.col("vector").isNotNull())
-        made.write.mode("append").parquet(f"{self.folder}/vector_cache")
-        full = self._read("vector_cache").filter((F.col("embedder") == embedder) & (F.size("vector") == dim)).dropDuplicates(["hash"]).select(F.col("hash").alias("_hash"), "vector")
+        made.write.mode("append").parquet(at)  # rows are only ever added, and equal ones may come twice
+        self._replace({} if "vector_cache" in self._manifest()["tables"] else {"vector_cache": folder})
+        full = fits(self.spark.read.schema(schema).parquet(at)).dropDuplicates(["hash"]).select(F.col("hash").alias("_hash"), "vector")
         return keyed.join(full, "_hash", "left").drop("_hash")
 
 

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame, label: str = "table") -> DataFrame:
-    """``df`` written once and read back: later uses don't compute it again, and lost executors don't matter."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; on one machine (tests) a temporary folder where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         at = "file://" + tempfile.mkdtemp(prefix="loamline-")
         spark.conf.set("spark.checkpoint.dir", at)
-    at = f"{at.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def kept(df: DataFrame, label: str = "table") -> DataFrame:
+    """``df`` written once and read back: later uses don't compute it again, and lost executors don't matter."""
+    at = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

@@ -8,15 +8,27 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.chunking import line_chunks
 from ..sources.catalog import Catalog
+from ..sources.shared import kept
 
 
 def follow(spark: SparkSession, folder: str, catalog: Catalog, checkpoint: str, chunk=line_chunks) -> StreamingQuery:
-    """Start a stream over Parquet files of (path, content): each batch replaces the chunks of its paths."""
-    stream = spark.readStream.schema("path string, content string").parquet(folder)
+    """Start a stream over Parquet files of (path, content, version): each batch replaces the chunks of its paths.
+
+    Of several rows of a path in a batch the one of the largest version counts, of equal ones that of the file
+    written last; an older version than the stored one changes nothing.
+    """
+    # a row is as new as the file that it came in; the version goes first if files have one
+    stream = spark.readStream.schema("path string, content string, version bigint").parquet(folder)
+    stream = stream.select("path", "content", F.coalesce("version", F.lit(0)).alias("version"), F.col("_metadata.file_modification_time").alias("_at"))
 
     def apply(batch: DataFrame, _: int) -> None:
-        latest = batch.groupBy("path").agg(F.max("content").alias("content"))
-        new, old = chunk(latest), catalog.chunks()
+        latest = batch.groupBy("path").agg(F.max_by(F.struct("content", "version"), F.struct("version", "_at", "content")).alias("r")).select("path", "r.*")
+        old = catalog.chunks()
+        if old is not None:
+            newer = old.groupBy("path").agg(F.max("version").alias("have")).filter("have is not null")
+            latest = latest.join(newer, "path", "left").filter("have is null or version >= have").drop("have")
+        latest = kept(latest, "latest")
+        new = chunk(latest).join(latest.select("path", "version"), "path")
         if old is not None:
             new = old.join(latest.select("path"), "path", "left_anti").unionByName(new, allowMissingColumns=True)
         catalog._swap("chunks", new)

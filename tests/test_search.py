@@ -108,6 +108,26 @@ def test_quantized_search_equals_exact(spark):
     assert rows(nearest.nearest_exact(vectors, queries, 10)) == rows(nearest.nearest_rescored(vectors, queries, 10, 6))
 
 
+def test_scan_writes_few_rows_and_takes_blocks_of_queries(spark, monkeypatch):
+    rng = random.Random(11)
+    point = lambda: [float(rng.randrange(-3, 4)) for _ in range(4)]  # many ties
+    rows = [(f"v{i:04}", point()) for i in range(1500)]
+    asked = [(i, point()) for i in range(30)]
+    vectors = spark.createDataFrame(rows, "id string, vector array<double>").repartition(3)
+    queries = spark.createDataFrame(asked, "query_id bigint, vector array<double>")
+    assert nearest._scan(vectors, queries, 20, True).count() <= 3 * 30 * 20
+
+    def cos(a, b):
+        n = math.hypot(*a) * math.hypot(*b)
+        return sum(x * y for x, y in zip(a, b)) / n if n else 0.0
+
+    want = sorted((q, i, k + 1) for q, v in asked for k, (_, i) in enumerate(sorted((-round(cos(v, w), 9) + 0.0, i) for i, w in rows)[:7]))
+    for most in (10_000, 8):
+        monkeypatch.setattr(nearest, "MOST_QUERIES", most)
+        assert sorted((r["query_id"], r["id"], r["rank"]) for r in nearest.nearest_exact(vectors, queries, 7).collect()) == want
+    assert nearest.nearest_exact(vectors.limit(0), queries, 7).count() == 0 and nearest.nearest_exact(vectors, queries.limit(0), 7).count() == 0
+
+
 def test_hash_vectors_match_expression(spark):
     docs = spark.createDataFrame([(1, "a b a Straße"), (2, ""), (3, None)], "id bigint, t string")
     got = {r["id"]: r["vector"] for r in vx.hash_vectors(docs, "id", F.col("t"), 16).collect()}
