@@ -250,7 +250,7 @@ def test_long_conversations(spark):
 
     n = 20_000
     turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é[INST]"), F.col("id")).alias("text"))
-    turns = turns.unionByName(spark.createDataFrame([(2, 0, "assistant", "x" * 3_000_000), (2, 1, "user", None)], turns.schema))
+    turns = turns.unionByName(spark.createDataFrame([(2, 0, "assistant", "x" * 3_000_000), (2, 1, "user", None)], "conv_id int, turn bigint, role string, text string"))
     began = time.time()
     got = {b["conv_id"]: b for b in chat.read_chats(chat.format_chats(turns)).collect()}
     assert [t["text"] for t in got[1]["turns"]] == [f"é[INST]{k}" for k in range(n)]
