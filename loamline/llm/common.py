@@ -41,6 +41,9 @@ def running(values: Column, op) -> Column:
     return let(values, lambda v: F.when(F.size(v) > 0, let(pieces(v), put_together)).otherwise(F.array().cast(kind)))
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or on one machine (tests) a temporary one where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -48,8 +51,9 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.conf.get("spark.master", "")
         if not re.match(r"local(\[|$)", master):
             raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
-        found = "file://" + tempfile.mkdtemp(prefix="loamline-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = _local_dirs.get(app) or "file://" + tempfile.mkdtemp(prefix="loamline-")
+        _local_dirs[app] = found
     return found.rstrip("/")
 
 
@@ -57,14 +61,35 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_made: list[str] = []
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and outlives lost executors."""
     spark = df.sparkSession
     at = new_folder(spark, label)
     df.write.parquet(at)
+    _made.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def stages_run(spark: SparkSession, docs: DataFrame, stages: list[tuple], sf_dir: str) -> DataFrame:
+    """The stages one after the other, each stored; what a stage stored on its way, and its input, go once its result is there."""
+    result = None
+    for name, stage in stages:
+        before = len(_made)
+        docs = staged(stage(spark, docs, sf_dir), name)
+        spent, _made[before:] = _made[before:-1], _made[-1:]
+        if result is not None:
+            _made.remove(result)
+            spent.append(result)
+        result = _made[-1]
+        for at in spent:
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return docs
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -286,7 +286,8 @@ def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", keep: li
     """``keep`` columns (doc_id, if None) and ids, the whole text as array of piece ids.
 
     Null and empty texts have no ids.  Characters without a piece become byte pieces.  Rows are independent,
-    so repeated rows and empty tables need no care.
+    so repeated rows and empty tables need no care.  Memory is that of a few million characters, or of the longest
+    unbroken word: about 100 bytes for each of its characters.
     """
     picked = docs.select(*(keep or [F.col("doc_id")]), F.col(text).alias("_text"))
     out = T.StructType([*picked.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])

@@ -172,7 +172,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
 def score_toxicity(docs: DataFrame, chain: Chain, text: str = "text", keep: list[Column] | None = None) -> DataFrame:
     """``keep`` columns (doc_id, if None), p_<category> for each category, and toxic for the last one's threshold.
 
-    Whole texts are read; a null text has no words.  Rows are independent of each other.
+    Whole texts are read, however long; a null or empty text has no words.  A probability that equals the threshold
+    counts as toxic.  Rows are independent of each other, so repeated ones are scored alike and an empty table
+    gives an empty result; columns of ``docs`` that aren't kept are not looked at.
     """
     picked = docs.select(*(keep or [F.col("doc_id")]), F.col(text).alias("_text"))
     out = T.StructType([*picked.schema.fields[:-1], *[T.StructField(f"p_{c}", T.DoubleType()) for c in chain.categories], T.StructField("toxic", T.BooleanType())])

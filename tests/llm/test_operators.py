@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loamline.llm import chat, exact_dedup, html_text, minhash, mixing, pieces, quality, secrets, simhash, token_files, toxicity
+from loamline.llm import chat, common, exact_dedup, html_text, minhash, mixing, pieces, quality, secrets, simhash, token_files, toxicity
 from loamline.llm.queries import ORACLES, QUERIES, tokenizer_file
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -300,6 +300,8 @@ def test_condition_equals_rules(spark, docs, empty):
     for r in got.select("*", *[c.alias(f"f_{n}") for n, c in quality.features().items()]).collect():
         base = r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]
         assert r["base_failed"] == base and r["kept"] == (not base and rules.keeps({n: r[f"f_{n}"] for n in names}))
+    clash = docs.select("doc_id", "text").withColumns({"n_words": F.lit(1), "kept": F.lit(1)})
+    assert quality.judge_quality(clash, rules).count() == docs.count() and quality.judge_quality(clash, rules).columns.count("n_words") == 1
     assert quality.drop_poor(docs, rules).columns == docs.columns and quality.drop_poor(empty, rules).count() == 0
 
 
@@ -437,6 +439,14 @@ def test_chain_on_held_out_labels(spark):
     got = {x["doc_id"]: x["toxic"] for x in toxicity.score_toxicity(df.select("doc_id", "text"), chain).collect()}
     assert sum(got[i] == bool(t) for i, _, t in labels if i >= 600) >= 297 and not got[1000] and not got[1001]
     assert [len(w) for w in chain.weights] == [len(chain.selected) + 1, len(chain.selected) + 2]
+    # no rows, repeated rows, a long text, clashing names, and a probability that equals the threshold
+    text = df.select("doc_id", "text")
+    assert toxicity.score_toxicity(text.limit(0), chain).count() == 0
+    many = spark.createDataFrame([(1, "x " * 400_000 + "vilest awfulness"), (2, rows[0][1]), (2, rows[0][1])], "doc_id bigint, text string")
+    p = toxicity.score_toxicity(many.withColumn("p_toxic", F.lit(1)), chain).collect()
+    assert len(p) == 3 and p[0]["toxic"] and len({x["p_toxic"] for x in p if x["doc_id"] == 2}) == 1
+    tie = toxicity.Chain(chain.categories, chain.selected, chain.weights, (0.5, p[0]["p_toxic"]))
+    assert toxicity.score_toxicity(many.limit(1), tie).first()["toxic"]
     none = toxicity.fit_chain(df, known.limit(0), cats)
     assert not any(x["toxic"] for x in toxicity.score_toxicity(df.select("doc_id", "text"), none).collect())
 
@@ -754,7 +764,7 @@ def test_pipeline(spark, folder):
         out = stage(spark, docs, folder)
         if name != "pieces":
             assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-        docs = corpus_pipeline.staged(out, name)
+        docs = common.staged(out, name)
         after = docs.collect()
         if name == "quality_rules":
             assert all(len((r["text"] or "").split()) >= 20 for r in after) and 0 < len(after) < len(before)
@@ -777,6 +787,28 @@ def test_pipeline(spark, folder):
             assert len(after) == len(before) and all(coder.decode(np.array(r["ids"])) == texts[r["doc_id"]] and r["n_ids"] == len(r["ids"]) for r in after)
 
 
+def test_pipeline_leaves_only_its_result(spark, folder, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    rows = corpus_pipeline.run(spark, folder)
+    assert rows.count() > 0 and [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["pieces"]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        def __init__(self, **known):
+            self.known, self.conf, self.sparkContext, self.applicationId = known, self, self, "app"
+
+        def get(self, key, default=None):
+            return self.known.get(key, default)
+
+    assert common.shared_dir(Session(**{"spark.checkpoint.dir": "hdfs:///x/", "spark.master": "yarn"})) == "hdfs:///x"
+    local = Session(**{"spark.master": "local[4]"})
+    assert common.shared_dir(local).startswith("file:///") and common.shared_dir(local) == common.shared_dir(local)
+    for master in ("yarn", "local-cluster[3,2,1024]", "spark://a:7077"):
+        with pytest.raises(ValueError):
+            common.shared_dir(Session(**{"spark.master": master}))
+
+
 def test_pipeline_stages_keep_clashing_columns_and_null_rows(spark, docs, empty, folder):
     """Every stage but the last on rows with nulls, repeats and columns named like the stages' own, and on no rows."""
     odd = docs.withColumns({c: F.lit(7) for c in ("_k_id", "_k_sha", "_k_source", "_copies", "_l_id", "n_words", "set", "bands", "root")})
