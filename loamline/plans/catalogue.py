@@ -16,6 +16,7 @@ from ..functions import vectors as vx
 from ..functions.wordpiece import wordpiece_column
 from ..operators import chunking, evaluation, fusion, graph, intervals, languages, lexical, nearest
 from ..operators.hybrid import HybridIndex
+from ..operators.syntax import go_calls
 from ..service import load_index
 from ..sources import catalog
 from ..sources.shared import kept, shared_folder
@@ -412,11 +413,11 @@ def _gold(spark, d):  # noqa: ANN001, ANN202
     q = items.withColumn("inner", F.slice(F.split("passage", " "), 2, F.greatest(F.size(F.split("passage", " ")) - 2, F.lit(0))))
     q = kept(q.withColumn("width", F.least(F.size("inner"), F.lit(4))).withColumn("key", F.xxhash64(F.array_join(F.slice("inner", 1, 4), " "))), "passages")
     widths = [r[0] for r in q.filter("width > 0").select("width").distinct().collect()]  # at most four
-    w = F.split("text", " ")
+    w = F.col("w")
     keys = lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.struct(F.lit(n).alias("width"), F.xxhash64(F.array_join(F.slice(w, i + 1, n), " ")).alias("key")))
     found = None
     if widths:
-        spots = docs.select("doc_id", F.explode(F.array_distinct(F.concat(*[keys(n) for n in sorted(widths)]))).alias("k")).select("doc_id", "k.*")
+        spots = docs.select("doc_id", F.split("text", " ").alias("w")).select("doc_id", F.explode(F.array_distinct(F.concat(*[keys(n) for n in sorted(widths)]))).alias("k")).select("doc_id", "k.*")
         near = spots.join(q.select("item_id", "width", "key"), ["width", "key"]).select("doc_id", "item_id").distinct()
         found = near.join(docs.select("doc_id", "text"), "doc_id").join(items, "item_id").filter(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
     short = q.filter("width = 0").select("item_id", "passage")
@@ -484,6 +485,50 @@ def _(spark, d):
     return got.filter(F.col("id").contains("~")).groupBy("path").agg(F.count("*").alias("again"))
 
 
+def _source_files(spark, d):  # noqa: ANN001, ANN202
+    """A Python file for every part."""
+    k = F.col("p_partkey").cast("string")
+    lines = ["import os", "", "", F.concat(F.lit("def part_"), k, F.lit("(a):")), F.concat(F.lit("    return "), F.col("p_size").cast("string")), "", "", F.concat(F.lit("class P"), k, F.lit(":")), "    @cached", "    def name(self):", F.concat(F.lit("        return '"), F.col("p_name"), F.lit("'"))]
+    return t(spark, d, "part").select(F.concat(F.lit("src/p"), k, F.lit(".py")).alias("path"), F.concat_ws("\n", *[x if not isinstance(x, str) else F.lit(x) for x in lines]).alias("content"))
+
+
+@query(
+    "syntax_chunks",
+    """SELECT 'src/p' || p_partkey || '.py' AS path, unnest([0, 1, 2, 3])::BIGINT AS ord, unnest([1, 4, 8, 9])::INTEGER AS start_line, unnest([1, 5, 8, 11])::INTEGER AS end_line,
+      unnest(['', 'part_' || p_partkey, 'P' || p_partkey, 'P' || p_partkey || '.name']) AS symbol,
+      unnest(['import os', 'def part_' || p_partkey || '(a):' || chr(10) || '    return ' || p_size, 'class P' || p_partkey || ':', '    @cached' || chr(10) || '    def name(self):' || chr(10) || '        return ' || chr(39) || p_name || chr(39)]) AS content FROM part""",
+)
+def _(spark, d):
+    return chunking.syntax_chunks(_source_files(spark, d)).select("path", "ord", "start_line", "end_line", "symbol", "content")
+
+
+@query(
+    "statement_windows",
+    "SELECT 's' || o_orderkey || '.py' AS path, true AS cut, true AS at_statements FROM orders",
+)
+def _(spark, d):
+    """Long functions of two-line statements: windows begin at statements, which are on even lines."""
+    body = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("    call("), i.cast("string"), F.lit(",\n        'some longer text')"))), "\n")
+    files = t(spark, d, "orders").select(F.concat(F.lit("s"), F.col("o_orderkey").cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit("def big():\n"), body).alias("content"))
+    got = chunking.syntax_chunks(files).groupBy("path").agg((F.count("*") > 1).alias("cut"), F.bool_and((F.col("start_line") == 1) | (F.col("start_line") % 2 == 0)).alias("at_statements"))
+    return got
+
+
+@query("go_call_edges", "SELECT DISTINCT 'F' || n_nationkey AS src, unnest(['G' || n_regionkey, 'Copy']) AS dst FROM nation UNION SELECT 'G' || r_regionkey, 'Done' FROM region")
+def _(spark, d):
+    """Functions by nation that call one by region, within a closure and behind a selector."""
+    nation = t(spark, d, "nation").select(F.format_string('package n\n\n// F%d calls Skipped()\nfunc F%d() {\n\tif ok {\n\t\tgo func() { G%d() }()\n\t}\n\tx.Copy("No()")\n}\n', "n_nationkey", "n_nationkey", "n_regionkey").alias("content"))
+    region = t(spark, d, "region").select(F.format_string("package r\n\nfunc (t *T) G%d() {\n\tlen(Done())\n}\n", "r_regionkey").alias("content"))
+
+    def calls(frames):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        for f in frames:
+            yield pd.DataFrame([e for x in f["content"] for e in go_calls(x)], columns=["src", "dst"])
+
+    return graph.edge_set(nation.unionByName(region).mapInPandas(calls, "src string, dst string"))
+
+
 @query("estimate_tokens", "SELECT doc_id, coalesce(list_sum([ceil(length(w) / 4) FOR w IN regexp_extract_all(text, '[A-Za-z0-9_]+')]), 0)::BIGINT + length(regexp_replace(text, '[A-Za-z0-9_ \\t\\n\\r]', '', 'g')) AS tokens FROM documents")
 def _(spark, d):
     return t(spark, d, "documents").select("doc_id", tx.estimate_tokens(F.col("text")).alias("tokens"))

@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; on one machine (tests) a temporary folder where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -16,8 +19,9 @@ def shared_folder(spark: SparkSession) -> str:
         master = spark.conf.get("spark.master", "")
         if not re.match(r"local(\[|$)", master):
             raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
-        at = "file://" + tempfile.mkdtemp(prefix="loamline-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        app = spark.sparkContext.applicationId
+        at = _local_folders.get(app) or "file://" + tempfile.mkdtemp(prefix="loamline-")
+        _local_folders[app] = at
     return at.rstrip("/")
 
 
