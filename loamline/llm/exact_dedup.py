@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .common import join_frequent, let, row_key, semi_by_key, staged
 
 BLOCK_CHARS = 1024
-#: Blocks seen at least this often may be salted; at most MAX_HOT of them are, so their list can be broadcast.
-HOT_LEAST, MAX_HOT, SALTS = 4096, 10_000, 64
+#: Blocks seen at least this often may be salted; at most MAX_HOT of them are, so their list (8 bytes each) can be broadcast.
+HOT_LEAST, MAX_HOT, SALTS = 4096, 500_000, 64
 
 
 def _first_names(blocks: DataFrame, hot_least: int) -> DataFrame:
