@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,12 +145,18 @@ class Repository:
     def status(self) -> dict[str, object]:
         return self.catalog.inspect()
 
-    def diagnose(self) -> list[tuple[str, str, str]]:
-        """(mark, label, detail) rows; nothing is written."""
+    def diagnose(self, model: str | None = None) -> list[tuple[str, str, str]]:
+        """(mark, label, detail) rows on runtime, model, settings and index; nothing is written."""
+        from dataclasses import fields
         from importlib.util import find_spec
 
         seen = self.catalog.inspect()
         out = [("ok" if find_spec("onnxruntime") else "info", "runtime", "onnxruntime " + ("found" if find_spec("onnxruntime") else "absent; hashing embedder only"))]
+        if model:
+            whole = os.path.isfile(model) and os.path.getsize(model) > 0
+            out.append(("ok", "model", f"{model}, {os.path.getsize(model)} bytes") if whole else ("bad", "model", f"{model} is missing" if not os.path.exists(model) else f"{model} is empty"))
+        changed = [f"{f.name}={getattr(self.settings, f.name)}" for f in fields(Settings) if getattr(self.settings, f.name) != f.default]
+        out.append(("info", "tuning", " ".join(changed) or "defaults"))
         if seen["fingerprint"] is None:
             out.append(("info", "index", "none yet"))
         else:

@@ -12,6 +12,8 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -81,6 +83,44 @@ class SourceTree(DataSource):
         return TreeReader(self.options)
 
 
+def read_remote_tree(spark: SparkSession, root: str, suffixes: str | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(path, content, size) of a tree on a file system that Arrow opens (``hdfs://...``, ``s3://...``), by the same rules.
+
+    The driver lists the root's own entries; every folder in it is walked and read by a task.
+    """
+    from ..operators.languages import by_extension
+
+    wanted = {s.strip().lower() for s in suffixes.split(",")} if suffixes else set(by_extension())
+    enters = lambda name: not name.startswith(".") and name not in PRUNED
+    files, base = fs.FileSystem.from_uri(root)
+    top = [(e.path, True) for e in files.get_file_info(fs.FileSelector(base)) if e.type == fs.FileType.Directory and enters(e.base_name)]
+    folders = spark.createDataFrame([(base, False), *top], "folder string, deep boolean")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, home = fs.FileSystem.from_uri(root)
+        for b in batches:
+            for folder, deep in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                todo = [folder]
+                while todo:
+                    for e in own.get_file_info(fs.FileSelector(todo.pop())):
+                        if e.type == fs.FileType.Directory:
+                            todo.extend([e.path] * (deep and enters(e.base_name)))
+                        elif e.size <= max_bytes and os.path.splitext(e.base_name)[1].lower() in wanted:
+                            try:
+                                with own.open_input_file(e.path) as f:
+                                    data = f.read()
+                            except OSError:
+                                continue
+                            rel = e.path[len(home.rstrip("/")) + 1 :]
+                            yield pa.RecordBatch.from_arrays([pa.array([rel]), pa.array([data.decode("utf-8", "replace")]), pa.array([len(data)], pa.int64())], names=["path", "content", "size"])
+
+    return folders.repartition(max(1, len(top))).mapInArrow(read, "path string, content string, size bigint")
+
+
 def read_tree(spark: SparkSession, root: str, **options) -> DataFrame:
+    """(path, content, size) of a tree: local ones by the data source, others (``hdfs://...``) folder by folder in tasks."""
+    if "://" in root and not root.startswith("file://"):
+        return read_remote_tree(spark, root, options.get("suffixes"), int(options.get("max_bytes", MAX_BYTES)))
+    root = root.removeprefix("file://")
     spark.dataSource.register(SourceTree)
     return spark.read.format("source_tree").options(**{k: str(v) for k, v in options.items()}).load(root)

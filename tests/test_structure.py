@@ -14,7 +14,7 @@ from loamline.operators.lexical import LexicalIndex
 from loamline.operators.syntax import chunk_source, go_calls, statement_cuts, torn_lines, windows
 from loamline.service import Repository
 from loamline.sources import catalog
-from loamline.sources.repo_files import read_tree
+from loamline.sources.repo_files import read_remote_tree, read_tree
 from loamline.streaming.incremental import follow
 from loamline.workspace import EMBEDDING, SCANNING, STORING, Workspaces, index_folder, match_root, phase_message
 
@@ -206,6 +206,9 @@ def tree(tmp_path):
 def test_source_tree(spark, tree):
     assert sorted(r["path"] for r in read_tree(spark, str(tree)).collect()) == ["a.py", "pkg/__init__.py", "pkg/b.go", "t/test_a.py"]
     assert read_tree(spark, str(tree / ".git")).count() == 0
+    os.remove(tree / "link.py")
+    one, two = (sorted(map(tuple, df.collect())) for df in (read_tree(spark, str(tree)), read_remote_tree(spark, f"file://{tree}")))
+    assert one == two and len(one) == 4
 
 
 def test_repository(spark, tree, tmp_path):
@@ -220,6 +223,7 @@ def test_repository(spark, tree, tmp_path):
     assert repo.impact("o") == {"candidates": ["Low", "Top"], "total": 2}
     assert repo.impact("Low") == {"nodes": ["Top"]} and repo.trace("Top", "Low") == {"path": ["Top", "Low"]}
     assert [m for m, label, _ in repo.diagnose() if label == "index"] == ["ok"]
+    assert ("info", "tuning", "dimensions=32") in repo.diagnose() and ("bad", "model", "/no/model.onnx is missing") in repo.diagnose("/no/model.onnx")
     drifted = Repository(spark, str(tree), f"file://{tmp_path}/index", Settings(dimensions=16))
     assert "embedder" in [d for _, label, d in drifted.diagnose() if label == "index"][0]
     assert repo.evaluate([("alpha", ["a.py"])], [1]).first()["recall"] == 1.0
