@@ -31,10 +31,10 @@ def dependents(edges: DataFrame, node: str) -> DataFrame:
 SMALL_EDGES = 200_000
 
 
-def _small(edges: DataFrame) -> list[tuple[str, str]] | None:
-    """All edges if they are few, else None."""
-    rows = edges.select("src", "dst").limit(SMALL_EDGES + 1).collect()
-    return [tuple(r) for r in rows] if len(rows) <= SMALL_EDGES else None
+def _stored(edges: DataFrame) -> tuple[DataFrame, list[tuple[str, str]] | None]:
+    """The distinct edges as a stored table, and all of them as a list if they are few."""
+    edges = kept(edges.select("src", "dst").distinct(), "edges")
+    return edges, [tuple(r) for r in edges.collect()] if edges.count() <= SMALL_EDGES else None
 
 
 def _into(pairs: list[tuple[str, str]]) -> dict[str, list[str]]:
@@ -61,20 +61,20 @@ def _levels(into: dict[str, list[str]], start: str, until: str | None = None) ->
 def _hops(edges: DataFrame, starts: DataFrame, until: str | None = None) -> DataFrame:
     """(start, node, depth) of all nodes from which a start can be reached, hop by hop, until the frontier is empty or holds ``until``.
 
-    Frontiers of all starts advance together; a round joins the frontier with the edges and drops what was
+    ``edges`` are distinct and stored.  Frontiers of all starts advance together; a round joins the frontier with the edges and drops what was
     seen, and is written to the shared folder.
     """
-    edges = kept(edges.select("src", "dst").distinct(), "edges")
     seen = kept(starts.select(F.col("node").alias("start"), "node").distinct().withColumn("depth", F.lit(0)), "hops")
     front, depth = seen, 0
     while True:
         depth += 1
         step = front.join(edges.select("src", F.col("dst").alias("node")), "node").select("start", F.col("src").alias("node")).distinct()
         front = kept(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)), "hops")
-        if front.isEmpty():
+        n, there = front.agg(F.count("*"), F.max(F.col("node") == F.lit(until))).first()
+        if not n:
             return seen
         seen = seen.unionByName(front)
-        if until is not None and not front.filter(F.col("node") == until).isEmpty():
+        if there:
             return seen
         if depth % 8 == 0:
             seen = kept(seen, "hops")
@@ -82,7 +82,7 @@ def _hops(edges: DataFrame, starts: DataFrame, until: str | None = None) -> Data
 
 def impact(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, node, depth): everything from which a start can be reached, without the start itself; chains of any length."""
-    pairs = _small(edges)
+    edges, pairs = _stored(edges)
     if pairs is None:
         return _hops(edges, starts).filter(F.col("node") != F.col("start"))
     shared = edges.sparkSession.sparkContext.broadcast(pairs)
@@ -108,7 +108,7 @@ def trace(edges: DataFrame, start: str, end: str) -> list[str] | None:
     """
     if start == end:
         return [start]
-    pairs = _small(edges)
+    edges, pairs = _stored(edges)
     if pairs is not None:
         depth = _levels(_into(pairs), end, start)
         if start not in depth:

@@ -414,10 +414,12 @@ def _gold(spark, d):  # noqa: ANN001, ANN202
     q = kept(q.withColumn("width", F.least(F.size("inner"), F.lit(4))).withColumn("key", F.xxhash64(F.array_join(F.slice("inner", 1, 4), " "))), "passages")
     widths = [r[0] for r in q.filter("width > 0").select("width").distinct().collect()]  # at most four
     w = F.col("w")
-    keys = lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.struct(F.lit(n).alias("width"), F.xxhash64(F.array_join(F.slice(w, i + 1, n), " ")).alias("key")))
+    # numbers are made distinct before they become structs, which would be compared pair by pair
+    hashes = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, n), " "))))
+    keys = lambda n: F.transform(hashes(n), lambda h: F.struct(F.lit(n).alias("width"), h.alias("key")))
     found = None
     if widths:
-        spots = docs.select("doc_id", F.split("text", " ").alias("w")).select("doc_id", F.explode(F.array_distinct(F.concat(*[keys(n) for n in sorted(widths)]))).alias("k")).select("doc_id", "k.*")
+        spots = docs.select("doc_id", F.split("text", " ").alias("w")).select("doc_id", F.explode(F.concat(*[keys(n) for n in sorted(widths)])).alias("k")).select("doc_id", "k.*")
         near = spots.join(q.select("item_id", "width", "key"), ["width", "key"]).select("doc_id", "item_id").distinct()
         found = near.join(docs.select("doc_id", "text"), "doc_id").join(items, "item_id").filter(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
     short = q.filter("width = 0").select("item_id", "passage")
