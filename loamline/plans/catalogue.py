@@ -506,12 +506,12 @@ def _(spark, d):
 
 @query(
     "statement_windows",
-    "SELECT 's' || o_orderkey || '.py' AS path, true AS cut, true AS at_statements FROM orders",
+    "SELECT 's' || c_custkey || '.py' AS path, true AS cut, true AS at_statements FROM customer",
 )
 def _(spark, d):
     """Long functions of two-line statements: windows begin at statements, which are on even lines."""
     body = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("    call("), i.cast("string"), F.lit(",\n        'some longer text')"))), "\n")
-    files = t(spark, d, "orders").select(F.concat(F.lit("s"), F.col("o_orderkey").cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit("def big():\n"), body).alias("content"))
+    files = t(spark, d, "customer").select(F.concat(F.lit("s"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit("def big():\n"), body).alias("content"))
     got = chunking.syntax_chunks(files).groupBy("path").agg((F.count("*") > 1).alias("cut"), F.bool_and((F.col("start_line") == 1) | (F.col("start_line") % 2 == 0)).alias("at_statements"))
     return got
 
