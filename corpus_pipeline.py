@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from loamline.llm.common import stages_run, table
 from loamline.llm.exact_dedup import drop_copies
-from loamline.llm.minhash import drop_similar
 from loamline.llm.mixing import mixed
+from loamline.llm.near_balls import drop_near
 from loamline.llm.pieces import encode_pieces
 from loamline.llm.quality import drop_poor, fit_quality
 from loamline.llm.queries import tokenizer_file
@@ -30,7 +30,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents whose five-word shingles are 0.8 alike or more, the one with the smallest id."""
-    return drop_similar(docs)
+    return drop_near(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mixture), ("pieces", encode)]
 
-#: No stage order of this kind can be put in SQL (learned rules, MinHash, pieces); tested against brute force.
+#: No stage order of this kind can be put in SQL (learned rules, SimHash balls, pieces); tested against brute force.
 ORACLE_SQL = None
 
 

@@ -1,16 +1,17 @@
 """Near copies by the Jaccard similarity of five-word shingle sets.
 
-Candidates come from MinHash: sets that agree in all ROWS minima of one of BANDS bands share a bucket.  A
-pair at the limit of 0.8 is missed with a probability of (1 - 0.8 ** 5) ** 25, about one in 20,000, and a
-closer one more rarely.  Every candidate is then verified on the whole shingle sets, so no pair below the
-limit is ever linked.  Buckets of any size are worked off without writing out their pairs: a few members (centres)
-are compared with the others of their bucket, what that links leaves the work, and where a bucket still holds
-more than one component, more centres follow, four times as many in each round.
+Candidates come in buckets, here from MinHash (the pipeline takes those of SimHash balls, see near_balls): sets
+that agree in all ROWS minima of one of BANDS bands share a bucket.  A pair at the limit of 0.8 is missed with
+a probability of (1 - 0.8 ** 5) ** 25, about one in 20,000, and a closer one more rarely.  Every candidate is
+then verified on the whole shingle sets, so no pair below the limit is ever linked.  Buckets of any size are
+worked off without writing out their pairs: every member is compared with one other, then a few members (centres)
+with the others of their bucket, what that links leaves the work, and where a bucket still holds more than one
+component, more centres follow, four times as many in each round.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -55,18 +56,27 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def signatures(docs: DataFrame, text: str, keys: list) -> DataFrame:
-    """``keys``, the id of the shingle set (its hash) and its bands, for every row."""
+#: Shingles that are held at once to take their marks.
+HELD = 1 << 16
+
+
+def signatures(docs: DataFrame, text: str, keys: list, marks_of: Callable[[list[np.ndarray]], np.ndarray], width: int) -> DataFrame:
+    """``keys``, the id of the shingle set (its hash) and its marks, ``width`` numbers of 64 bits, for every row."""
     picked = docs.select(*keys, F.col(text).alias("_text"))
-    out = picked.drop("_text").withColumns({"set": F.lit(0).cast("bigint"), "bands": F.array().cast("array<bigint>")}).schema
+    out = picked.drop("_text").withColumns({"set": F.lit(0).cast("bigint"), "marks": F.array().cast("array<bigint>")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, marks = np.empty(b.num_rows, np.uint64), np.empty((b.num_rows, BANDS), np.uint64)
+            ids, marks = np.empty(b.num_rows, np.uint64), np.empty((b.num_rows, width), np.uint64)
+            held, n = [], 0
             for k, t in enumerate(b.column(b.num_columns - 1)):
-                own = shingles(t.as_py())
-                ids[k], marks[k] = xxhash.xxh64_intdigest(own.tobytes(), SEED), bands(own)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, b.num_rows * BANDS + 1, BANDS, dtype=np.int32)), pa.array(marks.view(np.int64).ravel()))
+                held.append(shingles(t.as_py()))
+                n += len(held[-1])
+                ids[k] = xxhash.xxh64_intdigest(held[-1].tobytes(), SEED)
+                if n >= HELD or k + 1 == b.num_rows:
+                    marks[k + 1 - len(held) : k + 1] = marks_of(held)
+                    held, n = [], 0
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, b.num_rows * width + 1, width, dtype=np.int32)), pa.array(marks.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids.view(np.int64)), lists], names=out.names)
 
     return picked.mapInArrow(run, out)
@@ -85,17 +95,16 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["a", "b"])
 
 
-def similar_links(docs: DataFrame, marks: DataFrame, text: str, id_col: str) -> DataFrame:
+def similar_links(docs: DataFrame, marks: DataFrame, member: DataFrame, text: str, id_col: str) -> DataFrame:
     """(a, b) pairs of shingle sets with a similarity of SIMILAR or more that connect what all candidates connect.
 
-    ``marks`` holds the signatures with the hash of the text as ``_k_sha``.
+    ``marks`` holds the shingle set of every row with the hash of its text as ``_k_sha``, ``member`` (stored) the
+    sets of each bucket, once; all pairs within a bucket are candidates.
     """
     sha = row_key(text, id_col)[1]
-    sets = marks.groupBy("set").agg(F.min("_k_sha").alias("_k_sha"), F.first("bands").alias("bands"))
-    member = sets.select("set", F.explode("bands").alias("bucket"))
     ends = member.groupBy("bucket").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).filter("lo <> hi")
     buckets = staged(member.join(ends, "bucket"), "buckets")
-    sets = sets.select("set", "_k_sha").join(buckets.select("set").distinct(), "set", "left_semi")
+    sets = marks.groupBy("set").agg(F.min("_k_sha").alias("_k_sha")).join(buckets.select("set").distinct(), "set", "left_semi")
     texts = docs.select(sha, F.col(text).alias("text")).join(sets, "_k_sha").select("set", "text").dropDuplicates(["set"])
     texts = staged(texts, "candidate-texts")
 
@@ -104,12 +113,13 @@ def similar_links(docs: DataFrame, marks: DataFrame, text: str, id_col: str) ->
         rows = pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
         return staged(rows.mapInArrow(_verify, "a bigint, b bigint"), "similar")
 
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    tried = buckets.select(*pair("set", "lo")).unionByName(buckets.select(*pair("set", "hi"))).filter("a <> b").distinct()
+    # each set with the least one that it shares a bucket with
+    tried = buckets.filter("set <> lo").groupBy("set").agg(F.min("lo").alias("a")).select("a", F.col("set").alias("b"))
     tried = staged(tried, "pairs")
     links = verified(tried)
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     # members that were no centre yet; centres are through with their bucket
-    left, many = buckets.filter("set <> lo and set <> hi").select("bucket", "set"), 4
+    left, many = buckets.select("bucket", "set"), 4
     while True:
         comp = components(links)
         rooted = left.join(comp, left["set"] == comp["node"], "left").select("bucket", "set", F.coalesce("root", "set").alias("root"))
@@ -128,16 +138,23 @@ def similar_links(docs: DataFrame, marks: DataFrame, text: str, id_col: str) ->
         many *= 4
 
 
+def first_of_groups(docs: DataFrame, marks: DataFrame, links: DataFrame, text: str, id_col: str) -> DataFrame:
+    """Of the rows whose shingle sets are connected by links the one with the smallest id; ``marks`` has _k_id, _k_sha and set."""
+    key_id, key_sha = row_key(text, id_col)
+    comp = components(links)
+    rooted = marks.join(comp, marks["set"] == comp["node"], "left").select("_k_id", "_k_sha", F.coalesce("root", "set").alias("root"))
+    first = F.min(F.struct(F.col("_k_id").isNull().alias("none"), "_k_id", "_k_sha"))
+    stays = rooted.groupBy("root").agg(first.alias("s")).select("s._k_id", "s._k_sha")
+    return semi_by_key(docs, stays, {"_k_id": key_id, "_k_sha": key_sha}, text)
+
+
 def drop_similar(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the document with the smallest id stays.
 
     A group is what links of a similarity of SIMILAR or more connect.  Null ids count as larger than any
     other; of rows equal in id and text one stays.
     """
-    key_id, key_sha = row_key(text, id_col)
-    marks = staged(signatures(docs, text, [key_id, key_sha]), "signatures")
-    comp = components(similar_links(docs, marks, text, id_col))
-    rooted = marks.join(comp, marks["set"] == comp["node"], "left").select("_k_id", "_k_sha", F.coalesce("root", "set").alias("root"))
-    first = F.min(F.struct(F.col("_k_id").isNull().alias("none"), "_k_id", "_k_sha"))
-    stays = rooted.groupBy("root").agg(first.alias("s")).select("s._k_id", "s._k_sha")
-    return semi_by_key(docs, stays, {"_k_id": key_id, "_k_sha": key_sha}, text)
+    marks = staged(signatures(docs, text, row_key(text, id_col), lambda sets: np.stack([bands(own) for own in sets]), BANDS), "signatures")
+    sets = marks.groupBy("set").agg(F.first("marks").alias("marks"))
+    member = staged(sets.select("set", F.explode("marks").alias("bucket")).distinct(), "members")
+    return first_of_groups(docs, marks, similar_links(docs, marks, member, text, id_col), text, id_col)

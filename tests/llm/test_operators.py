@@ -8,11 +8,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loamline.llm import chat, common, exact_dedup, html_text, minhash, mixing, pieces, quality, secrets, simhash, token_files, toxicity
+from loamline.llm import chat, common, exact_dedup, html_text, minhash, mixing, near_balls, pieces, quality, secrets, simhash, token_files, toxicity
 from loamline.llm.queries import ORACLES, QUERIES, tokenizer_file
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -533,6 +534,65 @@ def test_near_stage_compares_all_of_a_bucket(spark, monkeypatch):
     assert sorted(x["doc_id"] for x in minhash.drop_similar(docs).collect()) == list(range(6))
 
 
+def test_near_stage_takes_candidates_from_simhash_balls(spark, monkeypatch):
+    """Without any MinHash bucket: pairs at the limit, also of four shingles in five, are found, those below it are not."""
+    monkeypatch.setattr(minhash, "bands", lambda own: own.sum() + np.arange(minhash.BANDS, dtype=np.uint64))
+    r = random.Random(31)
+    texts = []
+    for n in [9] * 60 + [40, 100, 500] * 15:
+        base = [f"{word(r)}{r.randrange(10**6)}" for _ in range(n)]
+        cut = (n - 4) // 5 + r.randrange(2)
+        texts += [" ".join(base), " ".join(base[cut:])]
+    label = alike_groups(texts)
+    assert 60 < len(set(label)) < len(texts)
+    got = corpus_pipeline.near(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "").collect()
+    assert sorted(x["doc_id"] for x in got) == sorted(set(label))
+
+
+def test_balls_meet_as_all_pairs_say():
+    """Parts together against all pairs of sets; a point with more than DENSE sets keeps them all."""
+    r = np.random.default_rng(37)
+    bits, m, first = 24, 3, 2
+    noise = lambda rate, n: np.packbits(r.random((n, m, 64)) < rate, axis=2, bitorder="little").view("<u8")[:, :, 0]
+    fps = (r.integers(0, 1 << 64, (40, 1, m), np.uint64) ^ noise(0.08, 200).reshape(40, 5, m)).reshape(-1, m)
+    fps[:80] = fps[0]
+    ids = r.integers(0, 1 << 64, len(fps), np.uint64)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, fps.size + 1, m, dtype=np.int32)), pa.array(fps.view(np.int64).ravel()))
+    sent = near_balls._sent(bits, m, first)(iter([pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), lists], names=["set", "marks"])]))
+    got = set()
+    for b in sent:
+        for part, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            by = defaultdict(list)
+            for bucket, own in zip(*near_balls.meeting(np.frombuffer(rows, np.uint64).reshape(-1, 3), part, bits, first)):
+                by[bucket].append(int(own))
+            assert all(len(v) == len(set(v)) > 1 for v in by.values())
+            got |= {frozenset((x, y)) for v in by.values() for x in v for y in v if x != y}
+    want = set()
+    for key in range(2 * m):
+        j = key // 2
+        x, y, half = fps[:, j], fps[:, (j + 1) % m], fps[:, j] >> np.uint64(32 * (key % 2)) & np.uint64((1 << bits) - 1)
+        for i in range(len(fps)):
+            near = (np.bitwise_count(half ^ half[i]) <= 2) & (np.bitwise_count(x ^ x[i]).astype(int) + np.bitwise_count(y ^ y[i]) <= near_balls.CLOSE)
+            want |= {frozenset((int(ids[i]), int(ids[k]))) for k in np.flatnonzero(near) if k != i}
+    assert len(want) > 3000 and want <= got
+
+
+def test_fingerprints_of_many_sets():
+    r = np.random.default_rng(41)
+    sets = [np.unique(r.integers(0, 1 << 64, n, np.uint64)) for n in (1, 2, 254, 255, 256, 511, 700)]
+    for own, row in zip(sets, near_balls.fingerprints(sets, 3)):
+        alone = near_balls.fingerprints([own], 3)[0]
+        assert row.tolist() == alone.tolist() and len(set(row.tolist())) == 3
+    near, far = [], []
+    for _ in range(200):
+        z = r.integers(0, 1 << 64, 100, np.uint64)
+        f = near_balls.fingerprints([z[:90], z[10:], r.integers(0, 1 << 64, 90, np.uint64)], 4)
+        near.append(np.bitwise_count(f[0] ^ f[1]).mean() / 64)
+        far.append(np.bitwise_count(f[0] ^ f[2]).mean() / 64)
+    # two sets with cosine 8/9, and unlike ones
+    assert abs(np.mean(near) - math.acos(8 / 9) / math.pi) < 0.01 and abs(np.mean(far) - 0.5) < 0.01
+
+
 # ---- pages
 
 
