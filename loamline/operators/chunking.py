@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,8 @@ from ..config import Settings
 from ..functions.text import is_blank
 from .syntax import chunk_source
 
+#: Files whose chunks are handed over at once.
+STEP = 200
 CHUNK_COLUMNS = "path string, ord bigint, start_line int, end_line int, symbol string, content string, embed_text string"
 
 
@@ -52,14 +55,17 @@ def syntax_chunks(files: DataFrame, settings: Settings = Settings(), provider: s
     Each file is one row and is cut within it; files whose syntax can't be read fall back to paragraphs.
     """
 
-    def run(frames: Iterator) -> Iterator:
-        import pandas as pd
+    kind = pa.schema([("path", pa.string()), ("ord", pa.int64()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("symbol", pa.string()), ("content", pa.string()), ("embed_text", pa.string())])
 
-        for frame in frames:
-            rows = [c for p, t in zip(frame["path"], frame["content"]) for c in chunk_source(p, t or "", settings, provider)]
-            yield pd.DataFrame(rows, columns=["path", "ord", "start_line", "end_line", "symbol", "content", "embed_text"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, STEP):
+                paths, contents = (c.to_pylist() for c in batch.slice(at, STEP).columns)
+                rows = [c for p, t in zip(paths, contents) for c in chunk_source(p, t or "", settings, provider)]
+                columns = zip(*rows) if rows else [()] * len(kind)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind)
 
-    return with_ids(files.select("path", "content").mapInPandas(run, CHUNK_COLUMNS))
+    return with_ids(files.select("path", "content").mapInArrow(run, CHUNK_COLUMNS))
 
 
 def line_chunks(files: DataFrame) -> DataFrame:

@@ -25,6 +25,11 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all shuffle partitions: rows of a small file that each mean much work would else be one task's."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def kept(df: DataFrame, label: str = "table") -> DataFrame:
     """``df`` written once and read back: later uses don't compute it again, and lost executors don't matter."""
     at = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
