@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.lexical import LexicalIndex
 
-SCHEMA_VERSION, LEXICAL_VERSION = 1, 1
+SCHEMA_VERSION, LEXICAL_VERSION = 1, 2
 
 
 def fingerprint(fields: dict[str, object]) -> str:
@@ -85,10 +85,10 @@ class Catalog:
         """Replace a table that ``df`` may read from."""
         self._replace({name: self._write(name, df)})
 
-    def _replace(self, tables: dict[str, str], **entries) -> None:  # noqa: ANN003
+    def _replace(self, tables: dict[str, str], drop: list[str] = (), **entries) -> None:  # noqa: ANN003
         m = self._manifest()
-        gone = [m["tables"][n] for n in tables if n in m["tables"]]
-        m["tables"].update(tables)
+        gone = [m["tables"][n] for n in [*tables, *drop] if n in m["tables"]]
+        m["tables"] = {n: at for n, at in m["tables"].items() if n not in drop} | tables
         m.update(entries)
         self._commit(m, gone)
 
@@ -128,8 +128,10 @@ class Catalog:
 
         stored = index.write(put)
         state = ids_digest(stored.lengths).first()
-        known = self._manifest()["lexical"] | {kind: {"version": LEXICAL_VERSION, "n": state["n"], "digest": state["digest"]}}
-        self._replace(tables, lexical=known)
+        before = self._manifest()
+        known = before["lexical"] | {kind: {"version": LEXICAL_VERSION, "n": state["n"], "digest": state["digest"]}}
+        # tables that an earlier version of the layout had
+        self._replace(tables, [n for n in before["tables"] if n.startswith(f"{kind}/") and n not in tables], lexical=known)
         return stored
 
     def load_lexical(self, kind: str, ids: DataFrame | None = None, id_col: str = "id") -> LexicalIndex | None:
@@ -139,7 +141,7 @@ class Catalog:
             return None
         if ids is not None and tuple(ids_digest(ids, id_col).first()) != (state["n"], state["digest"]):
             return None
-        return LexicalIndex(*(self._read(f"{kind}/{n}") for n in ("postings", "lengths", "stats", "frequencies")))
+        return LexicalIndex.of_rows(self._read(f"{kind}/rows"), self._read(f"{kind}/stats"))
 
     # vector cache
 

@@ -2,13 +2,17 @@
 
 import ast
 import math
+import random
+from collections import Counter
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from loamline.operators import lexical
 from loamline.operators.syntax import chunk_source
 from loamline.plans import catalogue
+from loamline.sources import shared
 
 
 def stages_of(spark, run):
@@ -54,3 +58,51 @@ def test_small_negative_numbers_keep_their_sign_when_rounded(spark, tmp_path):
     for name, key, column in (("l2_normalize", "id", "v"), ("vector_codec", "id", "vector"), ("mean_pool", "label", "pooled")):
         got = {r[key]: [math.copysign(1, x) for x in r[column]] for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()}
         assert got == {k: [math.copysign(1, x) for x in row] for k, row in zip((1, 2), rows)}, name
+
+
+def best(docs, asked, top):
+    """(query, id, rank) by brute force; rows with the same id are one document."""
+    words = {}
+    for i, text in docs:
+        words.setdefault(i, Counter()).update(text.lower().split())
+    n, average = len(words), sum(c.total() for c in words.values()) / len(words)
+    df = Counter(w for c in words.values() for w in c)
+    out = []
+    for q, text in asked:
+        own = {}
+        for i, c in words.items():
+            parts = [math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.5 / (c[w] + 1.5 * (0.25 + 0.75 * c.total() / average)) for w in text.split() if w in c]
+            if parts:
+                own[i] = sum(parts)
+        out += [(q, i, k + 1) for k, i in enumerate(sorted(own, key=lambda i: (-round(own[i], 9), i))[:top])]
+    return sorted(out)
+
+
+def test_search_writes_no_pairs_of_queries_and_documents(spark, monkeypatch):
+    """Equal documents in different tasks, ids that come twice, blocks of queries, and few scores at once."""
+    r = random.Random(9)
+    words = ["Wa", "wb", "wc", "wd", *(f"x{chr(97 + k)}y" for k in range(20))]
+    docs = [(f"d{i % 390:03}", " ".join(r.choices(words, [8, 5, 3, 2] + [1] * 20, k=i % 7 + 1))) for i in range(400)] + [(f"e{i}", "wa wb") for i in range(30)] + [("f", "")]
+    asked = [(i, " ".join(r.choices([w.lower() for w in words], k=4))) for i in range(25)] + [(30, "nothing"), (31, "")]
+    table = spark.createDataFrame(docs, "id string, content string").repartition(4)
+    queries = spark.createDataFrame(asked, "query_id bigint, query string")
+    want = best(docs, asked, 6)
+    written = []
+    best_of = lexical._best
+    monkeypatch.setattr(lexical, "_best", lambda found, *a: written.append((found.rdd.getNumPartitions(), best_of(found, *a))) or written[-1][1])
+    for index in (lexical.LexicalIndex.build(table), lexical.LexicalIndex.build(table).stored()):
+        for most, scores in ((10_000, 4_000_000), (7, 300)):
+            monkeypatch.setattr(lexical, "MOST_QUERIES", most)
+            monkeypatch.setattr(lexical, "MOST_SCORES", scores)
+            assert sorted((x["query_id"], x["id"], x["rank"]) for x in lexical.search(index, queries, 6).collect()) == want
+    assert all(rows.count() <= tasks * 25 * 6 for tasks, rows in written)
+    assert lexical.search(index, queries, 0).count() == 0 and lexical.search(index, queries.limit(0)).count() == 0
+
+
+def test_a_stored_index_is_written_without_a_shuffle_of_words(spark, tmp_path):
+    pq.write_table(pa.table({"id": pa.array(range(50), pa.int64()), "content": ["Some wordsHere, some"] * 50}), tmp_path / "d.parquet")
+    plans = []
+    index = lexical.LexicalIndex.build(spark.read.parquet(str(tmp_path / "d.parquet"))).write(lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or shared.kept(df, name))
+    assert "Exchange" not in dict(plans)["rows"]
+    assert {(x["term"], x["tf"], x["length"]) for x in index.postings.collect()} == {("some", 2, 4), ("words", 1, 4), ("here", 1, 4)}
+    assert {(x["term"], x["df"]) for x in index.document_frequency().collect()} == {("some", 50), ("words", 50), ("here", 50)}
