@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Settings
-from .functions.vectors import hash_embedding
+from .functions.vectors import hash_embedding, hash_vectors
 from .operators import evaluation, graph
 from .operators.chunking import chunker, chunker_id, embed_text
 from .operators.hybrid import HybridIndex
@@ -67,7 +67,7 @@ class Repository:
         made = kept(made, "made")
         n_chunks = made.count()
         progress(EMBEDDING, 0, n_chunks)
-        full = self.catalog.embed(made, self.fields["embedder"], self.settings.dimensions, hash_embedding(F.col("embed_text"), self.settings.dimensions))
+        full = self.catalog.embed(made, self.fields["embedder"], self.settings.dimensions, lambda texts: hash_vectors(texts, "id", F.col("text"), self.settings.dimensions))
         progress(STORING, 0, n_chunks)
         self.catalog.upsert(full.drop("embed_text"))
         save_words(self.catalog, self.settings)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -145,8 +146,11 @@ class Catalog:
 
     # vector cache
 
-    def embed(self, chunks: DataFrame, embedder: str, dim: int, vector: Column, text: str = "embed_text") -> DataFrame:
-        """``chunks`` with vectors: known ones from the cache, the others computed once per text and added to it."""
+    def embed(self, chunks: DataFrame, embedder: str, dim: int, vector: Column | Callable[[DataFrame], DataFrame], text: str = "embed_text") -> DataFrame:
+        """``chunks`` with vectors: known ones from the cache, the others computed once per text and added to it.
+
+        ``vector`` is a column, or makes (id, vector) of (id, text) for many texts at once.
+        """
         keyed = chunks.withColumn("_hash", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
         folder = self._manifest()["tables"].get("vector_cache") or f"vector_cache-{uuid.uuid4().hex}"
         at = f"{self.folder}/{folder}"
@@ -154,7 +158,9 @@ class Catalog:
         fits = lambda df: df.filter((F.col("embedder") == embedder) & (F.size("vector") == dim))
         cache = self.spark.read.schema(schema).parquet(at) if self._files().exists(self._path(folder)) else self.spark.createDataFrame([], schema)
         misses = split_cache(keyed, fits(cache))[1]
-        made = misses.dropDuplicates(["_hash"]).select(F.lit(embedder).alias("embedder"), F.col("_hash").alias("hash"), vector.alias("vector")).filter(F.col("vector").isNotNull())
+        once = misses.dropDuplicates(["_hash"])
+        made = once.select(F.col("_hash").alias("id"), vector.alias("vector")) if isinstance(vector, Column) else vector(once.select(F.col("_hash").alias("id"), F.col(text).alias("text")))
+        made = made.select(F.lit(embedder).alias("embedder"), F.col("id").alias("hash"), "vector").filter(F.col("vector").isNotNull())
         made.write.mode("append").parquet(at)  # rows are only ever added, and equal ones may come twice
         self._replace({} if "vector_cache" in self._manifest()["tables"] else {"vector_cache": folder})
         full = fits(self.spark.read.schema(schema).parquet(at)).dropDuplicates(["hash"]).select(F.col("hash").alias("_hash"), "vector")
