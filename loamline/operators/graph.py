@@ -32,8 +32,8 @@ SMALL_EDGES = 200_000
 
 
 def _stored(edges: DataFrame) -> tuple[DataFrame, list[tuple[str, str]] | None]:
-    """The distinct edges as a stored table, and all of them as a list if they are few."""
-    edges = kept(edges.select("src", "dst").distinct(), "edges")
+    """The edges as a stored table, and all of them as a list if they are few.  An edge that comes twice does no harm, so none is shuffled here."""
+    edges = kept(edges.select("src", "dst"), "edges")
     return edges, [tuple(r) for r in edges.collect()] if edges.count() <= SMALL_EDGES else None
 
 
@@ -61,9 +61,11 @@ def _levels(into: dict[str, list[str]], start: str, until: str | None = None) ->
 def _hops(edges: DataFrame, starts: DataFrame, until: str | None = None) -> DataFrame:
     """(start, node, depth) of all nodes from which a start can be reached, hop by hop, until the frontier is empty or holds ``until``.
 
-    ``edges`` are distinct and stored.  Frontiers of all starts advance together; a round joins the frontier with the edges and drops what was
-    seen, and is written to the shared folder.
+    ``edges`` are stored.  Frontiers of all starts advance together; a round joins the frontier with the edges and drops what was
+    seen, and is written to the shared folder.  Of a large frontier only nodes that an edge leads to go on, so that a last round of
+    leaves isn't joined with all edges.
     """
+    targets: DataFrame | None = None
     seen = kept(starts.select(F.col("node").alias("start"), "node").distinct().withColumn("depth", F.lit(0)), "hops")
     front, depth = seen, 0
     while True:
@@ -76,6 +78,11 @@ def _hops(edges: DataFrame, starts: DataFrame, until: str | None = None) -> Data
         seen = seen.unionByName(front)
         if there:
             return seen
+        if n > SMALL_EDGES:
+            targets = targets or kept(edges.select(F.col("dst").alias("node")).distinct(), "targets")
+            front = kept(front.join(targets, "node", "left_semi").select(front.columns), "hops")
+            if front.isEmpty():
+                return seen
         if depth % 8 == 0:
             seen = kept(seen, "hops")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loamline.functions import vectors as vx
-from loamline.operators import evaluation, lexical
+from loamline.operators import evaluation, graph, lexical
 from loamline.operators.syntax import chunk_source
 from loamline.plans import catalogue
 from loamline.sources import catalog, shared
@@ -149,3 +149,19 @@ def test_many_texts_are_embedded_at_once(spark, tmp_path):
         assert catalogue.QUERIES["vector_cache"](spark, str(tmp_path)).count() == 2 and calls == [True, True]
     finally:
         catalog.Catalog.embed = embed
+
+
+def test_leaves_are_not_joined_with_all_edges_and_edges_are_not_shuffled_at_first(spark, monkeypatch):
+    pairs = [(f"leaf{i}", f"m{i % 7}") for i in range(60)] * 2 + [(f"m{i}", "root") for i in range(7)] + [("root", "m0"), ("other", "x")]
+    edges, start = spark.createDataFrame(pairs, "src string, dst string"), spark.createDataFrame([("root",)], "node string")
+    want = sorted({("root", s, 2 if s.startswith("leaf") else 1) for s, _ in pairs if s not in ("root", "other")})
+    plans = []
+    keep = graph.kept
+    monkeypatch.setattr(graph, "kept", lambda df, label="table": plans.append((label, df._jdf.queryExecution().optimizedPlan().toString())) or keep(df, label))
+    for few in (5, 0):
+        monkeypatch.setattr(graph, "SMALL_EDGES", few)
+        plans.clear()
+        assert sorted((r["start"], r["node"], r["depth"]) for r in graph.impact(edges, start).collect()) == want
+        assert all("Aggregate" not in plan for label, plan in plans if label == "edges")
+        # two rounds and no third for the leaves, which no edge leads to
+        assert sum("LeftAnti" in plan for _, plan in plans) == 2 and sum(label == "targets" for label, _ in plans) == 1
